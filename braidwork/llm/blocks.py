@@ -19,6 +19,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: What is neither an ASCII letter nor part of a character beyond ASCII.
+NOT_LETTER = np.ones(256, bool)
+NOT_LETTER[65:91] = NOT_LETTER[97:123] = NOT_LETTER[128:] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -48,12 +51,16 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
-def span_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of values[start:end] for each pair, equal for equal runs wherever they stand."""
-    up, down = powers(len(values) + 1)
-    total = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[: len(values)], out=total[1:])
-    return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+class Spans:
+    """Hashes of runs of values, equal for equal runs wherever they stand."""
+
+    def __init__(self, values: np.ndarray):
+        self.down = powers(len(values) + 1)[1]
+        self.total = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(values * powers(len(values) + 1)[0][: len(values)], out=self.total[1:])
+
+    def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix((self.total[end] - self.total[start]) * self.down[start] + (end - start).astype(np.uint64))
 
 
 @dataclass
@@ -77,16 +84,19 @@ class Words:
         """The row of each word."""
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
+    def spans(self, lower: bool = False) -> Spans:
+        """Hashes of byte runs."""
+        return Spans(_BYTE[LOWER[self.data] if lower else self.data])
+
     def hashes(self, lower: bool = False) -> np.ndarray:
-        data = LOWER[self.data] if lower else self.data
-        return span_hashes(_BYTE[data], self.start, self.end)
+        return self.spans(lower).hashes(self.start, self.end)
 
     def grams(self, hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Start word and hash of each run of n words that lies in one row."""
         last = np.repeat(self.first[1:], self.counts)
         at = np.arange(len(hashes))
         at = at[at + n <= last]
-        return at, span_hashes(hashes, at, at + n)
+        return at, Spans(hashes).hashes(at, at + n)
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -102,13 +112,14 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def words(column: pa.Array) -> Words:
+def words(column: pa.Array, separators: np.ndarray = _SPACE) -> Words:
+    """Words of each row; separators tells which of the 256 bytes stand between words."""
     data, offsets = buffers(column)
     n = len(data)
     if not n:
         none = np.zeros(0, np.int64)
         return Words(data, offsets, none, none, np.zeros(len(offsets), np.int64))
-    space = _SPACE[data]
+    space = separators[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     before = edge[:-1].copy()

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braidwork.llm import mixing, pieces, secrets
+from braidwork.llm import language, media, mixing, pieces, secrets, toxicity
 
 #: The tokenizer file of op6 and of the pipeline's last stage.
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -28,16 +28,30 @@ def op3_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(_table(spark, sf_dir, "documents"), owner=F.col("source"), repo=F.col("doc_id"))
 
 
+def op4_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    return language.identify(_table(spark, sf_dir, "documents"), held_out)
+
+
+def op5_toxicity_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    return toxicity.score_severity(docs.select("doc_id", "text"), labels).drop("text")
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_pieces(_table(spark, sf_dir, "documents"), piece_model())
 
 
+def op9_avi_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_digests(_table(spark, sf_dir, "documents"))
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_secret_ownership, op6_sentencepiece, op10_source_mix)}
+    return {f.__name__: f for f in (op3_secret_ownership, op4_language_crf, op5_toxicity_ordinal, op6_sentencepiece, op9_avi_payload, op10_source_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
