@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braidwork.llm import language, media, mixing, pieces, secrets, toxicity
+from braidwork.llm import language, media, mixing, passages, pieces, secrets, toxicity
 
 #: The tokenizer file of op6 and of the pipeline's last stage.
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -23,6 +23,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.remove_repeats(_table(spark, sf_dir, "documents")).drop("repeats")
+
+
 def op3_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents names no repository, so each document stands for one; its source is the owner."""
     return secrets.scan_secrets(_table(spark, sf_dir, "documents"), owner=F.col("source"), repo=F.col("doc_id"))
@@ -51,8 +55,33 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_secret_ownership, op4_language_crf, op5_toxicity_ordinal, op6_sentencepiece, op9_avi_payload, op10_source_mix)}
+    return {f.__name__: f for f in (op2_substring_dedup, op3_secret_ownership, op4_language_crf, op5_toxicity_ordinal, op6_sentencepiece, op9_avi_payload, op10_source_mix)}
+
+
+#: Positions of all words, the sequence of 50 from each, the least document that has it, and what a later one keeps.
+OP2_SQL = r"""
+WITH split AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), word AS (
+  SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM split
+), win AS (
+  SELECT doc_id, p, string_agg(word, ' ') OVER run AS t, count(*) OVER run AS n
+  FROM word WINDOW run AS (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)
+), least_doc AS (
+  SELECT md5(t) AS h, min(doc_id) AS lo FROM win WHERE n = 50 GROUP BY 1
+), hit AS (
+  SELECT w.doc_id, w.p FROM win w JOIN least_doc l ON md5(w.t) = l.h WHERE w.n = 50 AND l.lo < w.doc_id
+), marked AS (
+  SELECT word.doc_id, word.p, word.word, max(CASE WHEN hit.p IS NOT NULL THEN word.p END) OVER (PARTITION BY word.doc_id ORDER BY word.p ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS covered
+  FROM word LEFT JOIN hit ON word.doc_id = hit.doc_id AND word.p = hit.p
+), kept AS (
+  SELECT doc_id, count(*) AS n_words, count(covered) AS n_removed, string_agg(word, ' ' ORDER BY p) FILTER (WHERE covered IS NULL) AS t
+  FROM marked GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM documents d LEFT JOIN kept USING (doc_id)
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_substring_dedup": OP2_SQL}
