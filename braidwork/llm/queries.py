@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braidwork.llm import language, media, mixing, passages, pieces, secrets, toxicity
+from braidwork.llm import jaccard, language, media, mixing, passages, pieces, secrets, toxicity
 
 #: The tokenizer file of op6 and of the pipeline's last stage.
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -46,6 +46,10 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_pieces(_table(spark, sf_dir, "documents"), piece_model())
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similarity_classes(_table(spark, sf_dir, "documents")).drop("text_key")
+
+
 def op9_avi_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(_table(spark, sf_dir, "documents"))
 
@@ -55,7 +59,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_substring_dedup, op3_secret_ownership, op4_language_crf, op5_toxicity_ordinal, op6_sentencepiece, op9_avi_payload, op10_source_mix)}
+    return {f.__name__: f for f in (op2_substring_dedup, op3_secret_ownership, op4_language_crf, op5_toxicity_ordinal, op6_sentencepiece, op8_ngram_jaccard, op9_avi_payload, op10_source_mix)}
 
 
 #: Positions of all words, the sequence of 50 from each, the least document that has it, and what a later one keeps.
@@ -83,5 +87,31 @@ FROM documents d LEFT JOIN kept USING (doc_id)
 """
 
 
+#: Sets of 5-word runs, or of the whole text where it is shorter; pairs with 9 * common >= 4 * (a + b), which is
+#: common / union >= 0.8; what the links connect.
+OP8_SQL = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), gram AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[p:p + 4], ' ') END AS g
+  FROM split, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS t(p) WHERE len(w) > 0
+), size AS (
+  SELECT doc_id, count(*) AS n, md5(string_agg(g, chr(10) ORDER BY g)) AS content FROM gram GROUP BY 1
+), common AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM gram a JOIN gram b ON a.g = b.g WHERE a.doc_id <> b.doc_id GROUP BY 1, 2
+), link AS (
+  SELECT c.x, c.y FROM common c JOIN size a ON c.x = a.doc_id JOIN size b ON c.y = b.doc_id WHERE 9 * c.n >= 4 * (a.n + b.n)
+), reach AS (
+  SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM reach r JOIN link l ON r.y = l.x
+), class AS (
+  SELECT x, min(y) AS class_id FROM reach GROUP BY 1
+), copy AS (
+  SELECT content, min(doc_id) AS copy_of FROM size GROUP BY 1
+)
+SELECT d.doc_id, c.class_id, coalesce(copy.copy_of, d.doc_id) AS copy_of, (SELECT count(*) FROM link WHERE link.x = d.doc_id) AS n_links
+FROM documents d JOIN class c ON d.doc_id = c.x LEFT JOIN size USING (doc_id) LEFT JOIN copy USING (content)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": OP2_SQL}
+    return {"op2_substring_dedup": OP2_SQL, "op8_ngram_jaccard": OP8_SQL}
