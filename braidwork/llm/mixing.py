@@ -94,13 +94,16 @@ def _fit_source(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"source": rows["source"], "size": rows["size"], "extra": take})
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 17) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 17, keep: str | None = None) -> DataFrame:
     """docs: (doc_id, text, source). Returns doc_id, size, source_size, target, taken, copies, source of each row.
 
+    With keep, a column of docs that is carried along, its value as kept.
+
     taken is size times copies; copies counts the whole passes over the source plus one if the document was drawn.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    sized = stored(docs.select("doc_id", "source", size.alias("size")), "sizes")
+    carried = [F.col(keep).alias("kept")] if keep else []
+    sized = stored(docs.select("doc_id", "source", size.alias("size"), *carried), "sizes")
     draw = F.xxhash64(F.lit(seed), F.col("doc_id"))
     sized = sized.withColumn("draw", draw).withColumn("bucket", F.pmod("draw", F.lit(BUCKETS)).cast("int"))
     counts = stored(sized.groupBy("source", "size", "bucket").agg(F.count(F.lit(1)).alias("n")), "counts")
@@ -124,7 +127,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: fl
 
     same = F.col("source").eqNullSafe(F.col("r_source")) & (F.col("size") == F.col("r_size")) & (F.col("bucket") == F.col("r_bucket"))
     rank = F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy("draw", F.col("doc_id").asc_nulls_last()))
-    drawn = sized.join(rooms, same, "left").withColumn("extra", (rank <= F.coalesce("room", F.lit(0))).cast("long")).select("doc_id", "source", "size", "extra")
+    drawn = sized.join(rooms, same, "left").withColumn("extra", (rank <= F.coalesce("room", F.lit(0))).cast("long")).select("doc_id", "source", "size", "extra", *(["kept"] if keep else []))
     t = targets.select(F.col("source").alias("t_source"), "source_size", "target", "passes")
     copies = F.when(F.col("size") > 0, F.col("passes") + F.col("extra")).otherwise(F.lit(0))
-    return drawn.join(t, F.col("source").eqNullSafe(F.col("t_source"))).select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.cast("long").alias("copies"), "source")
+    return drawn.join(t, F.col("source").eqNullSafe(F.col("t_source"))).select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.cast("long").alias("copies"), "source", *(["kept"] if keep else []))
