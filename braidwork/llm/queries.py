@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braidwork.llm import jaccard, language, media, mixing, passages, pieces, secrets, toxicity
+from braidwork.llm import jaccard, language, media, mixing, neighbours, passages, pieces, secrets, toxicity
 
 #: The tokenizer file of op6 and of the pipeline's last stage.
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -23,6 +23,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pruned_graph_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.remove_repeats(_table(spark, sf_dir, "documents")).drop("repeats")
 
@@ -59,7 +63,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_substring_dedup, op3_secret_ownership, op4_language_crf, op5_toxicity_ordinal, op6_sentencepiece, op8_ngram_jaccard, op9_avi_payload, op10_source_mix)}
+    return {f.__name__: f for f in (op1_pruned_graph_neighbours, op2_substring_dedup, op3_secret_ownership, op4_language_crf, op5_toxicity_ordinal, op6_sentencepiece, op8_ngram_jaccard, op9_avi_payload, op10_source_mix)}
 
 
 #: Positions of all words, the sequence of 50 from each, the least document that has it, and what a later one keeps.
