@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braidwork.llm import jaccard, language, media, mixing, neighbours, passages, pieces, secrets, toxicity
+from braidwork.llm import jaccard, language, media, mixing, neighbours, ngram_lm, passages, pieces, secrets, toxicity
 
 #: The tokenizer file of op6 and of the pipeline's last stage.
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -50,6 +50,11 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_pieces(_table(spark, sf_dir, "documents"), piece_model())
 
 
+def op7_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = F.crc32(F.col("doc_id").cast("string")) % 10
+    return ngram_lm.score_documents(_table(spark, sf_dir, "documents"), held_out=fold == 0, delete_fold=fold == 1)
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similarity_classes(_table(spark, sf_dir, "documents")).drop("text_key")
 
@@ -63,7 +68,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pruned_graph_neighbours, op2_substring_dedup, op3_secret_ownership, op4_language_crf, op5_toxicity_ordinal, op6_sentencepiece, op8_ngram_jaccard, op9_avi_payload, op10_source_mix)}
+    return {f.__name__: f for f in (op1_pruned_graph_neighbours, op2_substring_dedup, op3_secret_ownership, op4_language_crf, op5_toxicity_ordinal, op6_sentencepiece, op7_deleted_interpolation, op8_ngram_jaccard, op9_avi_payload, op10_source_mix)}
 
 
 #: Positions of all words, the sequence of 50 from each, the least document that has it, and what a later one keeps.
