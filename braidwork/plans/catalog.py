@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from braidwork.plans import structure
+from braidwork.plans import phylogeny, statistics, structure
 
-_PLANS = (structure,)
+_PLANS = (structure, phylogeny, statistics)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
