@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from braidwork.plans import phylogeny, statistics, structure
+from braidwork.plans import phylogeny, sequences, statistics, structure
 
-_PLANS = (structure, phylogeny, statistics)
+_PLANS = (structure, phylogeny, statistics, sequences)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
