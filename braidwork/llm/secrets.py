@@ -112,10 +112,13 @@ def scan_secrets(docs: DataFrame, owner: Column, repo: Column, example_owners: i
     def count(test):
         return F.size(F.filter("found", test)).cast("long")
 
+    def of_kind(k):
+        return lambda s: s["kind"] == k
+
     return both.select(
         F.col("doc_id").cast("long").alias("doc_id"),
-        *[count(lambda s, k=k: s["kind"] == k).alias(f"n_{KINDS[k]}") for k in range(3)],
-        count(lambda s: s["kind"] == 3).alias("n_live_added"),
+        *[count(of_kind(k)).alias(f"n_{KINDS[k]}") for k in range(3)],
+        count(of_kind(3)).alias("n_live_added"),
         count(lambda s: s["verdict"] == "example").alias("n_example"),
         count(lambda s: s["verdict"] == "live").alias("n_owner_specific"),
         F.sha2(joined_spans(F.filter("found", lambda s: s["kind"] < 3)), 256).alias("base_sha256"),
