@@ -100,6 +100,6 @@ def maximal_cliques(links: DataFrame, least: int = 3) -> DataFrame:
         for b, e in part.loc[part["kind"] == 1, ["b", "c"]].itertuples(index=False):
             shut.setdefault(int(e), set()).add(int(b))
         found = [[seed, *q] for q in _cliques(adjacent) if len(q) + 1 >= least and not any(set(q) <= known for known in shut.values())]
-        return pd.DataFrame({"seed": [seed] * len(found), "size": [len(q) for q in found], "nodes": [",".join(map(str, sorted(q))) for q in found]})
+        return pd.DataFrame({"seed": [seed] * len(found), "size": [len(q) for q in found], "nodes": pd.Series([",".join(map(str, sorted(q))) for q in found], dtype=object)})
 
     return rows.groupBy("s").applyInPandas(find, "seed long, size int, nodes string")
