@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -156,3 +160,55 @@ def medoids(pairs: DataFrame, score: str) -> DataFrame:
     sums = ends.groupBy("family", "chain").agg(F.round(F.sum(score), 6).alias("total"))
     top = sums.groupBy("family").agg(F.max(F.struct("total", (-F.col("chain")).alias("m"))).alias("t"))
     return top.select("family", (-F.col("t.m")).alias("medoid"), "t.total")
+
+
+def conserved_contacts(chains: DataFrame, edges: DataFrame) -> DataFrame:
+    """(family, class, identical, n_contacts, n_conserved): contacts of the first chain of each pair by the number of
+    its ends (0 to 2) whose types agree in both chains, and how many of them the second chain has as well.
+
+    A contact counts as many if the product of the four contact counts of its ends exceeds the fourth power of the
+    mean count of all residues, else as few."""
+    ends = contact_degree(edges)
+    mean = ends.agg(F.sum("n_cont").alias("ends")).crossJoin(chains.agg(F.sum(F.size("residues")).alias("res"))).select((F.col("ends") / F.col("res")).alias("mean"))  # two single rows
+    degree = ends.groupBy("chain").agg(F.map_from_entries(F.collect_list(F.struct("res", "n_cont"))).alias("degree"))
+    packed = edges.groupBy("chain").agg(F.collect_list(F.struct("i", "j")).alias("pairs"))
+    own = chains.join(degree, "chain", "left").join(packed, "chain", "left")
+    met = family_pairs(own, "residues", "degree", "pairs")
+    rows = met.select("family", "a_residues", "b_residues", "a_degree", "b_degree", "b_pairs", F.explode("a_pairs").alias("c"))
+
+    def count(side: str, end: str) -> Column:
+        return F.coalesce(F.element_at(f"{side}_degree", F.col(f"c.{end}")), F.lit(0)).cast("double")
+
+    def same(end: str) -> Column:
+        return (F.get("a_residues", F.col(f"c.{end}"))["aa"] == F.get("b_residues", F.col(f"c.{end}"))["aa"]).cast("int")
+
+    product = count("a", "i") * count("a", "j") * count("b", "i") * count("b", "j")
+    flags = rows.select("family", product.alias("product"), (same("i") + same("j")).alias("identical"), F.coalesce(F.array_contains("b_pairs", F.col("c")), F.lit(False)).alias("kept"))
+    # one row
+    flags = flags.crossJoin(F.broadcast(mean)).withColumn("class", F.when(F.col("product") > F.pow("mean", F.lit(4.0)), "many").otherwise("few"))
+    return flags.groupBy("family", "class", "identical").agg(F.count(F.lit(1)).alias("n_contacts"), F.count_if("kept").alias("n_conserved"))
+
+
+def monotone_anchors(chains: DataFrame) -> DataFrame:
+    """(family, i, j, n_mutual, n_kept): residues of two chains that are each other's nearest (first of equals), and
+    how many of them stay when read along the first chain only those further on in the second are kept.
+
+    Nested functions of columns would be evaluated anew for each element, so distances are taken from arrays."""
+
+    def xyz(residues) -> np.ndarray:
+        return np.array([[r["x"], r["y"], r["z"]] for r in residues])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            mutual, kept = [], []
+            for a, b in zip(rows["a_residues"], rows["b_residues"], strict=True):
+                p, q = xyz(a), xyz(b)
+                d2 = (p[:, None, 0] - q[None, :, 0]) ** 2 + (p[:, None, 1] - q[None, :, 1]) ** 2 + (p[:, None, 2] - q[None, :, 2]) ** 2
+                to, back = d2.argmin(axis=1), d2.argmin(axis=0)
+                anchors = to[back[to] == np.arange(len(p))]
+                before = np.maximum.accumulate(np.concatenate([[-1], anchors]))[:-1]
+                mutual.append(len(anchors))
+                kept.append(int((anchors > before).sum()))
+            yield pd.DataFrame({"family": rows["family"], "i": rows["a_chain"], "j": rows["b_chain"], "n_mutual": mutual, "n_kept": kept})
+
+    return family_pairs(chains, "residues").mapInPandas(run, "family int, i long, j long, n_mutual int, n_kept int")

@@ -118,6 +118,14 @@ def conformation_medoid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ch.medoids(ch.pair_scores(score_chains(spark, sf_dir)), "tm").select("family", "medoid", _r("total", 4))
 
 
+def contact_conservation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ch.conserved_contacts(contact_chains(spark, sf_dir), contact_edges(spark, sf_dir))
+
+
+def monotone_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ch.monotone_anchors(score_chains(spark, sf_dir))
+
+
 def structure_file_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every chain written as a fixed-width structure file and scanned again."""
     from braidwork.sources import structures
@@ -203,7 +211,28 @@ round(sum(x*(res+1))/sum(res+1), 6) AS wx, round(sum(y*(res+1))/sum(res+1), 6) A
     "tm_sum_columns": f"WITH {_PAIRS} SELECT family, res::INT AS res, round(sum(1/(1+d2/({_SCALE2}))), 4) AS tm_sum FROM pos GROUP BY 1, 2",
     "conformation_medoid": f"""WITH {_PAIRS}, sums AS (SELECT family, chain, round(sum(tm), 6) AS total FROM (SELECT family, i AS chain, tm FROM pairs UNION ALL SELECT family, j, tm FROM pairs) GROUP BY 1, 2)
 SELECT family, chain AS medoid, round(total, 4) AS total FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY total DESC, chain) AS r FROM sums) WHERE r = 1""",
+    "contact_conservation": f"""WITH {_CONTACTS}, ends AS (SELECT chain, i AS r FROM edges UNION ALL SELECT chain, j FROM edges), deg AS (SELECT chain, r, count(*)::DOUBLE AS n FROM ends GROUP BY 1, 2), mean AS (
+  SELECT (SELECT count(*) FROM ends)/(SELECT count(*) FROM res2)::DOUBLE AS m
+), typed AS (SELECT chain, res, {_OCTANT.format('res2')} AS aa FROM res2), flags AS (
+  SELECT e.family, CASE WHEN ai.n*aj.n*coalesce(bi.n, 0)*coalesce(bj.n, 0) > pow((SELECT m FROM mean), 4) THEN 'many' ELSE 'few' END AS class,
+    (CASE WHEN ti.aa = ui.aa THEN 1 ELSE 0 END + CASE WHEN tj.aa = uj.aa THEN 1 ELSE 0 END) AS identical, k.chain IS NOT NULL AS kept
+  FROM edges e JOIN embeddings b ON e.family = b.label AND e.chain > b.vec_id
+  JOIN deg ai ON ai.chain = e.chain AND ai.r = e.i JOIN deg aj ON aj.chain = e.chain AND aj.r = e.j
+  LEFT JOIN deg bi ON bi.chain = b.vec_id AND bi.r = e.i LEFT JOIN deg bj ON bj.chain = b.vec_id AND bj.r = e.j
+  JOIN typed ti ON ti.chain = e.chain AND ti.res = e.i JOIN typed tj ON tj.chain = e.chain AND tj.res = e.j
+  JOIN typed ui ON ui.chain = b.vec_id AND ui.res = e.i JOIN typed uj ON uj.chain = b.vec_id AND uj.res = e.j
+  LEFT JOIN edges k ON k.chain = b.vec_id AND k.i = e.i AND k.j = e.j
+) SELECT family, class, identical, count(*) AS n_contacts, count(*) FILTER (kept) AS n_conserved FROM flags GROUP BY 1, 2, 3""",
+    "monotone_anchors": f"""WITH {_residues(SCORE_SCALE)}, d AS (
+  SELECT a.family, a.chain AS i, b.chain AS j, a.res AS p, b.res AS q, (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z) AS d2
+  FROM res a JOIN res b ON a.family = b.family AND a.chain > b.chain
+), m AS (
+  SELECT family, i, j, p, q FROM (SELECT *, row_number() OVER (PARTITION BY i, j, p ORDER BY d2, q) AS rp, row_number() OVER (PARTITION BY i, j, q ORDER BY d2, p) AS rq FROM d) WHERE rp = 1 AND rq = 1
+), k AS (SELECT *, max(q) OVER (PARTITION BY i, j ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM m), n AS (
+  SELECT i, j, count(*) AS n_mutual, count(*) FILTER (before IS NULL OR q > before) AS n_kept FROM k GROUP BY 1, 2
+) SELECT a.label AS family, a.vec_id AS i, b.vec_id AS j, coalesce(n_mutual, 0)::INT AS n_mutual, coalesce(n_kept, 0)::INT AS n_kept
+FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id > b.vec_id LEFT JOIN n ON n.i = a.vec_id AND n.j = b.vec_id""",
     "structure_file_scan": f"""WITH {_residues(CONTACT_SCALE)} SELECT chain, res::INT AS res, substr('ARNDCQEG', {_OCTANT.format('res')}+1, 1) AS aa, round(x, 3) AS x, round(y, 3) AS y, round(z, 3) AS z FROM res""",
 }
 
-QUERIES = {f.__name__: f for f in (pair_scores, contact_map, contact_degree, mean_contacts, contact_overlap, contact_votes, pc_divergence, mean_scores, best_score_counts, nearest_neighbour, mutual_neighbour, residue_neighbour, centroid, tm_sum_columns, conformation_medoid, structure_file_scan)}
+QUERIES = {f.__name__: f for f in (pair_scores, contact_map, contact_degree, mean_contacts, contact_overlap, contact_votes, pc_divergence, mean_scores, best_score_counts, nearest_neighbour, mutual_neighbour, residue_neighbour, centroid, tm_sum_columns, conformation_medoid, contact_conservation, monotone_anchors, structure_file_scan)}
