@@ -5,7 +5,7 @@ last 1 to 3 bytes (affixes) and its n-grams of 2 and 3 bytes. Languages of neigh
 transition weights; forward-backward gives each word's marginals. A document's language is the one with the most
 expected words, its score their share.
 
-The field is fitted on a bounded sample: at most SAMPLE labelled documents of each language of at most SAMPLE_CHARS
+The field is fitted, in one task, on a bounded sample: at most SAMPLE labelled documents of each language of at most SAMPLE_CHARS
 characters, drawn by a hash of doc_id. The sample is cut into pieces that are spliced at random into sequences of
 mixed languages, from which the transitions are learned. Every whole text is labelled.
 
@@ -24,10 +24,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from braidwork.llm.blocks import LOWER, NOT_LETTER, Words, slices, words
+from braidwork.llm.sampling import least_hashes
 
 SAMPLE, SAMPLE_CHARS = 250, 20_000
 SLOTS = 1 << 17
@@ -233,21 +234,35 @@ def fit(texts: pa.Array, langs: list[str], seed: int = 5, epochs: int = 4, batch
     return LanguageModel(names, weights.astype(np.float32), transitions)
 
 
-def labelled_sample(docs: DataFrame, usable: Column, sample: int = SAMPLE, most_chars: int = SAMPLE_CHARS) -> pa.Table:
-    """(text, lang) of at most sample usable rows of each language; a bound that holds at every size."""
+def labelled_sample(docs: DataFrame, usable: Column, sample: int = SAMPLE, most_chars: int = SAMPLE_CHARS) -> DataFrame:
+    """(doc_id, text, lang) of at most sample usable documents of each language; a bound that holds at every size."""
     rows = docs.where(usable & F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.length("text") <= most_chars))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = rows.select("doc_id", "lang").withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample).select("doc_id").distinct()
+    ids = least_hashes(rows.select("doc_id", "lang").distinct(), "lang", "doc_id", sample)
     # the sample's ids: at most sample for each language
-    return rows.select("doc_id", "text", "lang").join(F.broadcast(ids), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "lang", "text").select("text", "lang").toArrow()
+    return rows.select("doc_id", "text", "lang").join(F.broadcast(ids), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+
+
+def _fit_sample(table: pa.Table) -> pa.Table:
+    table = table.sort_by([("lang", "ascending"), ("doc_id", "ascending")])
+    model = fit(table.column("text").combine_chunks(), table.column("lang").to_pylist())
+    out = [] if model is None else [("\x00".join(model.names), model.weights.tobytes(), model.transitions.tobytes())]
+    return pa.Table.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.string(), pa.binary(), pa.binary()))], ["names", "weights", "transitions"])
+
+
+def fitted(sample: DataFrame) -> LanguageModel | None:
+    """The model of a bounded sample, fitted in one task; what comes back is a table of fixed size."""
+    rows = sample.withColumn("one_task", F.lit(0)).groupBy("one_task").applyInArrow(_fit_sample, "names string, weights binary, transitions binary").collect()
+    if not rows:
+        return None
+    names = rows[0]["names"].split("\x00")
+    return LanguageModel(names, np.frombuffer(rows[0]["weights"], np.float32).reshape(SLOTS, len(names)), np.frombuffer(rows[0]["transitions"]).reshape(len(names), -1))
 
 
 def identify(docs: DataFrame, held_out: Column) -> DataFrame:
     """docs: (doc_id, text, lang). Learns from the rows that held_out does not mark; returns doc_id, held_out,
     lang_pred and score of every row."""
     marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    sample = labelled_sample(marked, ~F.col("held_out") & F.col("doc_id").isNotNull())
-    model = fit(sample.column("text").combine_chunks(), sample.column("lang").to_pylist()) if sample.num_rows else None
+    model = fitted(labelled_sample(marked, ~F.col("held_out") & F.col("doc_id").isNotNull()))
     rows = marked.select("doc_id", "held_out", "text")
     if model is None:
         return rows.select("doc_id", "held_out", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))

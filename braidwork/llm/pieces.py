@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from braidwork.llm.blocks import slices
 
 SPACE = "▁"
-CACHE = 400_000
+CACHE = 250_000
 _LONG = 80
 _NEVER = 1 << 60
 
@@ -126,7 +126,7 @@ class PieceTable:
             before = last[end - n]
             ok = seen(before << 20 | piece)
             if ok is None:
-                if len(fits) > 4 * CACHE:
+                if len(fits) > 2 * CACHE:
                     fits.clear()
                 ok = fits[before << 20 | piece] = self.fit(self.name[before], self.name[piece])
             if ok:

@@ -3,7 +3,7 @@
 P(grade <= k) = logistic(threshold_k - w.x): all thresholds share the weights. Features are letter words and their
 beginnings of 4 to 7 bytes (ASCII lower-cased), as log(1 + count) of those that the labelled sample links to a grade.
 
-The model is fitted on a bounded sample: at most SAMPLE documents of each label of at most SAMPLE_CHARS characters,
+The model is fitted, in one task, on a bounded sample: at most SAMPLE documents of each label of at most SAMPLE_CHARS characters,
 drawn by a hash of doc_id and weighted by how many labelled documents each stands for. Scoring reads every whole text.
 
 Edge cases: a null text has no feature and gets the severity of a text without any; null labels are not used; with no
@@ -18,19 +18,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from braidwork.llm.blocks import NOT_LETTER, slices, words
+from braidwork.llm.sampling import least_hashes
 
 SAMPLE = 4000
 SAMPLE_CHARS = 50_000
 #: Bytes of word beginnings.
 BEGINNINGS = (4, 5, 6, 7)
-#: Least likelihood ratio statistic of a feature, and how many features are kept at most and looked at first.
-LEAST_RATIO, MOST_FEATURES = 20.0, 8192
-_SLOTS = 1 << 22
+#: Least likelihood ratio statistic of a feature, and how many features are kept at least and at most.
+LEAST_RATIO, FEWEST_FEATURES, MOST_FEATURES = 20.0, 8, 8192
+_SLOTS = 1 << 21
 #: A document is toxic if its expected severity reaches this.
 REJECT = 0.5
 
@@ -93,7 +94,7 @@ def likelihood_ratio(with_high: np.ndarray, with_low: np.ndarray, high: float, l
     return np.where(with_high * total >= n * high, g, -g)
 
 
-def fit_thresholds(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, n_features: int, grades: np.ndarray, weight: np.ndarray, penalty: float = 1e-3, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
+def fit_thresholds(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, n_features: int, grades: np.ndarray, weight: np.ndarray, penalty: float = 3e-5, steps: int = 800) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds of the cumulative-link model by full-batch Adam on the penalised mean log loss."""
     top = int(grades.max())
     share = weight / weight.sum()
@@ -124,16 +125,31 @@ def fit_thresholds(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, n_fea
     return p[:n_features], p[n_features] + np.concatenate([[0.0], np.cumsum(np.exp(p[n_features + 1 :]))])
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, sample: int = SAMPLE, most_chars: int = SAMPLE_CHARS) -> tuple[pa.Table, dict[int, int]]:
-    """At most sample rows (text, grade) of each label value, and how many labelled documents each value has."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, sample: int = SAMPLE, most_chars: int = SAMPLE_CHARS) -> DataFrame:
+    """(text, grade, total): at most sample rows of each label value, with how many labelled documents that has."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("grade"))
-    short = docs.where(F.col("text").isNotNull() & (F.length("text") <= most_chars)).select("doc_id", F.length("text").alias("n")).join(known, "doc_id").select("doc_id", "grade")
-    order = Window.partitionBy("grade").orderBy(F.xxhash64("doc_id"), "doc_id")
+    totals = known.groupBy("grade").agg(F.count(F.lit(1)).alias("total"))
+    short = docs.where(F.col("text").isNotNull() & (F.length("text") <= most_chars)).select("doc_id").join(known, "doc_id").select("doc_id", "grade").distinct()
     # at most sample small rows of each label value: a bound that holds at every size
-    chosen = short.withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample).select("doc_id", "grade").distinct()
-    totals = {r["grade"]: r["n"] for r in known.groupBy("grade").agg(F.count(F.lit(1)).alias("n")).collect()}
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where(F.col("text").isNotNull() & (F.length("text") <= most_chars))
-    return texts.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample * max(len(totals), 1)).select("text", "grade").toArrow(), totals
+    chosen = least_hashes(short, "grade", "doc_id", sample).join(F.broadcast(totals), "grade")
+    met = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= most_chars)).join(F.broadcast(chosen), "doc_id")
+    return met.groupBy("doc_id", "grade", "total").agg(F.min("text").alias("text"))
+
+
+def _fit_sample(table: pa.Table) -> pa.Table:
+    table = table.sort_by("doc_id")
+    totals = dict(zip(table.column("grade").to_pylist(), table.column("total").to_pylist(), strict=True))
+    model = fit(table.select(["text", "grade"]), totals)
+    parts = [] if model is None else [[model.hashes.tobytes()], [model.weights.tobytes()], [model.thresholds.tobytes()]]
+    return pa.Table.from_arrays([pa.array(p, pa.binary()) for p in parts or [[], [], []]], ["hashes", "weights", "thresholds"])
+
+
+def fitted(sample: DataFrame) -> OrdinalModel | None:
+    """The model of a bounded sample, fitted in one task; what comes back is a few numbers a feature."""
+    rows = sample.withColumn("one_task", F.lit(0)).groupBy("one_task").applyInArrow(_fit_sample, "hashes binary, weights binary, thresholds binary").collect()
+    if not rows:
+        return None
+    return OrdinalModel(np.frombuffer(rows[0]["hashes"], np.uint64), np.frombuffer(rows[0]["weights"]), np.frombuffer(rows[0]["thresholds"]))
 
 
 def fit(sample: pa.Table, totals: dict[int, int]) -> OrdinalModel | None:
@@ -146,7 +162,7 @@ def fit(sample: pa.Table, totals: dict[int, int]) -> OrdinalModel | None:
         return None
     grades = np.searchsorted(values, sample.column("grade").to_numpy())
     parts, at = [], 0
-    for batch in slices(sample.combine_chunks().to_batches()):
+    for batch in slices(sample.combine_chunks().to_batches(), limit=1 << 20):
         parts.append((at, batch.column("text")))
         at += batch.num_rows
     positive = grades > 0
@@ -160,7 +176,7 @@ def fit(sample: pa.Table, totals: dict[int, int]) -> OrdinalModel | None:
             slot_counts[side] += np.bincount(mine, minlength=_SLOTS).astype(np.int32)
     some = np.flatnonzero(slot_counts.sum(axis=0) >= 2)
     ratio = likelihood_ratio(slot_counts[1][some].astype(float), slot_counts[0][some].astype(float), float(positive.sum()), float((~positive).sum()))
-    keep = some[np.abs(ratio) >= LEAST_RATIO] if (np.abs(ratio) >= LEAST_RATIO).sum() >= 16 else some[np.argsort(-np.abs(ratio))[:64]]
+    keep = some[np.argsort(-np.abs(ratio), kind="stable")[: max(FEWEST_FEATURES, int((np.abs(ratio) >= LEAST_RATIO).sum()))]]
     wanted = np.zeros(_SLOTS, bool)
     wanted[keep] = True
     seen_rows, seen_hashes, seen_counts = [], [], []
@@ -176,7 +192,7 @@ def fit(sample: pa.Table, totals: dict[int, int]) -> OrdinalModel | None:
     names, cols = np.unique(hashes, return_inverse=True)
     high = np.bincount(cols, positive[rows], minlength=len(names))
     ratio = likelihood_ratio(high, np.bincount(cols, minlength=len(names)) - high, float(positive.sum()), float((~positive).sum()))
-    best = np.sort(np.argsort(-np.abs(ratio), kind="stable")[: min(MOST_FEATURES, max(64, int((np.abs(ratio) >= LEAST_RATIO).sum())))])
+    best = np.sort(np.argsort(-np.abs(ratio), kind="stable")[: min(MOST_FEATURES, max(FEWEST_FEATURES, int((np.abs(ratio) >= LEAST_RATIO).sum())))])
     place = np.full(len(names), -1)
     place[best] = np.arange(len(best))
     kept = place[cols] >= 0
@@ -194,7 +210,7 @@ def fit(sample: pa.Table, totals: dict[int, int]) -> OrdinalModel | None:
 def score_severity(docs: DataFrame, labels: DataFrame, label: str = "toxic", reject: float = REJECT) -> DataFrame:
     """docs: (doc_id, text, ...); labels: (doc_id, label). docs with severity (the likeliest of the grades by expected
     value), expected_severity and toxic (expected severity of at least reject)."""
-    model = fit(*labelled_sample(docs, labels, label))
+    model = fitted(labelled_sample(docs, labels, label))
     if model is None:
         return docs.withColumns({"severity": F.lit(0), "expected_severity": F.lit(0.0), "toxic": F.lit(False)})
     sent = docs.sparkSession.sparkContext.broadcast((model.hashes, model.weights, model.thresholds))
