@@ -20,51 +20,72 @@ from pyspark.sql import functions as F
 from braidwork.llm.blocks import WORD
 from braidwork.session import stored
 
-#: Most words that the exact programme fits; larger remainders are first reduced by whole documents.
+#: Words that the exact programme fits, or twice the longest text; larger remainders are first reduced by whole documents.
 EXACT_WORDS = 1 << 16
 BUCKETS = 256
 
 
+def _fill(sizes: np.ndarray, left: np.ndarray, room: int) -> np.ndarray:
+    """How many of each size to add, at most left each, for the greatest sum of at most room: a bounded knapsack that
+    keeps, for every sum, the item that first reached it."""
+    more, left = np.zeros(len(sizes), np.int64), np.minimum(left, room // sizes)
+    if not left.any():
+        return more
+    unit = int(np.gcd.reduce(sizes[left > 0]))
+    room //= unit
+    by = np.full(room + 1, -1, np.int32)
+    by[0], items = 0, [(0, 0, 0)]
+    for i in np.argsort(-sizes):
+        n, power = int(left[i]), 1
+        while n > 0 and by[room] < 0:
+            m = min(power, n)
+            words = m * int(sizes[i]) // unit
+            by[np.flatnonzero((by[:-words] >= 0) & (by[words:] < 0)) + words] = len(items)
+            items.append((int(i), m, words))
+            n, power = n - m, power * 2
+    at = int(np.flatnonzero(by >= 0)[-1])
+    while at:
+        i, m, words = items[by[at]]
+        more[i] += m
+        at -= words
+    return more
+
+
 def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: int, exact: int = EXACT_WORDS) -> np.ndarray:
     """How many documents of each size to take, at most counts each, so that the sizes sum to budget or just under it.
 
     sizes are distinct and positive. The proportional share leaves less than one document of each size; the largest
-    sizes are then added while more than exact words are missing; the rest is a bounded knapsack on bit sets.
+    sizes are then added while more than limit words are missing, limit being exact or twice the largest size, so that
+    all that is still missing fits into the knapsack (4 bytes a word). Where the budget is not met to the word, one, two,
+    four, ... documents of each size are given back and fitted anew, as long as at most 2 * limit words are then missing.
     """
+    sizes, counts = sizes.astype(np.int64), counts.astype(np.int64)
     total = int((sizes * counts).sum())
     if budget <= 0 or not total:
         return np.zeros(len(sizes), np.int64)
     if budget >= total:
-        return counts.astype(np.int64)
-    take = np.array([int(c) * budget // total for c in counts], np.int64)
-    missing = budget - int((take * sizes).sum())
-    order = np.argsort(-sizes)
-    for i in order:
-        if missing <= exact:
+        return counts
+    share = np.array([int(c) * budget // total for c in counts], np.int64)
+    limit = max(exact, 2 * int(sizes.max()))
+    best, back, short = share, 0, budget + 1
+    while short:
+        take = np.maximum(share - back, 0)
+        missing = budget - int((take * sizes).sum())
+        if back and missing > 2 * limit:
             break
-        more = min(int(counts[i] - take[i]), (missing - exact // 2) // int(sizes[i]))
-        take[i] += max(more, 0)
-        missing -= max(more, 0) * int(sizes[i])
-    items = []
-    for i in order:
-        left, power = min(int(counts[i] - take[i]), missing // int(sizes[i])), 1
-        while left > 0:
-            m = min(power, left)
-            items.append((int(i), m, m * int(sizes[i])))
-            left, power = left - m, power * 2
-    room = min(missing, 2 * exact)
-    mask, reach, before = (1 << (room + 1)) - 1, 1, []
-    for _, _, words in items:
-        before.append(reach)
-        reach |= (reach << words) & mask
-        if reach >> room & 1:
+        for i in np.argsort(-sizes):
+            if missing <= limit or back:
+                break
+            more = max(min(int(counts[i] - take[i]), (missing - limit // 2) // int(sizes[i])), 0)
+            take[i] += more
+            missing -= more * int(sizes[i])
+        take = take + _fill(sizes, counts - take, missing)
+        if (left := budget - int((take * sizes).sum())) < short:
+            best, short = take, left
+        if back >= int(share.max()):
             break
-    at = reach.bit_length() - 1
-    for (i, m, words), earlier in zip(reversed(items[: len(before)]), reversed(before), strict=True):
-        if not earlier >> at & 1:
-            take[i] += m
-            at -= words
-    return take
+        back = max(1, back * 2)
+    return best
 
 
 def source_targets(sources: DataFrame, weights: tuple[int, ...], share: float, cap: float) -> DataFrame:

@@ -67,3 +67,17 @@ def test_budgets_are_fitted_exactly():
         assert (take <= counts).all() and (take >= 0).all() and int((take * sizes).sum()) == budget
     big = mixing.fit_budget(np.array([10**7, 3]), np.array([5, 2]), 2 * 10**7 + 5, exact=1000)
     assert big.tolist() == [2, 1]
+
+
+def test_few_long_texts_are_fitted():
+    def best(sizes, counts, budget):
+        sums = {0}
+        for s, c in zip(sizes, counts, strict=True):
+            sums = {x + k * s for x in sums for k in range(c + 1)}
+        return max(x for x in sums if x <= budget)
+
+    cases = [([1_000_000, 1_200_000], [1, 1], 1_010_000), ([200_000, 300_000, 450_001], [1, 1, 1], 660_000), ([700_000, 500_000], [2, 2], 1_400_000), ([140_000, 150_000, 7], [3, 1, 3], 430_020)]
+    for sizes, counts, budget in cases:
+        take = mixing.fit_budget(np.array(sizes), np.array(counts), budget)
+        assert (take >= 0).all() and (take <= counts).all()
+        assert int((take * sizes).sum()) == best(sizes, counts, budget)
