@@ -31,7 +31,7 @@ from braidwork.session import stored
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.99999
 #: Coordinates for sketches and for splits below the first.
-SKETCH = 32
+SKETCH = 64
 #: Most members of a bucket that is compared at once; share of a bucket in one value that makes it dense.
 LIMIT, DENSE = 400, 0.7
 _MOST_SPLITS = 24
@@ -39,8 +39,27 @@ _ROW_SHIFT, _HASH_MASK = np.uint64(54), np.uint64((1 << 54) - 1)
 _ROWS = 1000
 
 
+def missed(s: float, runs: int, coordinates: int = SKETCH) -> float:
+    """Probability that a pair of similarity s meets in no run, if its bucket is split again to the last depth.
+
+    A run finds the pair if they agree on its own coordinate and stay together in at least one child at every further
+    split. These draw two of the sampled coordinates, which all runs share: m of them agree (binomial), and given m
+    the probability of being lost follows q = (1 - a + a q)^2 with a = m / coordinates."""
+    total = 0.0
+    for m in range(coordinates + 1):
+        a, q = m / coordinates, 0.0
+        for _ in range(_MOST_SPLITS):
+            q = (1 - a + a * q) ** 2
+        total += math.comb(coordinates, m) * s**m * (1 - s) ** (coordinates - m) * (1 - s * (1 - q)) ** runs
+    return total
+
+
 def runs_for(threshold: float, recall: float) -> int:
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - threshold)))
+    """Least number of runs that find a pair at the threshold with the recall, however often its buckets are split."""
+    runs = 1
+    while missed(threshold, runs) > 1 - recall:
+        runs += 1
+    return runs
 
 
 def shingle_sets(column: pa.Array, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:

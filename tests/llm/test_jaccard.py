@@ -100,3 +100,16 @@ def test_components(spark):
                     stack.append(x)
         assert root == min(seen)
     assert set(got) == {x for e in edges if e[0] != e[1] for x in e}
+
+
+def test_runs_count_the_losses_of_splits():
+    rng = np.random.default_rng(4)
+    for recall in (0.95, 0.99):
+        runs, found, n = jaccard.runs_for(0.8, recall), 0, 20_000
+        for agree in rng.binomial(jaccard.SKETCH, 0.8, n) / jaccard.SKETCH:
+            together = (rng.random(runs) < 0.8).astype(int)
+            for _ in range(jaccard._MOST_SPLITS):
+                together = np.minimum(rng.binomial(2 * together, agree), 1000)
+            found += bool(together.any())
+        assert found / n >= recall - 0.002
+    assert jaccard.missed(0.8, jaccard.runs_for(0.8, jaccard.RECALL)) <= 1 - jaccard.RECALL
