@@ -32,7 +32,7 @@ BEGINNINGS = (4, 5, 6, 7)
 #: Least likelihood ratio statistic of a feature, and how many features are kept at least and at most.
 LEAST_RATIO, FEWEST_FEATURES, MOST_FEATURES = 20.0, 8, 8192
 _SLOTS = 1 << 21
-#: A document is toxic if its expected severity reaches this.
+#: A document is toxic if the probability of a grade above the lowest reaches this.
 REJECT = 0.5
 
 
@@ -71,6 +71,10 @@ class OrdinalModel:
         """Expected severity: the sum over the thresholds of P(grade > threshold)."""
         return (1 / (1 + np.exp(np.clip(self.thresholds[None, :] - sums[:, None], -500, 500)))).sum(axis=1)
 
+    def positive(self, sums: np.ndarray) -> np.ndarray:
+        """P(grade > 0), from the first threshold."""
+        return 1 / (1 + np.exp(np.clip(self.thresholds[0] - sums, -500, 500)))
+
 
 def known_counts(column: pa.Array, hashes: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, feature, count) of the given sorted hashes; mask tells which low bits occur among them."""
@@ -209,7 +213,7 @@ def fit(sample: pa.Table, totals: dict[int, int]) -> OrdinalModel | None:
 
 def score_severity(docs: DataFrame, labels: DataFrame, label: str = "toxic", reject: float = REJECT) -> DataFrame:
     """docs: (doc_id, text, ...); labels: (doc_id, label). docs with severity (the likeliest of the grades by expected
-    value), expected_severity and toxic (expected severity of at least reject)."""
+    value), expected_severity and toxic (a probability of at least reject that the grade is above the lowest)."""
     model = fitted(labelled_sample(docs, labels, label))
     if model is None:
         return docs.withColumns({"severity": F.lit(0), "expected_severity": F.lit(0.0), "toxic": F.lit(False)})
@@ -218,8 +222,9 @@ def score_severity(docs: DataFrame, labels: DataFrame, label: str = "toxic", rej
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = OrdinalModel(*sent.value)
         for batch in slices(batches):
-            expected = own.expected(own.sums(batch.column("text")))
-            extra = [pa.array(np.rint(expected).astype(np.int32)), pa.array(expected), pa.array(expected >= reject)]
+            sums = own.sums(batch.column("text"))
+            expected = own.expected(sums)
+            extra = [pa.array(np.rint(expected).astype(np.int32)), pa.array(expected), pa.array(own.positive(sums) >= reject)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], [*batch.schema.names, "severity", "expected_severity", "toxic"])
 
     kept = docs.drop("severity", "expected_severity", "toxic")

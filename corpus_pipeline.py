@@ -14,7 +14,7 @@ from braidwork.session import stored
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose expected severity stays below the rejection level; the model is fitted on the table labels."""
+    """Documents that are likelier clean than toxic; the model is fitted on the table labels."""
     scored = toxicity.score_severity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return scored.where(~F.col("toxic")).select(*docs.columns)
 

@@ -58,3 +58,16 @@ def test_three_label_values():
     model = toxicity.fit(pa.table({"text": texts, "grade": [0] * 50 + [1] * 50 + [2] * 50}), {0: 50, 1: 50, 2: 50})
     e = model.expected(model.sums(pa.array(["good day", "bad day", "awful bad day"])))
     assert e[0] < 0.5 < e[1] < 1.5 < e[2]
+
+
+def test_likely_clean_documents_stay(spark, frame):
+    # of the texts with 0, 1, 2, 3 and 4 bad words 0, 8, 45, 80 and 96 % are labelled toxic
+    bad, share, rows = ["vile", "ugly", "foul", "mean", "sick"], [0, 8, 45, 80, 96], []
+    for k in range(5):
+        for m in range(600 if k == 2 else 100):
+            rows.append((len(rows), " ".join(["a day", *[bad[(m + x) % 5] for x in range(k)]]), k, int(m * 37 % 100 < share[k])))
+    labels = spark.createDataFrame([(i, t) for i, _, _, t in rows], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.score_severity(frame([(i, x, "en", "s", 1, "x", 1) for i, x, _, _ in rows]), labels).collect()}
+    assert not any(got[i].toxic for i, _, k, _ in rows if k <= 2)
+    assert all(got[i].toxic for i, _, k, _ in rows if k >= 3)
+    assert max(r.expected_severity for r in got.values()) > 1
