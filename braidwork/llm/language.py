@@ -6,7 +6,7 @@ transition weights; forward-backward gives each word's marginals. A document's l
 expected words, its score their share.
 
 The field is fitted, in one task, on a bounded sample: at most SAMPLE labelled documents of each language of at most SAMPLE_CHARS
-characters, drawn by a hash of doc_id. The sample is cut into pieces that are spliced at random into sequences of
+characters (longer ones where a language has no others), drawn by a hash of doc_id. The sample is cut into pieces that are spliced at random into sequences of
 mixed languages, from which the transitions are learned. Every whole text is labelled.
 
 Long texts are handled in chunks of CHUNK words: the product of a chunk's transfer matrices carries the forward and
@@ -96,6 +96,22 @@ def _scaled(x: np.ndarray) -> np.ndarray:
 
 def marginals(scores: np.ndarray, first: np.ndarray, transitions: np.ndarray) -> np.ndarray:
     """P(language of word | text) by forward-backward; first[r]:first[r + 1] are the words of text r."""
+    return _messages(scores, first, transitions)[0]
+
+
+def pair_marginals(scores: np.ndarray, first: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The marginals, the words that have one before them in their text, and for each of these
+    P(languages of the word before it and of it | text) = forward * transition * emission * backward, scaled to sum 1."""
+    p, forward, back, e = _messages(scores, first, transitions)
+    inside = np.ones(len(scores), bool)
+    inside[first[:-1][first[:-1] < len(scores)]] = False
+    right = np.flatnonzero(inside)
+    pair = forward[right - 1][:, :, None] * np.exp(transitions)[None] * (e[right] * back[right])[:, None, :]
+    return p, right, pair / np.maximum(pair.sum(axis=(1, 2), keepdims=True), 1e-300)
+
+
+def _messages(scores: np.ndarray, first: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Marginals, forward and backward messages and emissions of each word."""
     n, k = scores.shape
     counts = np.diff(first)
     chunks = -(-counts // CHUNK)
@@ -135,8 +151,9 @@ def marginals(scores: np.ndarray, first: np.ndarray, transitions: np.ndarray) ->
     for s in range(CHUNK - 1, -1, -1):
         back[:, s] = b
         b = np.where(real[:, s, None], _scaled((e[:, s] * b) @ t.T), b)
-    p = (forward * back).reshape(m * CHUNK, k)[place]
-    return p / np.maximum(p.sum(axis=1, keepdims=True), 1e-300)
+    forward, back, e = (x.reshape(m * CHUNK, k)[place] for x in (forward, back, e))
+    p = forward * back
+    return p / np.maximum(p.sum(axis=1, keepdims=True), 1e-300), forward, back, e
 
 
 @dataclass
@@ -168,6 +185,17 @@ class LanguageModel:
         return names, score
 
 
+def transition_gradient(p: np.ndarray, right: np.ndarray, pair: np.ndarray, y: np.ndarray, first: np.ndarray, transitions: np.ndarray) -> np.ndarray:
+    """Gradient of the negative log likelihood of the labels y by the transitions: expected less observed neighbours.
+
+    The first word of a text is entered from every language alike, so it counts by the shares of its transitions."""
+    k = len(transitions)
+    observed = np.bincount(y[right - 1] * k + y[right], minlength=k * k).reshape(k, k)
+    start = first[:-1][np.diff(first) > 0]
+    entered = np.exp(transitions) / np.exp(transitions).sum(axis=0)
+    return pair.sum(axis=0) - observed + entered * (p[start].sum(axis=0) - np.bincount(y[start], minlength=k))
+
+
 def fit(texts: pa.Array, langs: list[str], seed: int = 5, epochs: int = 4, batch_words: int = 30_000) -> LanguageModel | None:
     """Weights that maximise the likelihood of the labels of spliced sequences (AdaGrad on mini-batches)."""
     names = sorted(set(langs))
@@ -215,28 +243,27 @@ def fit(texts: pa.Array, langs: list[str], seed: int = 5, epochs: int = 4, batch
             inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
             feats, owner = slots[np.repeat(begin[idx], size) + inner], np.repeat(np.arange(n), size)
             scores = np.stack([np.bincount(owner, weights[feats, j], minlength=n) for j in range(k)], axis=1)
-            p = marginals(scores, first, transitions)
+            p, right, pair = pair_marginals(scores, first, transitions)
             error = p.copy()
             error[np.arange(n), y] -= 1
             g = np.stack([np.bincount(feats, error[owner, j], minlength=SLOTS) for j in range(k)], axis=1) / n + 1e-6 * weights
             seen_w += g * g
             weights -= 0.5 * g / np.sqrt(seen_w)
-            # neighbours: expected pairs from the marginals of both ends and the transition between them
-            inside = np.ones(n, bool)
-            inside[first[:-1]] = False
-            right = np.flatnonzero(inside)
-            pair = p[right - 1][:, :, None] * p[right][:, None, :] * np.exp(transitions)[None]
-            pair /= np.maximum(pair.sum(axis=(1, 2), keepdims=True), 1e-300)
-            observed = np.bincount(y[right - 1] * k + y[right], minlength=k * k).reshape(k, k)
-            gt = (pair.sum(axis=0) - observed) / n + 1e-5 * transitions
+            gt = transition_gradient(p, right, pair, y, first, transitions) / n + 1e-5 * transitions
             seen_t += gt * gt
             transitions -= 0.1 * gt / np.sqrt(seen_t)
     return LanguageModel(names, weights.astype(np.float32), transitions)
 
 
 def labelled_sample(docs: DataFrame, usable: Column, sample: int = SAMPLE, most_chars: int = SAMPLE_CHARS) -> DataFrame:
-    """(doc_id, text, lang) of at most sample usable documents of each language; a bound that holds at every size."""
-    rows = docs.where(usable & F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.length("text") <= most_chars))
+    """(doc_id, text, lang) of at most sample usable documents of each language; a bound that holds at every size.
+
+    They are texts of at most most_chars characters; a language that has none draws from its longer texts, whole."""
+    rows = docs.where(usable & F.col("text").isNotNull() & F.col("lang").isNotNull())
+    short = F.length("text") <= most_chars
+    with_short = rows.where(short).select("lang").distinct().withColumn("has_short", F.lit(True))
+    # one row for each language
+    rows = rows.join(F.broadcast(with_short), "lang", "left").where(short | F.col("has_short").isNull()).drop("has_short")
     ids = least_hashes(rows.select("doc_id", "lang").distinct(), "lang", "doc_id", sample)
     # the sample's ids: at most sample for each language
     return rows.select("doc_id", "text", "lang").join(F.broadcast(ids), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))

@@ -62,3 +62,35 @@ def test_no_labels_and_empty_table(frame):
     rows = [(1, "abc", None, "s", 1, "x", 1)]
     assert [tuple(r) for r in language.identify(frame(rows), held_out()).collect()] == [(1, zlib.crc32(b"1") % 3 == 1, "und", 0.0)]
     assert language.identify(frame([]), held_out()).collect() == []
+
+
+def test_pair_marginals_and_their_gradient_are_exact(monkeypatch):
+    rng = np.random.default_rng(1)
+    scores, t, first, y = rng.normal(size=(9, 3)), rng.normal(size=(3, 3)), np.array([0, 4, 4, 9]), rng.integers(0, 3, 9)
+
+    def weight(x, a, b, t):
+        return np.exp(np.log(np.exp(t).sum(axis=0)[x[0]]) + sum(scores[a + i, x[i]] for i in range(b - a)) + sum(t[x[i - 1], x[i]] for i in range(1, b - a)))
+
+    def loss(t):
+        return sum(np.log(sum(weight(x, a, b, t) for x in itertools.product(range(3), repeat=b - a)) / weight(y[a:b], a, b, t)) for a, b in ((0, 4), (4, 9)))
+
+    monkeypatch.setattr(language, "CHUNK", 2)
+    p, right, pair = language.pair_marginals(scores, first, t)
+    assert right.tolist() == [1, 2, 3, 5, 6, 7, 8]
+    for a, b in ((0, 4), (4, 9)):
+        want = np.zeros((b - a, 3, 3))
+        for x in itertools.product(range(3), repeat=b - a):
+            for i in range(1, b - a):
+                want[i, x[i - 1], x[i]] += weight(x, a, b, t)
+        assert np.allclose(pair[(right >= a) & (right < b)], want[1:] / want[1:].sum(axis=(1, 2), keepdims=True))
+    got, step = language.transition_gradient(p, right, pair, y, first, t), 1e-5
+    for i, j in itertools.product(range(3), repeat=2):
+        d = np.zeros((3, 3))
+        d[i, j] = step
+        assert abs((loss(t + d) - loss(t - d)) / (2 * step) - got[i, j]) < 1e-6
+
+
+def test_languages_with_long_texts_only_are_sampled(frame):
+    rows = [(1, "a b", "en", "s", 1, "x", 1), (2, "a " * 15_000, "en", "s", 1, "x", 1), (3, "x " * 15_000, "de", "s", 1, "x", 1)]
+    got = language.labelled_sample(frame(rows), F.lit(True)).collect()
+    assert sorted((r.doc_id, r.lang, len(r.text)) for r in got) == [(1, "en", 3), (3, "de", 30_000)]
