@@ -3,7 +3,8 @@
 Frames are greyscale lossless JPEG (predictive process, SOF3): each sample is predicted by its left neighbour, and
 the first of a row by the one above. The Huffman table gives category k a code of 9 - k bits, so a code and its k
 extra bits always take 9 bits: frames of equal size are written and read as whole arrays. A reader of other tables
-falls back to reading bit by bit.
+falls back to reading bit by bit. Other frames, as the baseline ones of ordinary motion JPEG, are not decoded:
+clip_rows returns nulls for such films.
 
 Edge cases: a null text is an empty one; the payload of an empty text is one block of spaces; equal texts give equal
 values; a clip with one frame has one shot; an empty table gives an empty result; other columns are ignored.
@@ -90,8 +91,33 @@ def decode_frames(coded: list[bytes]) -> np.ndarray:
     return np.cumsum(d, axis=2).astype(np.uint8)
 
 
+def readable(frame: bytes) -> bool:
+    """Whether a frame is what decode_any() reads: lossless JPEG (SOF3) of 8 bits and one component, predictor 1, no
+    point transform and no restarts. Baseline frames of an ordinary motion JPEG are not."""
+    at, lossless = 2, False
+    while frame[:2] == b"\xff\xd8" and at + 4 <= len(frame) and frame[at] == 0xFF:
+        marker, size = frame[at + 1], int.from_bytes(frame[at + 2 : at + 4], "big")
+        body = frame[at + 4 : at + 2 + size]
+        at += 2 + size
+        if marker == 0xC3:
+            lossless = len(body) >= 6 and body[0] == 8 and body[5] == 1 and any(body[1:3]) and any(body[3:5])
+        elif marker == 0xDD and any(body):
+            return False
+        elif marker == 0xDA:
+            return lossless and len(body) == 6 and body[0] == 1 and body[3] == 1 and body[5] & 15 == 0 and b"\xff\xd9" in frame[at:]
+    return False
+
+
+def _shape(frame: bytes) -> bytes:
+    """Height and width of a readable frame, as written."""
+    at = 2
+    while frame[at + 1] != 0xC3:
+        at += 2 + int.from_bytes(frame[at + 2 : at + 4], "big")
+    return frame[at + 5 : at + 9]
+
+
 def decode_any(frame: bytes) -> np.ndarray:
-    """Samples of one greyscale lossless JPEG with any Huffman table and predictor 1, bit by bit."""
+    """Samples of one greyscale lossless JPEG with any Huffman table and predictor 1, bit by bit; see readable()."""
     at, codes, shape = 2, {}, (0, 0)
     while True:
         marker, size = frame[at + 1], int.from_bytes(frame[at + 2 : at + 4], "big")
@@ -244,7 +270,9 @@ def texts_to_avi(docs: DataFrame) -> DataFrame:
 
 def clip_rows(media: DataFrame, id_column: str = "doc_id", media_column: str = "media") -> DataFrame:
     """One row per shot of each AVI file: its id, clip number, first frame, frames, start and end in milliseconds and
-    mean sample. A null file has no clips; a file that isn't an AVI file has none either."""
+    mean sample. A null file has no clips; a file that isn't an AVI file has none either. A film with a frame that isn't
+    readable(), or with frames of unlike sizes, gives one row with its frames and times, and null as clip and mean
+    sample, as its shots aren't known."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -255,7 +283,10 @@ def clip_rows(media: DataFrame, id_column: str = "doc_id", media_column: str = "
                 step, frames = read_avi(data)
                 if not frames:
                     continue
-                samples = decode_clip(frames)
+                samples = decode_clip(frames) if all(map(readable, frames)) and len(set(map(_shape, frames))) == 1 else None
+                if samples is None:
+                    rows.append((key, None, 0, len(frames), 0, len(frames) * step // 1000, None))
+                    continue
                 rows += [(key, k, s, e - s, s * step // 1000, e * step // 1000, float(samples[s:e].mean())) for k, (s, e) in enumerate(shots(samples))]
             names = ["id", "clip", "first_frame", "n_frames", "start_ms", "end_ms", "mean_sample"]
             types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.float64()]

@@ -39,3 +39,11 @@ def test_clip_rows(spark, frame):
     files = media.texts_to_avi(frame(rows_of(["a" * 192 * 12 + "~" * 192 * 12, ""])))
     got = media.clip_rows(files.unionByName(spark.createDataFrame([(7, None), (8, bytearray(b"no film"))], files.schema))).collect()
     assert [(r.doc_id, r.clip, r.first_frame, r.n_frames, r.start_ms, r.end_ms) for r in sorted(got)] == [(0, 0, 0, 12, 0, 480), (0, 1, 12, 12, 480, 960), (1, 0, 0, 1, 0, 40)]
+
+
+def test_films_of_other_frames_give_a_null(spark, frame):
+    film = bytes(media.texts_to_avi(frame(rows_of(["a" * 192 * 3]))).collect()[0].media)
+    assert film.count(b"\xff\xc3") == 3
+    df = spark.createDataFrame([(1, bytearray(film)), (2, bytearray(film.replace(b"\xff\xc3", b"\xff\xc0")))], "doc_id long, media binary")
+    got = sorted(media.clip_rows(df).collect())
+    assert [(r.doc_id, r.clip, r.first_frame, r.n_frames, r.start_ms, r.end_ms, r.mean_sample) for r in got] == [(1, 0, 0, 3, 0, 120, 97.0), (2, None, 0, 3, 0, 120, None)]
