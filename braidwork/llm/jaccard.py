@@ -11,8 +11,9 @@ again and compared exactly. A pair is counted in the least of the buckets that i
 returns one row a member, so no list of pairs is formed.
 
 Edge cases: a text of fewer words than n is the set of its one shorter run; a null text, or one without words, has an
-empty set, is similar to nothing and is a class of its own; repeated rows are copies of each other; an empty table
-gives an empty result; other columns are ignored.
+empty set, is similar to nothing and is a class of its own; repeated rows are copies of each other; rows with a null
+doc_id are compared like all others, but name no class unless all its rows have none; an empty table gives an empty
+result; other columns may have any name and are ignored.
 """
 
 from __future__ import annotations
@@ -225,7 +226,8 @@ def choose_paths(members: DataFrame, runs: int, coordinates: int, limit: int = L
     nodes = stored(members.select("member", F.explode(first).alias("node")), "paths")
     leaves = None
     for _ in range(_MOST_SPLITS):
-        sizes = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        # written, so that the join meets two plain shuffles and the rows of a hot bucket can be split among tasks
+        sizes = stored(nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
         sized = nodes.join(sizes, "node")
         done = sized.where(F.col("n") <= limit).select(F.col("node").alias("leaf"), "member", F.lit(1).alias("blocks"))
         leaves = done if leaves is None else leaves.unionByName(done)
@@ -261,13 +263,14 @@ def _blocked(leaves: DataFrame) -> DataFrame:
 
 def similarity_classes(docs: DataFrame, n: int = SHINGLE, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """docs: (doc_id, text). Per row: doc_id, class_id (the least doc_id it is connected to by links), copy_of (the
-    least doc_id with the same set), n_links (other documents of at least the threshold's similarity), text_key."""
+    least doc_id with the same set), n_links (other documents of at least the threshold's similarity), text_key, and
+    class_key, which tells classes apart even where ids repeat; it is null for a text without words."""
     runs = runs_for(threshold, recall)
     coordinates = runs + SKETCH
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
     signed = stored(rows.mapInArrow(_sign(n, coordinates), "doc_id long, text_key long, member long, size long, mins array<long>"), "signed")
     filled = signed.where("size > 0")
-    members = stored(filled.groupBy("member").agg(F.min(F.struct("doc_id", "text_key")).alias("of"), F.count(F.lit(1)).alias("copies"), F.first("mins").alias("mins")), "members")
+    members = stored(filled.groupBy("member").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("of"), F.count(F.lit(1)).alias("copies"), F.first("mins").alias("mins")), "members")
     paths = members.select("member", "mins")
 
     leaves = stored(_blocked(choose_paths(paths, runs, coordinates)), "leaves")
@@ -287,7 +290,8 @@ def similarity_classes(docs: DataFrame, n: int = SHINGLE, threshold: float = THR
     ids = members.select("member", F.col("of.doc_id").alias("copy_of"), "copies")
     roots = found.join(ids, found.node == ids.member).groupBy("root").agg(F.min("copy_of").alias("class_id"))
     placed = ids.join(found, ids.member == found.node, "left").join(roots, "root", "left").join(degrees, "member", "left")
-    placed = placed.select("member", F.coalesce("class_id", "copy_of").alias("class_id"), "copy_of", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
+    placed = placed.select("member", F.coalesce("root", "member").alias("class_key"), F.coalesce("class_id", "copy_of").alias("class_id"), "copy_of", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
+    placed = stored(placed, "placed")
     both = signed.select("doc_id", "text_key", "member", "size").join(placed, "member", "left")
     alone = F.col("size") == 0
     return both.select(
@@ -296,4 +300,5 @@ def similarity_classes(docs: DataFrame, n: int = SHINGLE, threshold: float = THR
         F.when(alone, F.col("doc_id")).otherwise(F.col("copy_of")).alias("copy_of"),
         F.when(alone, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"),
         "text_key",
+        "class_key",
     )

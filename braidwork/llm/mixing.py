@@ -3,11 +3,12 @@
 Every source gets a target in words. Documents are counted by exact word count, whole passes over the source are
 taken while they fit, and the remaining budget is fitted on the counts: a proportional share of each length first,
 then a bounded-knapsack dynamic programme over what is left. Which documents of a length are taken is drawn by a
-seeded hash, so reruns agree.
+seeded hash of doc_id and text, so reruns agree.
 
 Edge cases: a null text has size 0 and is never taken; a null source is a source of its own, ordered last; repeated
-rows are separate documents; documents of equal hash fall back to doc_id; an empty table gives an empty result;
-further columns are ignored.
+rows are separate documents; a null doc_id is an id like others; documents of one source, length and hash go by doc_id
+and then by what keep carries; a very long text counts as one length like others; an empty table gives an empty
+result; further columns may have any name and are ignored.
 """
 
 from __future__ import annotations
@@ -123,10 +124,10 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: fl
     taken is size times copies; copies counts the whole passes over the source plus one if the document was drawn.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    carried = [F.col(keep).alias("kept")] if keep else []
-    sized = stored(docs.select("doc_id", "source", size.alias("size"), *carried), "sizes")
-    draw = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    sized = sized.withColumn("draw", draw).withColumn("bucket", F.pmod("draw", F.lit(BUCKETS)).cast("int"))
+    draw = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
+    sized = docs.select("doc_id", "source", size.alias("size"), draw.alias("draw"), F.pmod(draw, F.lit(BUCKETS)).cast("int").alias("bucket"), *([F.col(keep).alias("kept")] if keep else []))
+    # what is carried may be whole texts: these are counted again instead of being written once more
+    sized = sized if keep else stored(sized, "sizes")
     counts = stored(sized.groupBy("source", "size", "bucket").agg(F.count(F.lit(1)).alias("n")), "counts")
 
     sources = counts.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
@@ -147,7 +148,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: fl
     rooms = one.select(F.col("c.source").alias("r_source"), F.col("c.size").alias("r_size"), F.col("bucket").alias("r_bucket"), room.alias("room")).where("room > 0")
 
     same = F.col("source").eqNullSafe(F.col("r_source")) & (F.col("size") == F.col("r_size")) & (F.col("bucket") == F.col("r_bucket"))
-    rank = F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy("draw", F.col("doc_id").asc_nulls_last()))
+    rank = F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy("draw", F.col("doc_id").asc_nulls_last(), *(["kept"] if keep else [])))
     drawn = sized.join(rooms, same, "left").withColumn("extra", (rank <= F.coalesce("room", F.lit(0))).cast("long")).select("doc_id", "source", "size", "extra", *(["kept"] if keep else []))
     t = targets.select(F.col("source").alias("t_source"), "source_size", "target", "passes")
     copies = F.when(F.col("size") > 0, F.col("passes") + F.col("extra")).otherwise(F.lit(0))

@@ -56,7 +56,7 @@ def op7_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.similarity_classes(_table(spark, sf_dir, "documents")).drop("text_key")
+    return jaccard.similarity_classes(_table(spark, sf_dir, "documents")).drop("text_key", "class_key")
 
 
 def op9_avi_payload(spark: SparkSession, sf_dir: str) -> DataFrame:

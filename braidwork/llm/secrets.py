@@ -7,8 +7,9 @@ Kinds. Base spans, always reported: assign, access, hex. Added spans, kind live:
 span whose value a single owner has.
 
 Edge cases: a null text has no span; a null owner or repository counts as one owner or repository of its own; repeated
-rows count once for ownership and give equal result rows; spans of equal start are ordered by kind as listed; an empty
-table gives an empty result; other columns may have any name and are ignored.
+rows count once for ownership and give equal result rows; spans of equal start are ordered by kind as listed; a very
+long text is read whole, by itself; an empty table gives an empty result; other columns may have any name and are
+ignored, or kept by redacted().
 """
 
 from __future__ import annotations
@@ -79,8 +80,8 @@ def find_candidates(docs: DataFrame, owner: Column, repo: Column) -> DataFrame:
 def ownership(found: DataFrame) -> DataFrame:
     """value, n_repos, n_owners: distinct repositories and owners of each candidate hash, over the whole corpus.
 
-    Repeated (value, owner, repo) fall away before the shuffle, so a value that a third of all rows hold arrives as
-    one row for each task and owner."""
+    Repeated (value, owner, repo) fall away first, dealt by all three, and what is left is counted by owner before it
+    meets by value; so a value that a third of all rows hold is spread over the tasks."""
     pairs = found.select("value", "owner", "repo").distinct()
     owners = pairs.groupBy("value", "owner").agg(F.count(F.lit(1)).alias("n"))
     return owners.groupBy("value").agg(F.sum("n").alias("n_repos"), F.count(F.lit(1)).alias("n_owners"))
@@ -90,7 +91,8 @@ def judged_candidates(docs: DataFrame, owner: Column, repo: Column, example_owne
     """Candidates with n_repos, n_owners and verdict: example, live (one owner) or shared. Mixed tokens only if live."""
     found = stored(find_candidates(docs, owner, repo), "candidates")
     verdict = F.when(F.col("n_owners") >= example_owners, "example").when(F.col("n_owners") == 1, "live").otherwise("shared")
-    return found.join(ownership(found), "value").withColumn("verdict", verdict).where((F.col("kind") < 3) | (F.col("verdict") == "live"))
+    # written, so that the join can split the rows of a hot value among tasks
+    return found.join(stored(ownership(found), "ownership"), "value").withColumn("verdict", verdict).where((F.col("kind") < 3) | (F.col("verdict") == "live"))
 
 
 def joined_spans(spans: Column) -> Column:
@@ -132,8 +134,8 @@ def redacted(docs: DataFrame, owner: Column, repo: Column, mark: str = "[secret]
     Overlapping spans are replaced as one."""
     judged = judged_candidates(docs, owner, repo, example_owners).where("verdict <> 'example'")
     cuts = judged.groupBy(F.col("doc_id").alias("cut_id"), F.col("text_key").alias("cut_key")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("cuts"))
-    keyed = docs.withColumn("cut_text_key", F.xxhash64("text"))
-    both = keyed.join(cuts, F.col("doc_id").eqNullSafe(F.col("cut_id")) & (F.col("cut_text_key") == F.col("cut_key")), "left")
+    keyed = docs.select(F.struct("*").alias("row"), "doc_id", "text", F.xxhash64("text").alias("text_key"))
+    both = keyed.join(cuts, F.col("doc_id").eqNullSafe(F.col("cut_id")) & (F.col("text_key") == F.col("cut_key")), "left")
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
     merged = F.aggregate(
         "cuts",
@@ -144,4 +146,5 @@ def redacted(docs: DataFrame, owner: Column, repo: Column, mark: str = "[secret]
         ),
         lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))),
     )
-    return both.withColumn("text", F.when(F.col("cuts").isNull(), F.col("text")).otherwise(merged)).select(*docs.columns)
+    row = F.when(F.col("cuts").isNull(), F.col("row")).otherwise(F.col("row").withField("text", merged))
+    return both.select(row.alias("row")).select("row.*")
