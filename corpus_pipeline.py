@@ -2,50 +2,56 @@
 mix the sources to target weights, and encode what is left.
 
 Every stage but the last returns the columns of documents, and works on all that the stage before it kept.
+
+Edge cases, for every stage: null and empty texts and null ids are rows like others (toxicity and the secret scan keep
+them, they are near copies of nothing, the mix never takes a text without words); very long texts are read whole; rows
+that share a doc_id but not their text are different documents; of repeated rows with words the dedup stage keeps one;
+further columns, whatever their names, are carried through unchanged; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from braidwork.llm import jaccard, mixing, pieces, queries, secrets, toxicity
+from braidwork.llm.blocks import WORD
 from braidwork.session import stored
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are likelier clean than toxic; the model is fitted on the table labels."""
-    scored = toxicity.score_severity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return scored.where(~F.col("toxic")).select(*docs.columns)
+    names = docs.columns
+    # the scores get their own names, whatever the columns of docs are called
+    plain = docs.toDF(*[n if n in ("doc_id", "text") else f"c{k}" for k, n in enumerate(names)])
+    scored = toxicity.score_severity(plain, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return scored.where(~F.col("toxic")).select(*plain.columns).toDF(*names)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least doc_id of each class of near copies."""
-    classes = jaccard.similarity_classes(docs)
-    first = classes.where(F.col("doc_id") == F.col("class_id")).groupBy("doc_id").agg(F.min("text_key").alias("text_key"))
-    first = first.select(F.col("doc_id").alias("first_id"), F.col("text_key").alias("first_key"))
-    # a null doc_id can't be compared with its class, so it stays; of repeated rows, one stays
-    rows = docs.withColumn("text_key", F.xxhash64("text"))
-    known = rows.where(F.col("doc_id").isNotNull()).join(first, (F.col("doc_id") == F.col("first_id")) & (F.col("text_key") == F.col("first_key")), "left_semi")
-    return known.dropDuplicates(["doc_id"]).unionByName(rows.where(F.col("doc_id").isNull())).select(*docs.columns)
+    """The document of least doc_id of each class of near copies (null ids last, then by text), as one row; of repeated
+    rows the least by their columns in order. Texts without words are in no class and stay."""
+    keys = [F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), "text_key"]
+    classes = jaccard.similarity_classes(docs).where("class_key IS NOT NULL").select("class_key", F.struct(*keys).alias("who"))
+    first = classes.groupBy("class_key").agg(F.min("who").alias("who")).select("who.*")
+    rows = docs.select(F.struct("*").alias("row"), *keys[:2], F.xxhash64("text").alias("text_key"), F.coalesce(F.regexp_like("text", F.lit(WORD)), F.lit(False)).alias("worded"))
+    kept = rows.where("worded").join(first, ["no_id", "id", "text_key"], "left_semi").groupBy("no_id", "id", "text_key").agg(F.min("row").alias("row"))
+    return kept.select("row").unionByName(rows.where("NOT worded").select("row")).select("row.*")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every secret that is not a widely copied example is replaced by a mark; n_chars follows the new text."""
     clean = secrets.redacted(docs, owner=F.col("source"), repo=F.col("doc_id"))
+    if "n_chars" not in docs.columns:
+        return clean
     return clean.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    keyed = docs.withColumn("row_key", F.xxhash64(*docs.columns))
-    taken = mixing.mix_sources(keyed, keep="row_key").where("copies > 0").groupBy("kept").agg(F.sum("copies").alias("copies"))
-    both = keyed.join(taken, keyed.row_key == taken.kept)
-    # equal rows have one key: they share its copies evenly
-    of_key = Window.partitionBy("row_key")
-    same, rank = F.count(F.lit(1)).over(of_key), F.row_number().over(of_key.orderBy("kept"))
-    own = F.floor((F.col("copies") + same - rank) / same).cast("int")
-    return both.withColumn("own", own).where("own > 0").withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("own")))).select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", "text", "source")
+    taken = mixing.mix_sources(rows, keep="row").where("copies > 0")
+    return taken.select("kept", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("kept.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
