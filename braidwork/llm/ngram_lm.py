@@ -1,41 +1,50 @@
 """Language-model scoring by deleted interpolation.
 
-P(w | h) = a(h) c(h, w) / c(h) + b(h) c(w) / N + (1 - a - b) / (V + 1): maximum-likelihood estimates of orders 2, 1 and
-0, mixed by weights that depend on how frequent the context h is (powers of two of c(h)). The weights are learned by
-expectation-maximisation on held-out counts: those of a fixed fold of the training documents, from which the token
-being predicted is deleted (every count less one).
-
-Counts cover all training documents. They are exchanged by blocks of documents, not by tokens: a block sends each of
-its distinct words and word pairs once, as sorted arrays of hashes dealt to count groups by hash; a group adds the
-blocks' counts and returns, in the same order, the corpus counts of what each block asked for. What is shuffled is a
-few bytes for each distinct key of a block, a frequent word is sent once a block, and neither vocabulary nor pairs
-are ever held in one place. Blocks and groups have fixed sizes, so their number grows with the input.
-
-Edge cases: a null text is an empty one, whose only token is the end; repeated rows are separate documents; without
-training tokens every word has probability 1 / (V + 1) with V = 0; an empty table gives an empty result.
+P(w | u v) = l3 c(u v w) / c(u v) + l2 c(v w) / c(v) + l1 c(w) / N + l0 / (V + 1): maximum-likelihood estimates of orders
+3 to 0, mixed by weights that depend on how frequent the context is (powers of two of c(u v), or of c(v) where u v was
+not seen). The weights are learned by expectation-maximisation on held-out counts: those of a fixed fold of the training
+documents, from which the token being predicted is deleted (every count less one). Training documents are scored in
+the same way, each token by the model without this token; otherwise their own rare contexts would predict them with
+certainty, and their scores could not be held against those of other documents.
+
+Counts cover all training documents. They are exchanged by blocks of documents, not by tokens. A block sends each of its
+distinct words once, and each of its distinct contexts (pairs of words) once with the words that follow it, as sorted
+hashes dealt to count groups by range. A group adds the blocks' counts and returns, in the same order, the corpus counts
+of what each block asked for. What is shuffled is a few bytes for each distinct key of a block, a frequent word or pair
+is sent once a block, and neither vocabulary nor contexts are ever held in one place. Blocks and groups have fixed sizes,
+so their numbers grow with the input (a block sends one row to each group it has keys of, so at many TB rows hold few
+keys each). Words and contexts are told apart by 64 bits of hash, the words after one context by 32.
+
+Edge cases: a null text is an empty one, whose only token is the end; repeated rows are separate documents, of one block;
+a very long text is a block of its own size; without training tokens every word has probability 1 / (V + 1) with V = 0;
+an empty table gives an empty result; other columns may have any name and are ignored.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from braidwork.llm.blocks import mix, slices, words
+from braidwork.llm.blocks import WORD, mix, slices, words
 from braidwork.session import stored
 
-#: Bytes of text of a block, of a count group of pairs, and of one of words.
+#: Bytes of text of a block, of a count group of contexts, and of one of words.
 BLOCK_BYTES, PAIR_BYTES, WORD_BYTES = 12 << 20, 12 << 20, 64 << 20
-#: Bytes of a key within its count group.
-WORD_KEY, PAIR_KEY = 6, 5
-BUCKETS, STEPS = 40, 4
-_END, _BEGIN = np.uint64(0x5EED0E4D0E4D0001), np.uint64(0x5EED0BE6000B0003)
-_PAIR = 1 << 32
+#: Blocks or groups of a task.
+A_TASK = 4
+#: Buckets of a context's frequency, and steps of an estimate for each power of two when weights are learned.
+BUCKETS, STEPS = 40, 2
+_END, _BEGIN, _PAD = (np.uint64(x) for x in (0x5EED0E4D0E4D0001, 0x5EED0BE6000B0003, 0x5EED00AD00AD0005))
+_PAIR = 1 << 40
+_LOW32 = np.uint64(0xFFFFFFFF)
 
 
 class Block:
-    """Tokens of some documents: words, then one end for each document."""
+    """Tokens of some documents (words, then one end for each document), and their distinct words and contexts."""
 
     def __init__(self, texts: pa.ChunkedArray):
         hashes, counts = [], []
@@ -50,19 +59,23 @@ class Block:
         ends = np.zeros(len(self.tokens), bool)
         ends[self.first[1:] - 1] = True
         self.tokens[~ends] = plain
-        self.context = np.empty_like(self.tokens)
-        self.context[1:] = self.tokens[:-1]
-        self.context[self.first[:-1]] = _BEGIN
-
-    def pairs(self) -> np.ndarray:
-        return mix(self.context * np.uint64(0x9E3779B97F4A7C15) ^ self.tokens)
-
-
-def placed(hashes: np.ndarray, groups: int, key_bytes: int) -> np.ndarray:
-    """Count group and key of each hash in one number that sorts by group, then key."""
-    bits = np.uint64(8 * key_bytes)
-    group = mix(hashes ^ np.uint64(0x1234567)) % np.uint64(groups)
-    return group << bits | hashes & ((np.uint64(1) << bits) - np.uint64(1))
+        # one entry for each token and one more for each document, whose context is its last pair
+        begin = self.first[:-1] + np.arange(len(n))
+        self.at = np.arange(len(self.tokens)) + self.row
+        entry = np.full(len(self.tokens) + len(n), _PAD, np.uint64)
+        entry[self.at] = self.tokens
+        one, two = np.empty_like(entry), np.empty_like(entry)
+        one[1:], two[2:] = entry[:-1], entry[:-2]
+        one[begin] = two[begin] = two[begin + 1] = _BEGIN
+        self.words, self.word = np.unique(self.tokens, return_inverse=True)
+        self.contexts, self.context = np.unique(mix(two * np.uint64(0x9E3779B97F4A7C15) ^ one), return_inverse=True)
+        self.follows, self.follow = np.unique(self.context.astype(np.uint64) << np.uint64(32) | entry >> np.uint64(32), return_inverse=True)
+        self.entry_row = np.insert(self.row, self.first[1:], np.arange(len(n)))
+
+    def counts(self, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How often each distinct word, and each distinct continuation, occurs in the block's training documents."""
+        one = np.bincount(self.word, train[self.row], minlength=len(self.words))
+        return one.astype(np.int64), np.bincount(self.follow, train[self.entry_row], minlength=len(self.follows)).astype(np.int64)
 
 
 def pack_counts(counts: np.ndarray) -> bytes:
@@ -76,101 +89,165 @@ def unpack_counts(data: bytes, n: int) -> np.ndarray:
     return counts
 
 
-def _pack_keys(keys: np.ndarray, key_bytes: int) -> bytes:
-    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :key_bytes]).tobytes()
+def pack_sorted(keys: np.ndarray, bits: int) -> bytes:
+    """Sorted numbers of so many bits: their low bytes, and the rest as one bit a number and one a step."""
+    n = len(keys)
+    size = {k: n * k + (n + (1 << max(bits - 8 * k, 0)) + 7) // 8 for k in range(max(bits - 24, 0) // 8, (bits + 7) // 8 + 1)}
+    k = min(size, key=size.get)
+    high = (keys >> np.uint64(8 * k)).astype(np.int64) if k < 8 else np.zeros(n, np.int64)
+    marks = np.zeros(n + int(high[-1]) + 1 if n else 0, np.uint8)
+    marks[high + np.arange(n)] = 1
+    low = np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :k])
+    return bytes([k]) + low.tobytes() + np.packbits(marks).tobytes()
+
+
+def unpack_sorted(data: bytes, n: int) -> np.ndarray:
+    k = data[0]
+    wide = np.zeros((n, 8), np.uint8)
+    wide[:, :k] = np.frombuffer(data, np.uint8, n * k, 1).reshape(n, k)
+    low = wide.view("<u8").ravel().astype(np.uint64)
+    if k == 8:
+        return low
+    high = np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8, offset=1 + n * k)))[:n] - np.arange(n)
+    return low | high.astype(np.uint64) << np.uint64(8 * k)
+
+
+@dataclass(frozen=True)
+class Groups:
+    """Count groups: ranges of hashes of equal width."""
+
+    n: int
+
+    @property
+    def width(self) -> int:
+        return (1 << 64) // self.n
+
+    @property
+    def bits(self) -> int:
+        return ((1 << 64) - 1 - (self.n - 1) * self.width).bit_length()
 
+    def low(self, g) -> np.ndarray:
+        return np.asarray(g, np.uint64) * np.uint64(self.width) if self.n > 1 else np.zeros_like(np.asarray(g, np.uint64))
 
-def _unpack_keys(data: bytes, key_bytes: int) -> np.ndarray:
-    wide = np.zeros((len(data) // key_bytes, 8), np.uint8)
-    wide[:, :key_bytes] = np.frombuffer(data, np.uint8).reshape(-1, key_bytes)
-    return wide.view("<u8").ravel()
+    def cuts(self, keys: np.ndarray) -> list[tuple[int, int, int]]:
+        """(group, begin, end) of the groups that sorted keys fall into."""
+        edges = np.append(np.searchsorted(keys, self.low(np.arange(self.n))), len(keys))
+        some = np.flatnonzero(np.diff(edges))
+        return list(zip(some.tolist(), edges[some].tolist(), edges[some + 1].tolist(), strict=True))
 
 
-def _asked(sorted_keys: np.ndarray, key_bytes: int) -> tuple[np.ndarray, np.ndarray]:
-    """Groups that occur in sorted keys, and where each begins, with the end of the last."""
-    groups, first = np.unique(sorted_keys >> np.uint64(8 * key_bytes), return_index=True)
-    return groups.astype(np.int64), np.append(first, len(sorted_keys))
+_MESSAGE = "group long, block long, n int, keys binary, follow binary, next binary, counts binary"
 
 
-def _ask(word_groups: int, pair_groups: int):
+def _ask(word_groups: Groups, pair_groups: Groups):
     def ask(table: pa.Table) -> pa.Table:
-        """Distinct words and pairs of a block by count group, with their counts in its training documents."""
+        """Distinct words and contexts of a block by count group, with their counts in its training documents."""
         block = Block(table.column("text"))
-        train = table.column("train").to_numpy()[block.row]
+        one, three = block.counts(table.column("train").to_numpy())
         number, out = table.column("block")[0].as_py(), []
-        for kind, hashes, groups, size in ((0, block.tokens, word_groups, WORD_KEY), (1, block.pairs(), pair_groups, PAIR_KEY)):
-            keys, inverse = np.unique(placed(hashes, groups, size), return_inverse=True)
-            counts = np.bincount(inverse, train, minlength=len(keys)).astype(np.int64)
-            low = keys & ((np.uint64(1) << np.uint64(8 * size)) - np.uint64(1))
-            names, first = _asked(keys, size)
-            for g, a, b in zip(names.tolist(), first[:-1].tolist(), first[1:].tolist(), strict=True):
-                out.append((kind * _PAIR + g, number, b - a, _pack_keys(low[a:b], size), pack_counts(counts[a:b])))
-        return pa.Table.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))], ["group", "block", "n", "keys", "counts"])
+        for g, a, b in word_groups.cuts(block.words):
+            out.append((g, number, b - a, pack_sorted(block.words[a:b] - word_groups.low(g), word_groups.bits), b"", b"", pack_counts(one[a:b])))
+        first = np.searchsorted(block.follows >> np.uint64(32), np.arange(len(block.contexts) + 1))
+        size, nexts = np.diff(first), (block.follows & _LOW32).astype("<u4")
+        for g, a, b in pair_groups.cuts(block.contexts):
+            x, y = first[a], first[b]
+            out.append((_PAIR + g, number, b - a, pack_sorted(block.contexts[a:b] - pair_groups.low(g), pair_groups.bits), pack_counts(size[a:b]), nexts[x:y].tobytes(), pack_counts(three[x:y])))
+        types = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+        return pa.Table.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(types)], ["group", "block", "n", "keys", "follow", "next", "counts"])
 
     return ask
 
 
-def _answer(table: pa.Table) -> pa.Table:
-    """Corpus counts of one group's keys for each block; block -1 gets how many of its keys have a count."""
-    group = table.column("group")[0].as_py()
-    size = PAIR_KEY if group >= _PAIR else WORD_KEY
-    n = table.column("n").to_numpy()
-    keys = np.concatenate([_unpack_keys(k, size) for k in table.column("keys").to_pylist()])
-    counts = np.concatenate([unpack_counts(c, m) for c, m in zip(table.column("counts").to_pylist(), n.tolist(), strict=True)])
-    _, inverse = np.unique(keys, return_inverse=True)
-    total = np.bincount(inverse, counts).astype(np.int64)
-    known, ends = total[inverse], np.cumsum(n)
-    answers = [pack_counts(known[e - m : e]) for e, m in zip(ends.tolist(), n.tolist(), strict=True)]
-    block = table.column("block").to_pylist()
-    return pa.Table.from_arrays([pa.array([group] * (len(block) + 1), pa.int64()), pa.array([*block, -1], pa.int64()), pa.array([*answers, pack_counts(np.array([(total > 0).sum()]))], pa.binary())], ["group", "block", "counts"])
+def _parts(values: np.ndarray, sizes: list[int]) -> list[bytes]:
+    ends = np.cumsum(sizes).tolist()
+    return [pack_counts(values[e - m : e]) for e, m in zip(ends, sizes, strict=True)]
 
 
-def _known(block: Block, answers: pa.Table, word_groups: int, pair_groups: int) -> tuple[np.ndarray, np.ndarray]:
-    """Corpus counts of each token and of each pair of context and token."""
-    by_group = dict(zip(answers.column("group").to_pylist(), answers.column("counts").to_pylist(), strict=True))
-    out = []
-    for kind, hashes, groups, size in ((0, block.tokens, word_groups, WORD_KEY), (1, block.pairs(), pair_groups, PAIR_KEY)):
-        keys, inverse = np.unique(placed(hashes, groups, size), return_inverse=True)
-        names, first = _asked(keys, size)
-        counts = [unpack_counts(by_group[kind * _PAIR + g], b - a) for g, a, b in zip(names.tolist(), first[:-1].tolist(), first[1:].tolist(), strict=True)]
-        out.append(np.concatenate(counts)[inverse])
-    return out[0], out[1]
+def _answer(table: pa.Table) -> pa.Table:
+    """Corpus counts of one group's keys for each block: of words, or of contexts and, as more, of what follows them.
+    Block -1 gets how many words of the group have a count."""
+    group, n = table.column("group")[0].as_py(), table.column("n").to_pylist()
+    keys = np.concatenate([unpack_sorted(k, m) for k, m in zip(table.column("keys").to_pylist(), n, strict=True)])
+    _, inverse = np.unique(keys, return_inverse=True)
+    block, counts = table.column("block").to_pylist(), table.column("counts").to_pylist()
+    if group < _PAIR:
+        total = np.bincount(inverse, np.concatenate([unpack_counts(c, m) for c, m in zip(counts, n, strict=True)])).astype(np.int64)
+        block, answers = [*block, -1], [*_parts(total[inverse], n), pack_counts(np.array([(total > 0).sum()]))]
+        more = [b""] * len(block)
+    else:
+        follow = np.concatenate([unpack_counts(c, m) for c, m in zip(table.column("follow").to_pylist(), n, strict=True)])
+        nexts = [np.frombuffer(x, "<u4") for x in table.column("next").to_pylist()]
+        sizes = [len(x) for x in nexts]
+        of = np.repeat(inverse, follow)
+        count = np.concatenate([unpack_counts(c, m) for c, m in zip(counts, sizes, strict=True)])
+        _, same = np.unique(of.astype(np.uint64) << np.uint64(32) | np.concatenate(nexts), return_inverse=True)
+        answers = _parts(np.bincount(of, count).astype(np.int64)[inverse], n)
+        more = _parts(np.bincount(same, count).astype(np.int64)[same], sizes)
+    return pa.Table.from_arrays([pa.array([group] * len(block), pa.int64()), pa.array(block, pa.int64()), pa.array(answers, pa.binary()), pa.array(more, pa.binary())], ["group", "block", "counts", "more"])
+
+
+@dataclass
+class Estimates:
+    """Of each token: its corpus count, the bucket of its context, and its estimates of orders 3, 2 and 1."""
+
+    count: np.ndarray
+    bucket: np.ndarray
+    orders: np.ndarray
+
+
+def _estimates(block: Block, answers: pa.Table, word_groups: Groups, pair_groups: Groups, documents: int, total: int, deleted: np.ndarray) -> Estimates:
+    """deleted: for each document, whether its tokens are predicted by the model without them."""
+    by_group = {g: (c, m) for g, c, m in zip(*(answers.column(k).to_pylist() for k in ("group", "counts", "more")), strict=True)}
+    one = np.concatenate([unpack_counts(by_group[g][0], b - a) for g, a, b in word_groups.cuts(block.words)])[block.word]
+    first = np.searchsorted(block.follows >> np.uint64(32), np.arange(len(block.contexts) + 1))
+    cuts = pair_groups.cuts(block.contexts)
+    context = np.concatenate([unpack_counts(by_group[_PAIR + g][0], b - a) for g, a, b in cuts])[block.context]
+    three = np.concatenate([unpack_counts(by_group[_PAIR + g][1], int(first[b] - first[a])) for g, a, b in cuts])[block.follow[block.at]]
+    less = deleted[block.row].astype(np.int64)
+    before = np.empty_like(one)
+    before[1:] = one[:-1]
+    before[block.first[:-1]] = documents
+    # a pair occurs as often as it is the context of what follows, the end included
+    pairs = [(three, context[block.at]), (context[block.at + 1], before), (one, np.full(len(one), total))]
+    orders = np.stack([np.where(h > less, np.minimum((c - less) / np.maximum(h - less, 1), 1.0), 0.0) for c, h in pairs], axis=1)
+    long, short = pairs[0][1] - less, before - less
+    return Estimates(one, np.where(long > 0, bucket_of(long), BUCKETS + bucket_of(short)), orders)
 
 
-def _context_counts(block: Block, tokens: np.ndarray, documents: int) -> np.ndarray:
-    """How often each token's context is one in training: as often as the word occurs; the begin, once a document."""
-    context = np.empty_like(tokens)
-    context[1:] = tokens[:-1]
-    context[block.first[:-1]] = documents
-    return context
+def bucket_of(context: np.ndarray) -> np.ndarray:
+    return np.minimum(np.frexp(np.maximum(context, 0) + 1.0)[1] - 1, BUCKETS - 1)
 
 
-def bucket_of(context: np.ndarray) -> np.ndarray:
-    return np.minimum(np.frexp(context + 1.0)[1] - 1, BUCKETS - 1)
+def _cells(bucket: np.ndarray, ratio: np.ndarray) -> np.ndarray:
+    """Bucket and binned estimates, as shares of that of order 0, in one number."""
+    bins = np.where(ratio > 0, np.clip(np.rint(STEPS * np.log2(np.maximum(ratio, 1e-30))).astype(np.int64) + 1000, 1, 4095), 0)
+    return bucket.astype(np.int64) << 36 | bins[:, 0] << 24 | bins[:, 1] << 12 | bins[:, 2]
 
 
-def _bin(ratio: np.ndarray) -> np.ndarray:
-    return np.where(ratio > 0, np.rint(STEPS * np.log2(np.maximum(ratio, 1e-30))).astype(np.int64) + 1000, 0)
+def _from_cells(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    bins = np.stack([cells >> s & 4095 for s in (24, 12, 0)], axis=1)
+    return cells >> 36, np.where(bins > 0, 2.0 ** ((bins - 1000) / STEPS), 0.0)
 
 
-def learn_weights(bucket: np.ndarray, two: np.ndarray, one: np.ndarray, n: np.ndarray, rounds: int = 100) -> np.ndarray:
-    """(bucket, 3) mixture weights by expectation-maximisation over a table of held-out counts: n tokens of a bucket
-    whose estimates of orders 2 and 1 are two and one times that of order 0. Buckets without tokens, and every bucket
-    a little, follow the weights of all buckets together."""
-    likely = np.stack([two, one, np.ones(len(two))], axis=1)
+def learn_weights(bucket: np.ndarray, ratio: np.ndarray, n: np.ndarray, rounds: int = 100) -> np.ndarray:
+    """(bucket, orders) mixture weights by expectation-maximisation over a table of held-out counts: n tokens of a bucket
+    whose estimates are ratio times that of order 0, the last order. Buckets without tokens, and every bucket a little,
+    follow the weights of all buckets together."""
+    likely = np.concatenate([ratio, np.ones((len(ratio), 1))], axis=1)
+    orders = likely.shape[1]
 
     def climb(group: np.ndarray, groups: int, prior: np.ndarray | None) -> np.ndarray:
-        start = np.tile(np.full(3, 1 / 3) if prior is None else prior, (groups, 1))
+        start = np.tile(np.full(orders, 1 / orders) if prior is None else prior, (groups, 1))
         w = start.copy()
         for _ in range(rounds):
             part = w[group] * likely
             part *= (n / part.sum(axis=1))[:, None]
-            mass = np.stack([np.bincount(group, part[:, k], minlength=groups) for k in range(3)], axis=1) + start
+            mass = np.stack([np.bincount(group, part[:, k], minlength=groups) for k in range(orders)], axis=1) + start
             w = mass / mass.sum(axis=1, keepdims=True)
         return w
 
     everything = climb(np.zeros(len(n), np.int64), 1, None)[0]
-    return climb(bucket, BUCKETS, everything)
+    return climb(bucket, 2 * BUCKETS, everything)
 
 
 def score_documents(docs: DataFrame, held_out: Column, delete_fold: Column) -> DataFrame:
@@ -178,39 +255,39 @@ def score_documents(docs: DataFrame, held_out: Column, delete_fold: Column) -> D
     delete_fold marks. Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce(delete_fold, F.lit(False)).alias("fold"))
     rows = rows.withColumn("train", ~F.col("held_out")).withColumn("fold", F.col("fold") & F.col("train"))
-    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"), F.count_if("train").alias("documents"), F.coalesce(F.sum(F.when(F.col("train"), F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")) + 1)), F.lit(0)).alias("tokens")).first()
-    total, documents = size["bytes"], size["documents"]
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"), F.count_if("train").alias("documents"), F.coalesce(F.sum(F.when(F.col("train"), F.regexp_count("text", F.lit(WORD)) + 1)), F.lit(0)).alias("tokens")).first()
+    total, documents, tokens_total = size["bytes"], size["documents"], int(size["tokens"])
     n_blocks, n_folds = -(-total // BLOCK_BYTES) or 1, -(-total // (10 * BLOCK_BYTES)) or 1
-    word_groups, pair_groups = min(-(-total // WORD_BYTES) or 1, 1 << 15), min(-(-total // PAIR_BYTES) or 1, 1 << 23)
+    word_groups, pair_groups = Groups(-(-total // WORD_BYTES) or 1), Groups(-(-total // PAIR_BYTES) or 1)
     key = F.xxhash64("doc_id", "text")
     # the documents that the weights are learned from have blocks of their own, from n_blocks on
     block = F.when(F.col("fold"), n_blocks + F.pmod(key, F.lit(n_folds))).otherwise(F.pmod(key, F.lit(n_blocks)))
     rows = rows.withColumn("block", block.cast("long"))
 
-    asked = rows.select("block", "text", "train").groupBy("block").applyInArrow(_ask(word_groups, pair_groups), "group long, block long, n int, keys binary, counts binary")
-    answers = stored(asked.groupBy("group").applyInArrow(_answer, "group long, block long, counts binary"), "counts")
-    own = answers.where((F.col("block") == -1) & (F.col("group") < _PAIR))
-    vocabulary = sum(int(unpack_counts(bytes(r["counts"]), 1)[0]) for r in own.select("counts").toLocalIterator())
-    tokens_total = int(size["tokens"])
+    def by_block(df: DataFrame, blocks: int):
+        return df.repartition(-(-blocks // A_TASK), "block").groupBy("block")
+
+    asked = by_block(rows.select("block", "text", "train"), n_blocks + n_folds).applyInArrow(_ask(word_groups, pair_groups), _MESSAGE)
+    grouped = asked.repartition(-(-(word_groups.n + pair_groups.n) // A_TASK), "group").groupBy("group")
+    answers = stored(grouped.applyInArrow(_answer, "group long, block long, counts binary, more binary"), "counts")
+    # one number for each group of words
+    own = answers.where("block = -1").select("counts")
+    vocabulary = sum(int(unpack_counts(bytes(r["counts"]), 1)[0]) for r in own.toLocalIterator())
     flat = 1.0 / (vocabulary + 1)
 
     def held_out_counts(left: pa.Table, right: pa.Table) -> pa.Table:
-        b = Block(left.column("text")) if left.num_rows else None
-        if b is None:
-            return pa.table({k: pa.array([], pa.int64()) for k in ("bucket", "two", "one", "n")})
-        one, two = _known(b, right, word_groups, pair_groups)
-        context = _context_counts(b, one, documents) - 1
-        p2 = np.where(context > 0, (two - 1) / np.maximum(context, 1), 0.0)
-        p1 = (one - 1) / max(tokens_total - 1, 1)
-        cells, n = np.unique(np.stack([bucket_of(context), _bin(p2 / flat), _bin(p1 / flat)], axis=1), axis=0, return_counts=True)
-        return pa.table({"bucket": cells[:, 0], "two": cells[:, 1], "one": cells[:, 2], "n": n.astype(np.int64)})
-
-    fold_docs = rows.where("fold").select("block", "text")
-    cells = fold_docs.groupBy("block").cogroup(answers.where(F.col("block") >= n_blocks).groupBy("block")).applyInArrow(held_out_counts, "bucket long, two long, one long, n long")
-    # at most BUCKETS times the pairs of quarter powers of two: a table of fixed size, whatever the input
-    table = cells.groupBy("bucket", "two", "one").agg(F.sum("n").alias("n")).toPandas()
-    ratio = {c: np.where(table[c] > 0, 2.0 ** ((table[c].to_numpy() - 1000) / STEPS), 0.0) for c in ("two", "one")}
-    weights = learn_weights(table["bucket"].to_numpy(np.int64), ratio["two"], ratio["one"], table["n"].to_numpy(float))
+        if not left.num_rows:
+            return pa.table({"cell": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
+        b = Block(left.column("text"))
+        e = _estimates(b, right, word_groups, pair_groups, documents, tokens_total, np.ones(left.num_rows, bool))
+        cells, n = np.unique(_cells(e.bucket, e.orders / flat), return_counts=True)
+        return pa.table({"cell": cells, "n": n.astype(np.int64)})
+
+    fold_docs = by_block(rows.where("fold").select("block", "text"), n_folds)
+    cells = fold_docs.cogroup(by_block(answers.where(F.col("block") >= n_blocks), n_folds)).applyInArrow(held_out_counts, "cell long, n long")
+    # at most the buckets times the binned estimates: a table of bounded size, whatever the input
+    table = cells.groupBy("cell").agg(F.sum("n").alias("n")).orderBy("cell").toPandas()
+    weights = learn_weights(*_from_cells(table["cell"].to_numpy(np.int64)), table["n"].to_numpy(float))
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
@@ -218,18 +295,18 @@ def score_documents(docs: DataFrame, held_out: Column, delete_fold: Column) -> D
         if not left.num_rows:
             return pa.Table.from_arrays([pa.array([], t) for t in types], names)
         b = Block(left.column("text"))
-        one, two = _known(b, right, word_groups, pair_groups)
-        context = _context_counts(b, one, documents)
-        w = weights[bucket_of(context)]
-        p = w[:, 0] * np.where(context > 0, two / np.maximum(context, 1), 0.0) + w[:, 1] * (one / max(tokens_total, 1)) + w[:, 2] * flat
-        base = np.log10((one + 0.1) / (tokens_total + 0.1 * (vocabulary + 1)))
+        held = left.column("held_out").to_numpy()
+        e = _estimates(b, right, word_groups, pair_groups, documents, tokens_total, ~held)
+        w = weights[e.bucket]
+        p = (w[:, :3] * e.orders).sum(axis=1) + w[:, 3] * flat
+        base = np.log10((e.count + 0.1) / (tokens_total + 0.1 * (vocabulary + 1)))
 
         def per_row(x):
             return np.add.reduceat(x, b.first[:-1])
 
-        columns = [np.diff(b.first), per_row((one > 0).astype(np.int64)), np.full(left.num_rows, tokens_total), per_row(base), per_row(np.log10(p))]
+        columns = [np.diff(b.first), per_row((e.count > 0).astype(np.int64)), np.full(left.num_rows, tokens_total), per_row(base), per_row(np.log10(p))]
         return pa.Table.from_arrays([left.column("doc_id"), left.column("held_out"), *[pa.array(c, t) for c, t in zip(columns, types[2:], strict=True)]], names)
 
-    texts = rows.select("block", "doc_id", "held_out", "text")
+    texts = by_block(rows.select("block", "doc_id", "held_out", "text"), n_blocks + n_folds)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return texts.groupBy("block").cogroup(answers.where("block >= 0").groupBy("block")).applyInArrow(score, schema)
+    return texts.cogroup(by_block(answers.where("block >= 0"), n_blocks + n_folds)).applyInArrow(score, schema)

@@ -31,6 +31,56 @@ def check_base(rows, got):
     assert np.allclose([w[5] for w in want], [h[5] for h in have], rtol=1e-6)
 
 
+def brute_scores(rows, weights):
+    """log10 probability of each text by the model, from counters of plain words."""
+    folds = [zlib.crc32(str(r[0]).encode()) % 10 if r[0] is not None else None for r in rows]
+    one, two, three, vocabulary, documents = Counter(), Counter(), Counter(), set(), 0
+    for f, r in zip(folds, rows, strict=True):
+        if f != 0:
+            t = ["<", "<", *toks(r[1])]
+            documents += 1
+            one.update(t[2:])
+            two.update(zip(t[1:], t[2:], strict=False))
+            three.update(zip(t, t[1:], t[2:], strict=False))
+    one["<"] = two["<", "<"] = documents
+    total, vocabulary = sum(one.values()) - documents, len(one) - 1
+    out = []
+    for f, r in zip(folds, rows, strict=True):
+        t, less, s = ["<", "<", *toks(r[1])], int(f != 0), 0.0
+        for u, v, w in zip(t, t[1:], t[2:], strict=False):
+            h3, h2 = two[u, v] - less, one[v] - less
+            ratio = [c / h if h > 0 else 0.0 for c, h in ((three[u, v, w] - less, h3), (two[v, w] - less, h2), (one[w] - less, total - less))]
+            bucket = int(math.log2(h3 + 1)) if h3 > 0 else ngram_lm.BUCKETS + int(math.log2(max(h2, 0) + 1))
+            s += math.log10(sum(a * b for a, b in zip(weights[bucket], [*ratio, 1 / (vocabulary + 1)], strict=True)))
+        out.append(s)
+    return out
+
+
+def test_scores_equal_those_of_plain_counters(frame, monkeypatch, odd_texts):
+    for name, value in (("BLOCK_BYTES", 3000), ("PAIR_BYTES", 2000), ("WORD_BYTES", 5000)):
+        monkeypatch.setattr(ngram_lm, name, value)
+    learned, learn = [], ngram_lm.learn_weights
+    monkeypatch.setattr(ngram_lm, "learn_weights", lambda *a: learned.append(learn(*a)) or learned[-1])
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["red", "Green", "blue", "dark", f"w{rng.randint(0, 40)}"]) for _ in range(rng.randint(0, 40))) for _ in range(200)]
+    rows = rows_of([*texts, *texts[:40], *(t for t in odd_texts if not t or len(t) < 1000)])
+    got = {r.doc_id: r.score for r in score(frame(rows)).collect()}
+    assert np.allclose([got[r[0]] for r in rows], brute_scores(rows, learned[0]), rtol=1e-9)
+    assert np.allclose(learned[0].sum(axis=1), 1)
+
+
+def test_documents_that_occur_twice_score_apart(frame):
+    rng = random.Random(9)
+    texts = [" ".join(f"w{min(rng.randint(0, 300), rng.randint(0, 300))}" for _ in range(60)) for _ in range(600)]
+    rows = rows_of([*texts, *texts[:60]])
+    got = {r.doc_id: r.score / r.n_tokens for r in score(frame(rows)).collect()}
+    held = {i for i in range(660) if zlib.crc32(str(i).encode()) % 10 == 0}
+    # a pair with one copy held out shows in that copy only, one with both in none
+    twice = [max(got[i], got[600 + i]) for i in range(60) if not {i, 600 + i} <= held]
+    assert len(twice) > 50
+    assert min(twice) > max(got[i] for i in range(60, 600))
+
+
 def test_base_counts_over_many_blocks(frame, monkeypatch):
     monkeypatch.setattr(ngram_lm, "BLOCK_BYTES", 2000)
     monkeypatch.setattr(ngram_lm, "PAIR_BYTES", 1500)
@@ -63,15 +113,27 @@ def test_weights_by_expectation_maximisation():
     p = rng.random((3, 50)) ** 3
     p /= p.sum(axis=1, keepdims=True)
     x = np.array([rng.choice(50, p=p[k]) for k in rng.choice(3, 20_000, p=true)])
-    w = ngram_lm.learn_weights(np.zeros(len(x), int), p[0][x] / p[2][x], p[1][x] / p[2][x], np.ones(len(x)))
+    w = ngram_lm.learn_weights(np.zeros(len(x), int), np.stack([p[0][x] / p[2][x], p[1][x] / p[2][x]], axis=1), np.ones(len(x)))
     assert np.allclose(w[0], true, atol=0.05) and np.allclose(w.sum(axis=1), 1)
 
 
 def test_packing_round_trip():
     counts = np.array([0, 1, 254, 255, 256, 10**12])
     assert np.array_equal(ngram_lm.unpack_counts(ngram_lm.pack_counts(counts), 6), counts)
-    keys = np.array([0, 1, 2**40 - 1], np.uint64)
-    assert np.array_equal(ngram_lm._unpack_keys(ngram_lm._pack_keys(keys, 5), 5), keys)
+    rng = np.random.default_rng(1)
+    for bits in (3, 20, 40, 57, 64):
+        for n in (0, 1, 2, 1000):
+            keys = np.sort(rng.integers(0, 2**bits, n, dtype=np.uint64, endpoint=False) if bits < 64 else rng.integers(0, 2**64 - 1, n, dtype=np.uint64))
+            assert np.array_equal(ngram_lm.unpack_sorted(ngram_lm.pack_sorted(keys, bits), n), keys)
+
+
+def test_groups_are_ranges():
+    keys = np.sort(np.random.default_rng(2).integers(0, 2**64 - 1, 5000, dtype=np.uint64))
+    for n in (1, 2, 7, 100, 20_000):
+        g = ngram_lm.Groups(n)
+        cuts = g.cuts(keys)
+        assert [c[1] for c in cuts[1:]] == [c[2] for c in cuts[:-1]] and cuts[0][1] == 0 and cuts[-1][2] == 5000
+        assert all(int(keys[a]) >= int(g.low(k)) and int(keys[b - 1] - g.low(k)).bit_length() <= g.bits for k, a, b in cuts)
 
 
 def test_one_row_and_empty_table(frame):
