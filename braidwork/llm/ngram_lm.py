@@ -79,13 +79,15 @@ class Block:
 
 
 def pack_counts(counts: np.ndarray) -> bytes:
-    """One byte a count; those from 255 on follow in 8 bytes each."""
-    return np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype("<u8").tobytes()
+    """One byte a count, those from 255 on in 8 more bytes each; compressed, as most counts are small."""
+    plain = np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype("<u8").tobytes()
+    return len(plain).to_bytes(4, "little") + pa.compress(plain, "zstd", asbytes=True)
 
 
 def unpack_counts(data: bytes, n: int) -> np.ndarray:
-    counts = np.frombuffer(data, np.uint8, n).astype(np.int64)
-    counts[counts == 255] = np.frombuffer(data, "<u8", offset=n)
+    plain = pa.decompress(data[4:], int.from_bytes(data[:4], "little"), "zstd", asbytes=True)
+    counts = np.frombuffer(plain, np.uint8, n).astype(np.int64)
+    counts[counts == 255] = np.frombuffer(plain, "<u8", offset=n)
     return counts
 
 
