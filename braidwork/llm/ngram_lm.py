@@ -33,7 +33,7 @@ from braidwork.llm.blocks import WORD, mix, slices, words
 from braidwork.session import stored
 
 #: Bytes of text of a block, of a count group of contexts, and of one of words.
-BLOCK_BYTES, PAIR_BYTES, WORD_BYTES = 12 << 20, 12 << 20, 64 << 20
+BLOCK_BYTES, PAIR_BYTES, WORD_BYTES = 8 << 20, 8 << 20, 48 << 20
 #: Blocks or groups of a task.
 A_TASK = 4
 #: Buckets of a context's frequency, and steps of an estimate for each power of two when weights are learned.
@@ -43,6 +43,12 @@ _PAIR = 1 << 40
 _LOW32 = np.uint64(0xFFFFFFFF)
 
 
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values, and the place of each value among them."""
+    found, at = np.unique(values, return_inverse=True)
+    return found, at.astype(np.int32)
+
+
 class Block:
     """Tokens of some documents (words, then one end for each document), and their distinct words and contexts."""
 
@@ -54,23 +60,30 @@ class Block:
             counts.append(w.counts)
         plain, n = np.concatenate(hashes), np.concatenate(counts)
         self.first = np.concatenate([[0], np.cumsum(n + 1)])
-        self.row = np.repeat(np.arange(len(n)), n + 1)
+        self.row = np.repeat(np.arange(len(n), dtype=np.int32), n + 1)
         self.tokens = np.full(int(self.first[-1]), _END, np.uint64)
         ends = np.zeros(len(self.tokens), bool)
         ends[self.first[1:] - 1] = True
         self.tokens[~ends] = plain
         # one entry for each token and one more for each document, whose context is its last pair
         begin = self.first[:-1] + np.arange(len(n))
-        self.at = np.arange(len(self.tokens)) + self.row
+        self.at = np.arange(len(self.tokens), dtype=np.int32) + self.row
         entry = np.full(len(self.tokens) + len(n), _PAD, np.uint64)
         entry[self.at] = self.tokens
-        one, two = np.empty_like(entry), np.empty_like(entry)
-        one[1:], two[2:] = entry[:-1], entry[:-2]
-        one[begin] = two[begin] = two[begin + 1] = _BEGIN
-        self.words, self.word = np.unique(self.tokens, return_inverse=True)
-        self.contexts, self.context = np.unique(mix(two * np.uint64(0x9E3779B97F4A7C15) ^ one), return_inverse=True)
-        self.follows, self.follow = np.unique(self.context.astype(np.uint64) << np.uint64(32) | entry >> np.uint64(32), return_inverse=True)
-        self.entry_row = np.insert(self.row, self.first[1:], np.arange(len(n)))
+        self.words, self.word = _distinct(self.tokens)
+        del self.tokens
+        pair = np.empty_like(entry)
+        pair[2:] = entry[:-2]
+        pair[begin] = pair[begin + 1] = _BEGIN
+        pair *= np.uint64(0x9E3779B97F4A7C15)
+        pair[1:] ^= entry[:-1]
+        pair[begin] = _BEGIN
+        self.contexts, self.context = _distinct(mix(pair))
+        entry >>= np.uint64(32)
+        entry |= self.context.astype(np.uint64) << np.uint64(32)
+        del pair
+        self.follows, self.follow = _distinct(entry)
+        self.entry_row = np.insert(self.row, self.first[1:], np.arange(len(n), dtype=np.int32))
 
     def counts(self, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """How often each distinct word, and each distinct continuation, occurs in the block's training documents."""
