@@ -5,20 +5,20 @@ last 1 to 3 bytes (affixes) and its n-grams of 2 and 3 bytes. Languages of neigh
 transition weights; forward-backward gives each word's marginals. A document's language is the one with the most
 expected words, its score their share.
 
-The field is fitted, in one task, on a bounded sample: at most SAMPLE labelled documents of each language of at most SAMPLE_CHARS
-characters (longer ones where a language has no others), drawn by a hash of doc_id. The sample is cut into pieces that are spliced at random into sequences of
-mixed languages, from which the transitions are learned. Every whole text is labelled.
+The field is fitted, in one task, on a bounded sample: at most SAMPLE labelled documents of each language, drawn whole by
+a hash of doc_id until they hold SAMPLE_CHARS characters. The sample is cut into pieces that are spliced at random into
+sequences of mixed languages, from which the transitions are learned. Every whole text is labelled.
 
 Long texts are handled in chunks of CHUNK words: the product of a chunk's transfer matrices carries the forward and
 backward messages across chunks, so the result is that of one pass over the text.
 
 Edge cases: a text that is null or has no letter gets und and score 0; without any labelled row every text does; equal
-scores go to the smaller language name; repeated rows get equal results; an empty table gives an empty result.
+scores go to the smaller language name; repeated rows get equal results; an empty table gives an empty result; other
+columns may have any name and are ignored.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 from braidwork.llm.blocks import LOWER, NOT_LETTER, Words, slices, words
 from braidwork.llm.sampling import least_hashes
 
-SAMPLE, SAMPLE_CHARS = 250, 20_000
+#: Most documents of a language, and the characters from which on no more are drawn.
+SAMPLE, SAMPLE_CHARS = 250, 2_000_000
 SLOTS = 1 << 17
 CHUNK = 64
 UNKNOWN = "und"
@@ -255,16 +256,12 @@ def fit(texts: pa.Array, langs: list[str], seed: int = 5, epochs: int = 4, batch
     return LanguageModel(names, weights.astype(np.float32), transitions)
 
 
-def labelled_sample(docs: DataFrame, usable: Column, sample: int = SAMPLE, most_chars: int = SAMPLE_CHARS) -> DataFrame:
-    """(doc_id, text, lang) of at most sample usable documents of each language; a bound that holds at every size.
-
-    They are texts of at most most_chars characters; a language that has none draws from its longer texts, whole."""
+def labelled_sample(docs: DataFrame, usable: Column, sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> DataFrame:
+    """(doc_id, text, lang) of at most sample usable documents of each language, and no more once they hold so many
+    characters; a bound that holds at every size."""
     rows = docs.where(usable & F.col("text").isNotNull() & F.col("lang").isNotNull())
-    short = F.length("text") <= most_chars
-    with_short = rows.where(short).select("lang").distinct().withColumn("has_short", F.lit(True))
-    # one row for each language
-    rows = rows.join(F.broadcast(with_short), "lang", "left").where(short | F.col("has_short").isNull()).drop("has_short")
-    ids = least_hashes(rows.select("doc_id", "lang").distinct(), "lang", "doc_id", sample)
+    sized = rows.groupBy("doc_id", "lang").agg(F.max(F.length("text")).alias("chars"))
+    ids = least_hashes(sized, "lang", "doc_id", sample, "chars", chars).select("doc_id", "lang")
     # the sample's ids: at most sample for each language
     return rows.select("doc_id", "text", "lang").join(F.broadcast(ids), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
 
@@ -318,8 +315,3 @@ def word_labels(docs: DataFrame, model: LanguageModel) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([names[a:b] for a, b in edges], pa.list_(pa.string())), pa.array([best[a:b] for a, b in edges], pa.list_(pa.float64()))], ["doc_id", "langs", "probabilities"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(label, "doc_id long, langs array<string>, probabilities array<double>")
-
-
-def crc32_mod(doc_id: int, m: int) -> int:
-    """The fold of a document, as crc32(doc_id as text) mod m; for tests."""
-    return zlib.crc32(str(doc_id).encode()) % m

@@ -1,13 +1,15 @@
 """Media columns: AVI files with intra-coded (motion) JPEG frames, and their shots.
 
-Frames are greyscale lossless JPEG (predictive process, SOF3): each sample is predicted by its left neighbour, and
-the first of a row by the one above. The Huffman table gives category k a code of 9 - k bits, so a code and its k
-extra bits always take 9 bits: frames of equal size are written and read as whole arrays. A reader of other tables
-falls back to reading bit by bit. Other frames, as the baseline ones of ordinary motion JPEG, are not decoded:
-clip_rows returns nulls for such films.
+The frames written here are greyscale lossless JPEG (predictive process, SOF3): each sample is predicted by its left
+neighbour, and the first of a row by the one above. The Huffman table gives category k a code of 9 - k bits, so a code
+and its k extra bits always take 9 bits: frames of equal size are written and read as whole arrays. Frames of others are
+read by jpeg.decode(): baseline motion JPEG, and lossless frames of any table.
+
+Shots begin where the histogram of a frame's luminance changes more than is usual in the frames before it.
 
 Edge cases: a null text is an empty one; the payload of an empty text is one block of spaces; equal texts give equal
-values; a clip with one frame has one shot; an empty table gives an empty result; other columns are ignored.
+values; a very long text is written and read in runs of RUN frames; a clip with one frame has one shot; repeated rows
+give equal rows; an empty table gives an empty result; other columns may have any name and are ignored.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from braidwork.llm import jpeg
 from braidwork.llm.blocks import slices
 
 #: Samples of a frame.
@@ -28,6 +31,8 @@ WIDTH, HEIGHT = 16, 12
 FRAME = WIDTH * HEIGHT
 MICROSECONDS = 40_000
 BITS = 9
+#: Frames that are coded at once.
+RUN = 2048
 #: Histogram bins of a frame; frames looked back at, and standard deviations, for the adaptive cut threshold.
 BINS, BACK, DEVIATIONS = 16, 8, 3.0
 
@@ -67,86 +72,35 @@ _WORD, _VALUE = _coder()
 
 def encode_frames(payload: np.ndarray) -> list[bytes]:
     """Entropy-coded samples of each frame of 192 bytes, with stuffed zero bytes after 0xFF."""
-    x = payload.reshape(-1, HEIGHT, WIDTH).astype(np.int16)
-    d = x.copy()
-    d[:, :, 1:] -= x[:, :, :-1]
-    d[:, 1:, 0] -= x[:, :-1, 0]
-    d[:, 0, 0] -= 128
-    w = _WORD[d.reshape(-1, FRAME) + 255]
-    bits = (w[:, :, None] >> np.arange(BITS - 1, -1, -1, dtype=np.uint16)).astype(np.uint8) & 1
-    coded = np.packbits(bits.reshape(len(w), FRAME * BITS), axis=1)
-    return [row.tobytes().replace(b"\xff", b"\xff\x00") for row in coded]
+    out = []
+    for k in range(0, len(payload), RUN * FRAME):
+        x = payload[k : k + RUN * FRAME].reshape(-1, HEIGHT, WIDTH).astype(np.int16)
+        d = x.copy()
+        d[:, :, 1:] -= x[:, :, :-1]
+        d[:, 1:, 0] -= x[:, :-1, 0]
+        d[:, 0, 0] -= 128
+        w = _WORD[d.reshape(-1, FRAME) + 255]
+        bits = (w[:, :, None] >> np.arange(BITS - 1, -1, -1, dtype=np.uint16)).astype(np.uint8) & 1
+        coded = np.packbits(bits.reshape(len(w), FRAME * BITS), axis=1)
+        out += [row.tobytes().replace(b"\xff", b"\xff\x00") for row in coded]
+    return out
 
 
 def decode_frames(coded: list[bytes]) -> np.ndarray:
     """Samples of frames written by encode_frames."""
-    raw = np.frombuffer(b"".join(c.replace(b"\xff\x00", b"\xff") for c in coded), np.uint8).reshape(len(coded), FRAME * BITS // 8)
-    bits = np.unpackbits(raw, axis=1).reshape(len(coded), FRAME, BITS)
-    w = np.zeros(bits.shape[:2], np.uint16)
-    for k in range(BITS):
-        w = w << 1 | bits[:, :, k]
-    d = _VALUE[w].reshape(-1, HEIGHT, WIDTH).astype(np.int32)
-    d[:, 0, 0] += 128
-    d[:, :, 0] = np.cumsum(d[:, :, 0], axis=1)
-    return np.cumsum(d, axis=2).astype(np.uint8)
-
-
-def readable(frame: bytes) -> bool:
-    """Whether a frame is what decode_any() reads: lossless JPEG (SOF3) of 8 bits and one component, predictor 1, no
-    point transform and no restarts. Baseline frames of an ordinary motion JPEG are not."""
-    at, lossless = 2, False
-    while frame[:2] == b"\xff\xd8" and at + 4 <= len(frame) and frame[at] == 0xFF:
-        marker, size = frame[at + 1], int.from_bytes(frame[at + 2 : at + 4], "big")
-        body = frame[at + 4 : at + 2 + size]
-        at += 2 + size
-        if marker == 0xC3:
-            lossless = len(body) >= 6 and body[0] == 8 and body[5] == 1 and any(body[1:3]) and any(body[3:5])
-        elif marker == 0xDD and any(body):
-            return False
-        elif marker == 0xDA:
-            return lossless and len(body) == 6 and body[0] == 1 and body[3] == 1 and body[5] & 15 == 0 and b"\xff\xd9" in frame[at:]
-    return False
-
-
-def _shape(frame: bytes) -> bytes:
-    """Height and width of a readable frame, as written."""
-    at = 2
-    while frame[at + 1] != 0xC3:
-        at += 2 + int.from_bytes(frame[at + 2 : at + 4], "big")
-    return frame[at + 5 : at + 9]
-
-
-def decode_any(frame: bytes) -> np.ndarray:
-    """Samples of one greyscale lossless JPEG with any Huffman table and predictor 1, bit by bit; see readable()."""
-    at, codes, shape = 2, {}, (0, 0)
-    while True:
-        marker, size = frame[at + 1], int.from_bytes(frame[at + 2 : at + 4], "big")
-        body = frame[at + 4 : at + 2 + size]
-        at += 2 + size
-        if marker == 0xC4:
-            code, value = 0, 17
-            for length in range(1, 17):
-                for _ in range(body[length]):
-                    codes[length, code] = body[value]
-                    code, value = code + 1, value + 1
-                code <<= 1
-        elif marker == 0xC3:
-            shape = int.from_bytes(body[1:3], "big"), int.from_bytes(body[3:5], "big")
-        elif marker == 0xDA:
-            break
-    bits = np.unpackbits(np.frombuffer(frame[at : frame.rindex(b"\xff\xd9")].replace(b"\xff\x00", b"\xff"), np.uint8)).tolist()
-    out, p = np.zeros(shape, np.int64), 0
-    for y in range(shape[0]):
-        for x in range(shape[1]):
-            length = code = 0
-            while (length, code) not in codes:
-                code, length, p = code << 1 | bits[p], length + 1, p + 1
-            k = codes[length, code]
-            extra = int("".join(map(str, bits[p : p + k])) or "0", 2)
-            p += k
-            d = extra if not k or extra >> (k - 1) else extra - (1 << k) + 1
-            out[y, x] = d + (out[y, x - 1] if x else out[y - 1, 0] if y else 128)
-    return out.astype(np.uint8)
+    out = np.empty((len(coded), HEIGHT, WIDTH), np.uint8)
+    for k in range(0, len(coded), RUN):
+        run = [c.replace(b"\xff\x00", b"\xff") for c in coded[k : k + RUN]]
+        raw = np.frombuffer(b"".join(run), np.uint8).reshape(len(run), FRAME * BITS // 8)
+        bits = np.unpackbits(raw, axis=1).reshape(len(run), FRAME, BITS)
+        w = np.zeros(bits.shape[:2], np.uint16)
+        for b in range(BITS):
+            w = w << 1 | bits[:, :, b]
+        d = _VALUE[w].reshape(-1, HEIGHT, WIDTH).astype(np.int32)
+        d[:, 0, 0] += 128
+        d[:, :, 0] = np.cumsum(d[:, :, 0], axis=1)
+        out[k : k + RUN] = np.cumsum(d, axis=2)
+    return out
 
 
 def _chunk(name: bytes, body: bytes) -> bytes:
@@ -187,27 +141,43 @@ def riff_chunks(data: bytes, at: int, end: int) -> Iterator[tuple[bytes, int, in
 
 
 def read_avi(data: bytes) -> tuple[int, list[bytes]]:
-    """Microseconds a frame, and the frames that the index lists."""
+    """Microseconds a frame (those of write_avi where the file names none), and the video frames that the index lists,
+    or, without an index, those of the movie list in order. Places in an index count from the movie list or from the
+    start of the file. What lies beyond the end of the file is left out of a frame."""
     if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
         raise ValueError("not an AVI file")
-    movie, index, step = 0, np.zeros(0, _INDEX), 0
+    movie, end_of_movie, index, step = 0, 0, np.zeros(0, _INDEX), 0
     for name, start, end in riff_chunks(data, 12, len(data)):
         if name == b"LIST" and data[start : start + 4] == b"hdrl":
-            step = next(int.from_bytes(data[s : s + 4], "little") for n, s, _ in riff_chunks(data, start + 4, end) if n == b"avih")
+            step = next((int.from_bytes(data[s : s + 4], "little") for n, s, _ in riff_chunks(data, start + 4, end) if n == b"avih"), 0)
         elif name == b"LIST" and data[start : start + 4] == b"movi":
-            movie = start
+            movie, end_of_movie = start, min(end, len(data))
         elif name == b"idx1":
-            index = np.frombuffer(data[start:end], _INDEX)
-    starts = (index["at"].astype(np.int64) + movie + 8).tolist()
-    return step, [data[s : s + n] for s, n in zip(starts, index["size"].tolist(), strict=True)]
-
-
-def decode_clip(frames: list[bytes]) -> np.ndarray:
-    """Samples of all frames; those of the usual head at once, others one by one."""
+            index = np.frombuffer(data[start : start + (min(end, len(data)) - start) // 16 * 16], _INDEX)
+    index = index[np.isin(np.char.lower(index["id"]), (b"00dc", b"00db"))]
+    if not len(index):
+        found = [(s, e) for n, s, e in riff_chunks(data, movie + 4, end_of_movie) if n in (b"00dc", b"00db")]
+        return step or MICROSECONDS, [data[s:e] for s, e in found]
+    first = int(index["at"][0])
+    base = movie if data[movie + first : movie + first + 4] == bytes(index["id"][0]) else 0
+    starts = (index["at"].astype(np.int64) + base + 8).tolist()
+    return step or MICROSECONDS, [data[s : s + n] for s, n in zip(starts, index["size"].tolist(), strict=True)]
+
+
+def decode_clip(frames: list[bytes]) -> np.ndarray | None:
+    """Luminance samples of all frames: those of the usual head at once, others one by one. None if a frame can't be
+    read, or if the frames have unlike sizes."""
     head = len(_HEAD)
-    if all(f.startswith(_HEAD) for f in frames):
-        return decode_frames([f[head:-2] for f in frames])
-    return np.stack([decode_any(f) for f in frames])
+    if all(f.startswith(_HEAD) and f.endswith(b"\xff\xd9") for f in frames):
+        try:
+            return decode_frames([f[head:-2] for f in frames])
+        except ValueError:  # a frame is cut short
+            return None
+    try:
+        samples = [jpeg.decode(f) for f in frames]
+    except jpeg.Unreadable:
+        return None
+    return np.stack(samples) if len({x.shape for x in samples}) == 1 else None
 
 
 def shots(samples: np.ndarray) -> list[tuple[int, int]]:
@@ -270,9 +240,9 @@ def texts_to_avi(docs: DataFrame) -> DataFrame:
 
 def clip_rows(media: DataFrame, id_column: str = "doc_id", media_column: str = "media") -> DataFrame:
     """One row per shot of each AVI file: its id, clip number, first frame, frames, start and end in milliseconds and
-    mean sample. A null file has no clips; a file that isn't an AVI file has none either. A film with a frame that isn't
-    readable(), or with frames of unlike sizes, gives one row with its frames and times, and null as clip and mean
-    sample, as its shots aren't known."""
+    mean luminance sample. A null file, one that isn't an AVI file and one without frames have no clips. A film with a
+    frame that can't be read (see jpeg.decode), or with frames of unlike sizes, gives one row with its frames and times,
+    and null as clip and mean sample, as its shots aren't known."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -283,7 +253,7 @@ def clip_rows(media: DataFrame, id_column: str = "doc_id", media_column: str = "
                 step, frames = read_avi(data)
                 if not frames:
                     continue
-                samples = decode_clip(frames) if all(map(readable, frames)) and len(set(map(_shape, frames))) == 1 else None
+                samples = decode_clip(frames)
                 if samples is None:
                     rows.append((key, None, 0, len(frames), 0, len(frames) * step // 1000, None))
                     continue

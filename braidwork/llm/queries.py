@@ -63,12 +63,17 @@ def op9_avi_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(_table(spark, sf_dir, "documents"))
 
 
+def media_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shots of every document stored as a film."""
+    return media.clip_rows(media.texts_to_avi(_table(spark, sf_dir, "documents")))
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pruned_graph_neighbours, op2_substring_dedup, op3_secret_ownership, op4_language_crf, op5_toxicity_ordinal, op6_sentencepiece, op7_deleted_interpolation, op8_ngram_jaccard, op9_avi_payload, op10_source_mix)}
+    return {f.__name__: f for f in (op1_pruned_graph_neighbours, op2_substring_dedup, op3_secret_ownership, op4_language_crf, op5_toxicity_ordinal, op6_sentencepiece, op7_deleted_interpolation, op8_ngram_jaccard, op9_avi_payload, media_clips, op10_source_mix)}
 
 
 #: Positions of all words, the sequence of 50 from each, the least document that has it, and what a later one keeps.
@@ -122,5 +127,33 @@ FROM documents d JOIN class c ON d.doc_id = c.x LEFT JOIN size USING (doc_id) LE
 """
 
 
+#: Frames of 192 bytes as hexadecimal digits; histograms of the upper digit of each byte; a cut where the change exceeds
+#: the mean of the up to eight changes before it by three deviations.
+CLIPS_SQL = """
+WITH t AS (
+  SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents
+), p AS (
+  SELECT doc_id, hex(b) || repeat('20', CASE WHEN octet_length(b) = 0 THEN 192 ELSE (192 - octet_length(b) % 192) % 192 END) AS h FROM t
+), f AS (
+  SELECT doc_id, k AS frame, substr(h, k * 384 + 1, 384) AS x FROM p, unnest(range(0, len(h) // 384)) AS u(k)
+), d AS (
+  SELECT doc_id, frame, array_to_string([x[2 * i + 1] FOR i IN range(0, 192)], '') AS high, list_sum([('0x' || x[2 * i + 1:2 * i + 2])::INT FOR i IN range(0, 192)]) AS total FROM f
+), hist AS (
+  SELECT doc_id, frame, total, [len(high) - len(replace(high, c, '')) FOR c IN string_split('0123456789ABCDEF', '')] AS n FROM d
+), step AS (
+  SELECT doc_id, frame, total, list_sum([abs(z[1] - z[2]) FOR z IN list_zip(n, lag(n) OVER (PARTITION BY doc_id ORDER BY frame))])::DOUBLE AS change FROM hist
+), seen AS (
+  SELECT *, count(change) OVER w AS m, sum(change) OVER w AS one, sum(change * change) OVER w AS two FROM step
+  WINDOW w AS (PARTITION BY doc_id ORDER BY frame ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING)
+), cut AS (
+  SELECT *, CASE WHEN frame >= 3 AND change > one / m + 3 * greatest(sqrt(greatest(two / m - (one / m) * (one / m), 0)), 1) THEN 1 ELSE 0 END AS fresh FROM seen
+), clips AS (
+  SELECT doc_id, frame, total, sum(fresh) OVER (PARTITION BY doc_id ORDER BY frame) AS clip FROM cut
+)
+SELECT doc_id, clip::INT AS clip, min(frame)::INT AS first_frame, count(*)::INT AS n_frames, min(frame) * 40 AS start_ms, (max(frame) + 1) * 40 AS end_ms, sum(total)::DOUBLE / (192 * count(*)) AS mean_sample
+FROM clips GROUP BY doc_id, clip
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": OP2_SQL, "op8_ngram_jaccard": OP8_SQL}
+    return {"op2_substring_dedup": OP2_SQL, "op8_ngram_jaccard": OP8_SQL, "media_clips": CLIPS_SQL}

@@ -3,12 +3,19 @@
 P(grade <= k) = logistic(threshold_k - w.x): all thresholds share the weights. Features are letter words and their
 beginnings of 4 to 7 bytes (ASCII lower-cased), as log(1 + count) of those that the labelled sample links to a grade.
 
-The model is fitted, in one task, on a bounded sample: at most SAMPLE documents of each label of at most SAMPLE_CHARS characters,
-drawn by a hash of doc_id and weighted by how many labelled documents each stands for. Scoring reads every whole text.
+The model is fitted, in one task, on a bounded sample: at most SAMPLE documents of each label, drawn whole by a hash of
+doc_id until they hold SAMPLE_CHARS characters, and weighted by how many labelled documents each stands for. Scoring
+reads every whole text.
+
+Grades. Labels with three or more values are the grades. Labels that say only yes or no have no second threshold to
+learn from, so the positive documents are graded 1 or 2 by a weak label: whether the number of telling words in the
+text is above their median, with telling words found in the other half of the sample. So no document helps to choose the
+words that it is graded by; but the second grade stays derived from texts, as no table tells it.
 
 Edge cases: a null text has no feature and gets the severity of a text without any; null labels are not used; with no
 label, or only one label value, every severity is 0 and nothing is rejected; a doc_id labelled twice counts its
-highest label; repeated rows get equal results; an empty table gives an empty result.
+highest label; repeated rows get equal results; a very long text is read whole, by itself; columns of docs are kept,
+except that severity, expected_severity and toxic replace columns of these names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,8 +32,8 @@ from pyspark.sql import types as T
 from braidwork.llm.blocks import NOT_LETTER, slices, words
 from braidwork.llm.sampling import least_hashes
 
-SAMPLE = 4000
-SAMPLE_CHARS = 50_000
+#: Most documents of a label value, and the characters from which on no more are drawn.
+SAMPLE, SAMPLE_CHARS = 4000, 40_000_000
 #: Bytes of word beginnings.
 BEGINNINGS = (4, 5, 6, 7)
 #: Least likelihood ratio statistic of a feature, and how many features are kept at least and at most.
@@ -129,14 +136,15 @@ def fit_thresholds(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, n_fea
     return p[:n_features], p[n_features] + np.concatenate([[0.0], np.cumsum(np.exp(p[n_features + 1 :]))])
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, sample: int = SAMPLE, most_chars: int = SAMPLE_CHARS) -> DataFrame:
-    """(text, grade, total): at most sample rows of each label value, with how many labelled documents that has."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> DataFrame:
+    """(doc_id, text, grade, total): at most sample rows of each label value, and no more once they hold so many
+    characters, with how many labelled documents the value has."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("grade"))
     totals = known.groupBy("grade").agg(F.count(F.lit(1)).alias("total"))
-    short = docs.where(F.col("text").isNotNull() & (F.length("text") <= most_chars)).select("doc_id").join(known, "doc_id").select("doc_id", "grade").distinct()
+    sized = docs.where(F.col("text").isNotNull()).select("doc_id", F.length("text").alias("chars")).join(known, "doc_id").groupBy("doc_id", "grade").agg(F.max("chars").alias("chars"))
     # at most sample small rows of each label value: a bound that holds at every size
-    chosen = least_hashes(short, "grade", "doc_id", sample).join(F.broadcast(totals), "grade")
-    met = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= most_chars)).join(F.broadcast(chosen), "doc_id")
+    chosen = least_hashes(sized, "grade", "doc_id", sample, "chars", chars).select("doc_id", "grade").join(F.broadcast(totals), "grade")
+    met = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
     return met.groupBy("doc_id", "grade", "total").agg(F.min("text").alias("text"))
 
 
@@ -156,11 +164,24 @@ def fitted(sample: DataFrame) -> OrdinalModel | None:
     return OrdinalModel(np.frombuffer(rows[0]["hashes"], np.uint64), np.frombuffer(rows[0]["weights"]), np.frombuffer(rows[0]["thresholds"]))
 
 
-def fit(sample: pa.Table, totals: dict[int, int]) -> OrdinalModel | None:
-    """A model of ordered severities, or None if the sample has one label value only.
+def weak_grades(parts: list, slot_counts: np.ndarray, positive: np.ndarray, half: np.ndarray) -> np.ndarray:
+    """1 for the positive documents with more telling feature occurrences than their median, judged by the counts of the
+    other half of the sample (slot_counts: half, side, slot), else 0."""
+    telling = np.zeros((2, _SLOTS), bool)
+    for h in (0, 1):
+        counts, mine = slot_counts[1 - h].astype(float), half != h
+        some = np.flatnonzero(counts.sum(axis=0) >= 2)
+        telling[h, some] = likelihood_ratio(counts[1, some], counts[0, some], max(float(positive[mine].sum()), 1.0), max(float((~positive)[mine].sum()), 1.0)) >= LEAST_RATIO
+    hits = np.zeros(len(positive))
+    for first, texts in parts:
+        rows, hashes = features(texts)
+        hit = telling[half[first + rows], hashes & np.uint64(_SLOTS - 1)]
+        hits[first : first + len(texts)] = np.bincount(rows, hit, minlength=len(texts))
+    return (positive & (hits > np.median(hits[positive]))).astype(int)
+
 
-    Where labels say only yes or no, the positive documents are graded once more, by whether they hold more different
-    features of the positive side than the median one."""
+def fit(sample: pa.Table, totals: dict[int, int]) -> OrdinalModel | None:
+    """A model of ordered severities, or None if the sample has one label value only."""
     values = np.unique(sample.column("grade").to_numpy()) if sample.num_rows else np.zeros(0)
     if len(values) < 2:
         return None
@@ -170,14 +191,19 @@ def fit(sample: pa.Table, totals: dict[int, int]) -> OrdinalModel | None:
         parts.append((at, batch.column("text")))
         at += batch.num_rows
     positive = grades > 0
-    slot_counts = np.zeros((2, _SLOTS), np.int32)
+    half = np.arange(len(grades)) % 2
+    slot_counts = np.zeros((2, 2, _SLOTS), np.int32)
     for first, texts in parts:
         rows, hashes = features(texts)
         cells = np.unique(rows.astype(np.uint64) * np.uint64(_SLOTS) + (hashes & np.uint64(_SLOTS - 1)))
-        high = positive[first + (cells // np.uint64(_SLOTS)).astype(np.int64)]
-        slots = (cells & np.uint64(_SLOTS - 1)).astype(np.int64)
-        for side, mine in ((1, slots[high]), (0, slots[~high])):
-            slot_counts[side] += np.bincount(mine, minlength=_SLOTS).astype(np.int32)
+        row, slots = first + (cells // np.uint64(_SLOTS)).astype(np.int64), (cells & np.uint64(_SLOTS - 1)).astype(np.int64)
+        for h in (0, 1):
+            for side in (0, 1):
+                slot_counts[h, side] += np.bincount(slots[(half[row] == h) & (positive[row] == side)], minlength=_SLOTS).astype(np.int32)
+    if len(values) == 2:
+        grades = grades + weak_grades(parts, slot_counts, positive, half)
+        _, grades = np.unique(grades, return_inverse=True)
+    slot_counts = slot_counts.sum(axis=0)
     some = np.flatnonzero(slot_counts.sum(axis=0) >= 2)
     ratio = likelihood_ratio(slot_counts[1][some].astype(float), slot_counts[0][some].astype(float), float(positive.sum()), float((~positive).sum()))
     keep = some[np.argsort(-np.abs(ratio), kind="stable")[: max(FEWEST_FEATURES, int((np.abs(ratio) >= LEAST_RATIO).sum()))]]
@@ -201,10 +227,6 @@ def fit(sample: pa.Table, totals: dict[int, int]) -> OrdinalModel | None:
     place[best] = np.arange(len(best))
     kept = place[cols] >= 0
     rows, cols, counts, names = rows[kept], place[cols[kept]], counts[kept], names[best]
-    if len(values) == 2:
-        telling = np.bincount(rows, ratio[best][cols] > 0, minlength=len(grades))
-        grades = grades + (positive & (telling > np.median(telling[positive])))
-        _, grades = np.unique(grades, return_inverse=True)
     label_of = sample.column("grade").to_numpy()
     weight = np.array([totals[int(v)] / (label_of == v).sum() for v in values])[np.searchsorted(values, label_of)]
     w, theta = fit_thresholds(rows, cols, np.log1p(counts), len(names), grades, weight)

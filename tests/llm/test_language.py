@@ -90,7 +90,11 @@ def test_pair_marginals_and_their_gradient_are_exact(monkeypatch):
         assert abs((loss(t + d) - loss(t - d)) / (2 * step) - got[i, j]) < 1e-6
 
 
-def test_languages_with_long_texts_only_are_sampled(frame):
+def test_long_texts_are_sampled_like_others(frame):
     rows = [(1, "a b", "en", "s", 1, "x", 1), (2, "a " * 15_000, "en", "s", 1, "x", 1), (3, "x " * 15_000, "de", "s", 1, "x", 1)]
     got = language.labelled_sample(frame(rows), F.lit(True)).collect()
-    assert sorted((r.doc_id, r.lang, len(r.text)) for r in got) == [(1, "en", 3), (3, "de", 30_000)]
+    assert sorted((r.doc_id, r.lang, len(r.text)) for r in got) == [(1, "en", 3), (2, "en", 30_000), (3, "de", 30_000)]
+    # the budget ends the drawing, and leaves every language a text
+    rows = [(i, "word " * 500, lang, "s", 1, "x", 1) for i, lang in enumerate(["en"] * 40 + ["de"])]
+    got = language.labelled_sample(frame(rows), F.lit(True), sample=30, chars=12_000).groupBy("lang").count().collect()
+    assert sorted(map(tuple, got)) == [("de", 1), ("en", 5)]

@@ -71,3 +71,53 @@ def test_likely_clean_documents_stay(spark, frame):
     assert not any(got[i].toxic for i, _, k, _ in rows if k <= 2)
     assert all(got[i].toxic for i, _, k, _ in rows if k >= 3)
     assert max(r.expected_severity for r in got.values()) > 1
+
+
+def test_fit_is_the_minimum_of_the_penalised_loss():
+    rng = np.random.default_rng(3)
+    n, f = 300, 4
+    dense = rng.integers(0, 3, (n, f)).astype(float)
+    y = np.clip(np.rint(dense @ np.array([1.0, -1.0, 0.5, 0.0]) / 2 + rng.normal(0, 0.8, n)), 0, 2).astype(int)
+    weight = rng.random(n) + 0.5
+    rows, cols = np.nonzero(dense)
+    penalty = 1e-3
+    w, theta = toxicity.fit_thresholds(rows, cols, dense[rows, cols], f, y, weight, penalty=penalty, steps=4000)
+
+    def loss(w, theta):
+        below = np.concatenate([np.zeros((n, 1)), 1 / (1 + np.exp(-(theta[None] - (dense @ w)[:, None]))), np.ones((n, 1))], axis=1)
+        p = below[np.arange(n), y + 1] - below[np.arange(n), y]
+        return -(weight / weight.sum() * np.log(p)).sum() + penalty / 2 * (w**2).sum() / f**0.5
+
+    best = loss(w, theta)
+    for k in range(f + 2):
+        for step in (-0.02, 0.02):
+            moved = np.concatenate([w, theta])
+            moved[k] += step
+            assert loss(moved[:f], moved[f:]) > best - 1e-7
+
+
+def test_expected_severity_sums_over_grades():
+    model = toxicity.OrdinalModel(np.array([1], np.uint64), np.array([1.0]), np.array([-0.5, 0.7, 2.0]))
+    s = np.linspace(-3, 3, 7)
+    below = np.concatenate([np.zeros((7, 1)), 1 / (1 + np.exp(-(model.thresholds[None] - s[:, None]))), np.ones((7, 1))], axis=1)
+    p = np.diff(below, axis=1)
+    assert np.allclose(model.expected(s), p @ np.arange(4)) and np.allclose(model.positive(s), 1 - p[:, 0])
+
+
+def test_weak_grades_follow_the_number_of_telling_words():
+    rng = np.random.default_rng(4)
+    clean = [" ".join(rng.choice(["sun", "rain", "tree", "lake"], 20)) for _ in range(200)]
+    bad = [" ".join(["vile", "foul"] * (1 if k % 2 else 6)) + " " + clean[k] for k in range(80)]
+    texts = pa.table({"text": clean + bad, "grade": [0] * 200 + [1] * 80})
+    model = toxicity.fit(texts, {0: 200, 1: 80})
+    assert len(model.thresholds) == 2
+    e = model.expected(model.sums(pa.array(bad)))
+    assert min(e[0::2]) > max(e[1::2])
+
+
+def test_long_labelled_documents_take_part(spark, frame):
+    docs, labels = _rows(60)
+    docs = [(i, t + " pad" * 20_000, *rest) for i, t, *rest in docs]
+    assert toxicity.labelled_sample(frame(docs), spark.createDataFrame(labels, "doc_id long, toxic int"), "toxic").count() == 60
+    few = toxicity.labelled_sample(frame(docs), spark.createDataFrame(labels, "doc_id long, toxic int"), "toxic", chars=100_000).groupBy("grade").count().collect()
+    assert sorted(map(tuple, few)) == [(0, 2), (1, 2)]
