@@ -113,7 +113,7 @@ def _fit_source(rows: pd.DataFrame) -> pd.DataFrame:
     """Counts by length of one source: at most one row per distinct length."""
     rows = rows.sort_values("size")
     take = fit_budget(rows["size"].to_numpy(), rows["n"].to_numpy(), int(rows["budget"].iloc[0]))
-    return pd.DataFrame({"source": rows["source"], "size": rows["size"], "extra": take})
+    return pd.DataFrame({"no_source": rows["no_source"], "name": rows["name"], "size": rows["size"], "extra": take})
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 17, keep: str | None = None) -> DataFrame:
@@ -125,31 +125,34 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: fl
     """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     draw = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
-    sized = docs.select("doc_id", "source", size.alias("size"), draw.alias("draw"), F.pmod(draw, F.lit(BUCKETS)).cast("int").alias("bucket"), *([F.col(keep).alias("kept")] if keep else []))
+    # a null source is told apart by a column of its own, so that joins and windows share one shuffle
+    sized = docs.select("doc_id", "source", F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("name"), size.alias("size"), draw.alias("draw"), F.pmod(draw, F.lit(BUCKETS)).cast("int").alias("bucket"), *([F.col(keep).alias("kept")] if keep else []))
     # what is carried may be whole texts: these are counted again instead of being written once more
     sized = sized if keep else stored(sized, "sizes")
-    counts = stored(sized.groupBy("source", "size", "bucket").agg(F.count(F.lit(1)).alias("n")), "counts")
+    of = ["no_source", "name"]
+    counts = stored(sized.groupBy(*of, "size", "bucket").agg(F.count(F.lit(1)).alias("n")), "counts")
 
-    sources = counts.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
+    sources = counts.groupBy(*of).agg(F.sum(F.col("size") * F.col("n")).alias("source_size")).withColumn("source", F.when(~F.col("no_source"), F.col("name")))
     passes = F.when(F.col("source_size") > 0, F.floor(F.round(F.col("target"), 6) / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     targets = stored(
-        source_targets(sources, weights, share, cap)
+        source_targets(sources.select("source", "source_size"), weights, share, cap)
         .withColumn("passes", passes)
-        .withColumn("budget", F.round(F.col("target")).cast("long") - F.col("passes") * F.col("source_size")),
+        .withColumn("budget", F.round(F.col("target")).cast("long") - F.col("passes") * F.col("source_size"))
+        .select(F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("name"), "source_size", "target", "passes", "budget"),
         "targets",
     )
-    lengths = counts.where("size > 0").groupBy("source", "size").agg(F.sum("n").alias("n"))
-    asked = lengths.join(targets.select(F.col("source").alias("of"), "budget"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    extra = asked.groupBy("source").applyInPandas(_fit_source, "source string, size long, extra long").where("extra > 0")
-
-    one = counts.alias("c").join(extra.alias("e"), F.col("c.source").eqNullSafe(F.col("e.source")) & (F.col("c.size") == F.col("e.size")))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("c.source", "c.size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    room = F.greatest(F.least(F.col("e.extra") - before, F.col("n")), F.lit(0))
-    rooms = one.select(F.col("c.source").alias("r_source"), F.col("c.size").alias("r_size"), F.col("bucket").alias("r_bucket"), room.alias("room")).where("room > 0")
-
-    same = F.col("source").eqNullSafe(F.col("r_source")) & (F.col("size") == F.col("r_size")) & (F.col("bucket") == F.col("r_bucket"))
-    rank = F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy("draw", F.col("doc_id").asc_nulls_last(), *(["kept"] if keep else [])))
-    drawn = sized.join(rooms, same, "left").withColumn("extra", (rank <= F.coalesce("room", F.lit(0))).cast("long")).select("doc_id", "source", "size", "extra", *(["kept"] if keep else []))
-    t = targets.select(F.col("source").alias("t_source"), "source_size", "target", "passes")
+    lengths = counts.where("size > 0").groupBy(*of, "size").agg(F.sum("n").alias("n"))
+    asked = lengths.join(targets.select(*of, "budget"), of)
+    extra = asked.groupBy(*of).applyInPandas(_fit_source, "no_source boolean, name string, size long, extra long").where("extra > 0")
+
+    one = counts.join(extra, [*of, "size"])
+    # at most BUCKETS rows of a source and length
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(*of, "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    room = F.greatest(F.least(F.col("extra") - before, F.col("n")), F.lit(0))
+    rooms = stored(one.select(*of, "size", "bucket", room.alias("room")).where("room > 0"), "rooms")
+
+    rank = F.row_number().over(Window.partitionBy(*of, "size", "bucket").orderBy("draw", F.col("doc_id").asc_nulls_last(), *(["kept"] if keep else [])))
+    drawn = sized.join(rooms, [*of, "size", "bucket"], "left").withColumn("extra", (rank <= F.coalesce("room", F.lit(0))).cast("long"))
     copies = F.when(F.col("size") > 0, F.col("passes") + F.col("extra")).otherwise(F.lit(0))
-    return drawn.join(t, F.col("source").eqNullSafe(F.col("t_source"))).select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.cast("long").alias("copies"), "source", *(["kept"] if keep else []))
+    both = drawn.join(targets.drop("budget"), of)
+    return both.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.cast("long").alias("copies"), "source", *(["kept"] if keep else []))

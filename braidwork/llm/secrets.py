@@ -104,7 +104,7 @@ def scan_secrets(docs: DataFrame, owner: Column, repo: Column, example_owners: i
     """docs: (doc_id, text and what owner and repo name). One row per row of docs: doc_id, n_assign, n_access, n_hex,
     n_live_added, n_example, n_owner_specific, base_sha256, spans."""
     judged = judged_candidates(docs, owner, repo, example_owners)
-    per_doc = judged.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set(F.struct("start", "kind", "end", "verdict"))).alias("found"))
+    per_doc = stored(judged.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set(F.struct("start", "kind", "end", "verdict"))).alias("found")), "spans")
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"))
     d = per_doc.select(F.col("doc_id").alias("d_id"), F.col("text_key").alias("d_key"), "found")
     both = rows.join(d, F.col("doc_id").eqNullSafe(F.col("d_id")) & (F.col("text_key") == F.col("d_key")), "left")
@@ -134,6 +134,8 @@ def redacted(docs: DataFrame, owner: Column, repo: Column, mark: str = "[secret]
     Overlapping spans are replaced as one."""
     judged = judged_candidates(docs, owner, repo, example_owners).where("verdict <> 'example'")
     cuts = judged.groupBy(F.col("doc_id").alias("cut_id"), F.col("text_key").alias("cut_key")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("cuts"))
+    # written, so that its size is known: where it is small, no text is shuffled
+    cuts = stored(cuts, "cuts")
     keyed = docs.select(F.struct("*").alias("row"), "doc_id", "text", F.xxhash64("text").alias("text_key"))
     both = keyed.join(cuts, F.col("doc_id").eqNullSafe(F.col("cut_id")) & (F.col("text_key") == F.col("cut_key")), "left")
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))

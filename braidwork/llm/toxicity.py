@@ -1,7 +1,8 @@
 """Toxicity severity by cumulative-link ordinal regression over sparse text features.
 
 P(grade <= k) = logistic(threshold_k - w.x): all thresholds share the weights. Features are letter words and their
-beginnings of 4 to 7 bytes (ASCII lower-cased), as log(1 + count) of those that the labelled sample links to a grade.
+beginnings of 4 to 7 bytes (ASCII lower-cased), as log(1 + count), counts above MOST_COUNT as MOST_COUNT, of those that
+the labelled sample links to a grade. Copies in the sample tell of their features once, but weigh as often as they occur.
 
 The model is fitted, in one task, on a bounded sample: at most SAMPLE documents of each label, drawn whole by a hash of
 doc_id until they hold SAMPLE_CHARS characters, and weighted by how many labelled documents each stands for. Scoring
@@ -34,6 +35,8 @@ from braidwork.llm.sampling import least_hashes
 
 #: Most documents of a label value, and the characters from which on no more are drawn.
 SAMPLE, SAMPLE_CHARS = 4000, 40_000_000
+#: Occurrences of a feature in one text beyond which more say no more.
+MOST_COUNT = 3
 #: Bytes of word beginnings.
 BEGINNINGS = (4, 5, 6, 7)
 #: Least likelihood ratio statistic of a feature, and how many features are kept at least and at most.
@@ -57,6 +60,10 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(hashes)
 
 
+def amounts(counts: np.ndarray) -> np.ndarray:
+    return np.log1p(np.minimum(counts, MOST_COUNT))
+
+
 @dataclass
 class OrdinalModel:
     """Sorted feature hashes with their weights, and the ordered thresholds."""
@@ -72,7 +79,7 @@ class OrdinalModel:
     def sums(self, column: pa.Array) -> np.ndarray:
         """w.x of each row."""
         rows, cols, counts = known_counts(column, self.hashes, self.mask)
-        return np.bincount(rows, np.log1p(counts) * self.weights[cols], minlength=len(column))
+        return np.bincount(rows, amounts(counts) * self.weights[cols], minlength=len(column))
 
     def expected(self, sums: np.ndarray) -> np.ndarray:
         """Expected severity: the sum over the thresholds of P(grade > threshold)."""
@@ -185,9 +192,11 @@ def fit(sample: pa.Table, totals: dict[int, int]) -> OrdinalModel | None:
     values = np.unique(sample.column("grade").to_numpy()) if sample.num_rows else np.zeros(0)
     if len(values) < 2:
         return None
+    drawn = {int(v): int((sample.column("grade").to_numpy() == v).sum()) for v in values}
+    sample = sample.select(["text", "grade"]).group_by(["text", "grade"], use_threads=False).aggregate([([], "count_all")])
     grades = np.searchsorted(values, sample.column("grade").to_numpy())
     parts, at = [], 0
-    for batch in slices(sample.combine_chunks().to_batches(), limit=1 << 20):
+    for batch in slices(sample.select(["text"]).combine_chunks().to_batches(), limit=1 << 20):
         parts.append((at, batch.column("text")))
         at += batch.num_rows
     positive = grades > 0
@@ -204,7 +213,8 @@ def fit(sample: pa.Table, totals: dict[int, int]) -> OrdinalModel | None:
         grades = grades + weak_grades(parts, slot_counts, positive, half)
         _, grades = np.unique(grades, return_inverse=True)
     slot_counts = slot_counts.sum(axis=0)
-    some = np.flatnonzero(slot_counts.sum(axis=0) >= 2)
+    # in a sample of 100 texts or more, a feature of one text tells nothing
+    some = np.flatnonzero(slot_counts.sum(axis=0) >= (2 if len(grades) >= 100 else 1))
     ratio = likelihood_ratio(slot_counts[1][some].astype(float), slot_counts[0][some].astype(float), float(positive.sum()), float((~positive).sum()))
     keep = some[np.argsort(-np.abs(ratio), kind="stable")[: max(FEWEST_FEATURES, int((np.abs(ratio) >= LEAST_RATIO).sum()))]]
     wanted = np.zeros(_SLOTS, bool)
@@ -227,9 +237,9 @@ def fit(sample: pa.Table, totals: dict[int, int]) -> OrdinalModel | None:
     place[best] = np.arange(len(best))
     kept = place[cols] >= 0
     rows, cols, counts, names = rows[kept], place[cols[kept]], counts[kept], names[best]
-    label_of = sample.column("grade").to_numpy()
-    weight = np.array([totals[int(v)] / (label_of == v).sum() for v in values])[np.searchsorted(values, label_of)]
-    w, theta = fit_thresholds(rows, cols, np.log1p(counts), len(names), grades, weight)
+    share = np.array([totals[int(v)] / drawn[int(v)] for v in values])
+    weight = sample.column("count_all").to_numpy() * share[np.searchsorted(values, sample.column("grade").to_numpy())]
+    w, theta = fit_thresholds(rows, cols, amounts(counts), len(names), grades, weight)
     return OrdinalModel(names, w, theta)
 
 
