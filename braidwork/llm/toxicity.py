@@ -2,7 +2,7 @@
 
 P(grade <= k) = logistic(threshold_k - w.x): all thresholds share the weights. Features are letter words and their
 beginnings of 4 to 7 bytes (ASCII lower-cased), as log(1 + count), counts above MOST_COUNT as MOST_COUNT, of those that
-the labelled sample links to a grade. Copies in the sample tell of their features once, but weigh as often as they occur.
+the labelled sample links to a grade.
 
 The model is fitted, in one task, on a bounded sample: at most SAMPLE documents of each label, drawn whole by a hash of
 doc_id until they hold SAMPLE_CHARS characters, and weighted by how many labelled documents each stands for. Scoring
@@ -192,8 +192,6 @@ def fit(sample: pa.Table, totals: dict[int, int]) -> OrdinalModel | None:
     values = np.unique(sample.column("grade").to_numpy()) if sample.num_rows else np.zeros(0)
     if len(values) < 2:
         return None
-    drawn = {int(v): int((sample.column("grade").to_numpy() == v).sum()) for v in values}
-    sample = sample.select(["text", "grade"]).group_by(["text", "grade"], use_threads=False).aggregate([([], "count_all")])
     grades = np.searchsorted(values, sample.column("grade").to_numpy())
     parts, at = [], 0
     for batch in slices(sample.select(["text"]).combine_chunks().to_batches(), limit=1 << 20):
@@ -213,8 +211,7 @@ def fit(sample: pa.Table, totals: dict[int, int]) -> OrdinalModel | None:
         grades = grades + weak_grades(parts, slot_counts, positive, half)
         _, grades = np.unique(grades, return_inverse=True)
     slot_counts = slot_counts.sum(axis=0)
-    # in a sample of 100 texts or more, a feature of one text tells nothing
-    some = np.flatnonzero(slot_counts.sum(axis=0) >= (2 if len(grades) >= 100 else 1))
+    some = np.flatnonzero(slot_counts.sum(axis=0) >= 2)
     ratio = likelihood_ratio(slot_counts[1][some].astype(float), slot_counts[0][some].astype(float), float(positive.sum()), float((~positive).sum()))
     keep = some[np.argsort(-np.abs(ratio), kind="stable")[: max(FEWEST_FEATURES, int((np.abs(ratio) >= LEAST_RATIO).sum()))]]
     wanted = np.zeros(_SLOTS, bool)
@@ -237,8 +234,8 @@ def fit(sample: pa.Table, totals: dict[int, int]) -> OrdinalModel | None:
     place[best] = np.arange(len(best))
     kept = place[cols] >= 0
     rows, cols, counts, names = rows[kept], place[cols[kept]], counts[kept], names[best]
-    share = np.array([totals[int(v)] / drawn[int(v)] for v in values])
-    weight = sample.column("count_all").to_numpy() * share[np.searchsorted(values, sample.column("grade").to_numpy())]
+    label_of = sample.column("grade").to_numpy()
+    weight = np.array([totals[int(v)] / (label_of == v).sum() for v in values])[np.searchsorted(values, label_of)]
     w, theta = fit_thresholds(rows, cols, amounts(counts), len(names), grades, weight)
     return OrdinalModel(names, w, theta)
 
