@@ -5,14 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from braidwork.functions import scores
-
-#: Most chains of a tile: pairs are formed between tiles, so the largest task holds two tiles.
-TILE = 256
+from braidwork.operators.tiles import TILE, Tiles, dealt, joined, over_pairs
 
 
 def chains_of_vectors(vectors: DataFrame, scale: float) -> DataFrame:
@@ -54,49 +51,73 @@ def contact_degree(edges: DataFrame) -> DataFrame:
 
 
 def family_pairs(chains: DataFrame, *columns: str, tile: int = TILE) -> DataFrame:
-    """Pairs i > j of one family, with the columns of both as a_ and b_.
-
-    A family is dealt into tiles, and two tiles meet under one key: an equi-join whose tasks stay small however large
-    a family is."""
-    sizes = chains.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles"))
-    dealt = chains.join(sizes, "family").withColumn("tile", F.pmod(F.xxhash64("chain"), F.col("tiles")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    dealt = dealt.withColumn("low", F.least("tile", "other")).withColumn("high", F.greatest("tile", "other"))
+    """Pairs i > j of one family, with the columns of both as a_ and b_: an equi-join of tiles."""
+    rows = dealt(chains, *columns, tile=tile)
 
     def side(s: str) -> DataFrame:
-        return dealt.select("family", "low", "high", F.col("chain").alias(f"{s}_chain"), F.col("tile").alias(f"{s}_tile"), *[F.col(c).alias(f"{s}_{c}") for c in columns])
+        return rows.select("family", "low", "high", *[F.col(c).alias(f"{s}_{c}") for c in ("chain", "tile", *columns)])
 
     met = side("a").join(side("b"), ["family", "low", "high"])
     once = (F.col("low") == F.col("high")) | (F.col("a_tile") != F.col("b_tile"))
     return met.where((F.col("a_chain") > F.col("b_chain")) & once).drop("low", "high", "a_tile", "b_tile")
 
 
-def _squares(a: str, b: str) -> Column:
-    return F.zip_with(a, b, lambda p, q: (p["x"] - q["x"]) ** 2 + (p["y"] - q["y"]) ** 2 + (p["z"] - q["z"]) ** 2)
+def _scale2(length: np.ndarray) -> np.ndarray:
+    """Square of the distance scale of each length, nan where it has none; as functions.scores.tm_scale2."""
+    d0 = 1.24 * np.cbrt(length - 15.0) - 1.8
+    return np.where((length > 15) & (d0 > 0), d0 * d0, np.nan)
+
+
+def _square_distances(t: Tiles, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of equal positions; nan beyond the shorter chain."""
+    return ((t.xyz[a] - t.xyz[b]) ** 2).sum(axis=2)
 
 
-def pair_scores(chains: DataFrame) -> DataFrame:
+def pair_scores(chains: DataFrame, norm: str = "min") -> DataFrame:
     """(family, i, j, len, n_ali, si, tm, rmsd) of the residue-by-residue alignment of each pair of a family: aligned
     fraction, identity, superposition score of the given coordinates and root mean square distance, each capped at
-    the scale of the score."""
-    pairs = family_pairs(chains, "residues")
-    length = F.least(F.size("a_residues"), F.size("b_residues"))
-    same = F.aggregate(F.zip_with("a_residues", "b_residues", lambda p, q: (p["aa"] == q["aa"]).cast("int")), F.lit(0), lambda s, v: s + F.coalesce(v, F.lit(0)))
-    wide = pairs.select("family", F.col("a_chain").alias("i"), F.col("b_chain").alias("j"), length.alias("len"), same.alias("same"), F.filter(_squares("a_residues", "b_residues"), lambda d: d.isNotNull()).alias("d2"))
-    scale = scores.tm_scale2(F.col("len").cast("double"))
-    tm = F.aggregate("d2", F.lit(0.0), lambda s, d: s + F.lit(1.0) / (F.lit(1.0) + d / F.col("scale"))) / F.col("len")
-    rmsd = F.sqrt(F.aggregate("d2", F.lit(0.0), lambda s, d: s + F.least(d, F.col("scale"))) / F.size("d2"))
-    return wide.withColumn("scale", scale).select("family", "i", "j", "len", (F.size("d2") / F.col("len")).alias("n_ali"), (F.col("same") / F.col("len")).alias("si"), tm.alias("tm"), rmsd.alias("rmsd"))
+    the scale of the score.
+
+    len, which counts are divided by, is the shorter length, the longer (norm max) or the whole part of their geometric
+    mean (norm mean). Without a scale (len of 15 or fewer) tm is null and distances aren't capped."""
+    if norm not in ("min", "max", "mean"):
+        raise ValueError("norm is min, max or mean")
+
+    def run(t: Tiles) -> dict[str, np.ndarray]:
+        parts = []
+        for a, b in t.pairs():
+            la, lb = t.length[a], t.length[b]
+            size = np.minimum(la, lb) if norm == "min" else np.maximum(la, lb) if norm == "max" else np.sqrt(la * lb).astype(np.int64)
+            d2, scale = _square_distances(t, a, b), _scale2(size)[:, None]
+            on = ~np.isnan(d2)
+            n, d2 = on.sum(axis=1), np.where(on, d2, 0.0)
+            capped = np.where(np.isnan(scale), d2, np.minimum(d2, scale))
+            tm = np.where(on, 1.0 / (1.0 + d2 / scale), 0.0).sum(axis=1) / size
+            same = ((t.kind[a] == t.kind[b]) & on).sum(axis=1)
+            parts.append({"i": t.chain[a], "j": t.chain[b], "len": size, "n_ali": n / size, "si": same / size, "tm": tm, "rmsd": np.sqrt(capped.sum(axis=1) / np.maximum(n, 1))})
+        out = joined(parts, {"i": np.int64, "j": np.int64, "len": np.int32, "n_ali": float, "si": float, "tm": float, "rmsd": float})
+        out["tm"] = [None if np.isnan(v) else v for v in out["tm"].tolist()] if np.isnan(out["tm"]).any() else out["tm"]
+        return out
+
+    return over_pairs(chains, ["residues"], run, "i long, j long, len int, n_ali double, si double, tm double, rmsd double")
 
 
 def contact_overlap(chains: DataFrame, edges: DataFrame) -> DataFrame:
     """(family, i, j, shared, co): contacts that both chains of a pair have, over the fewer of the two."""
     packed = edges.groupBy("chain").agg(F.collect_list(F.shiftleft(F.col("i").cast("long"), 32) + F.col("j")).alias("pairs"))
     own = chains.select("chain", "family").join(packed, "chain", "left").withColumn("pairs", F.coalesce("pairs", F.array().cast("array<long>")))
-    met = family_pairs(own, "pairs")
-    fewer = F.least(F.size("a_pairs"), F.size("b_pairs"))
-    shared = F.size(F.array_intersect("a_pairs", "b_pairs"))
-    return met.select("family", F.col("a_chain").alias("i"), F.col("b_chain").alias("j"), shared.alias("shared"), F.when(fewer > 0, shared / fewer).otherwise(F.lit(0.0)).alias("co"))
+
+    def run(t: Tiles) -> dict[str, np.ndarray]:
+        lists = pa.concat_arrays(t.table.column("pairs").chunks)
+        sizes = np.diff(lists.offsets.to_numpy())
+        _, at = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+        has = np.zeros((len(sizes), int(at.max(initial=0)) + 1), np.float32)
+        has[np.repeat(np.arange(len(sizes)), sizes), at] = 1
+        shared = np.rint(has @ has.T).astype(np.int32)[t.first, t.second]
+        fewer = np.minimum(sizes[t.first], sizes[t.second])
+        return {"i": t.chain[t.first], "j": t.chain[t.second], "shared": shared, "co": np.where(fewer > 0, shared / np.maximum(fewer, 1), 0.0)}
+
+    return over_pairs(own, ["pairs"], run, "i long, j long, shared int, co double")
 
 
 def contact_votes(edges: DataFrame) -> DataFrame:
@@ -148,10 +169,17 @@ def centroids(residues: DataFrame) -> DataFrame:
 
 def column_scores(chains: DataFrame) -> DataFrame:
     """(family, res, tm_sum): over all pairs of a family, 1 / (1 + d2 / scale) at each position."""
-    pairs = family_pairs(chains, "residues")
-    length = F.least(F.size("a_residues"), F.size("b_residues")).cast("double")
-    at = pairs.select("family", scores.tm_scale2(length).alias("scale"), F.posexplode(_squares("a_residues", "b_residues")).alias("res", "d2"))
-    return at.where("d2 IS NOT NULL").groupBy("family", "res").agg(F.sum(F.lit(1.0) / (F.lit(1.0) + F.col("d2") / F.col("scale"))).alias("tm_sum"))
+
+    def run(t: Tiles) -> dict[str, np.ndarray]:
+        total, seen = np.zeros(t.xyz.shape[1]), np.zeros(t.xyz.shape[1], bool)
+        for a, b in t.pairs():
+            d2 = _square_distances(t, a, b)
+            seen |= ~np.isnan(d2).all(axis=0)
+            total += np.nansum(1.0 / (1.0 + d2 / _scale2(np.minimum(t.length[a], t.length[b]))[:, None]), axis=0)
+        res = np.flatnonzero(seen)
+        return {"res": res.astype(np.int32), "tm_sum": total[res]}
+
+    return over_pairs(chains, ["residues"], run, "res int, tm_sum double").groupBy("family", "res").agg(F.sum("tm_sum").alias("tm_sum"))
 
 
 def medoids(pairs: DataFrame, score: str) -> DataFrame:
@@ -189,26 +217,40 @@ def conserved_contacts(chains: DataFrame, edges: DataFrame) -> DataFrame:
     return flags.groupBy("family", "class", "identical").agg(F.count(F.lit(1)).alias("n_contacts"), F.count_if("kept").alias("n_conserved"))
 
 
+def _anchors(t: Tiles) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For pairs a and b of chains: which residues of the first have a mutual nearest one, which that is, and which stay
+    when read along the first chain only those further on in the second are kept."""
+    for a, b in t.pairs(1024):
+        d2 = ((t.xyz[a][:, :, None] - t.xyz[b][:, None]) ** 2).sum(axis=3)
+        d2 = np.where(np.isnan(d2), np.inf, d2)
+        to, back = d2.argmin(axis=2), d2.argmin(axis=1)
+        n, width = to.shape
+        own = np.arange(width)[None]
+        mutual = (np.take_along_axis(back, to, 1) == own) & (own < t.length[a][:, None]) & (to < t.length[b][:, None])
+        reach = np.maximum.accumulate(np.where(mutual, to, -1), axis=1)
+        before = np.concatenate([np.full((n, 1), -1), reach[:, :-1]], axis=1)
+        yield a, b, mutual, to, mutual & (to > before)
+
+
 def monotone_anchors(chains: DataFrame) -> DataFrame:
     """(family, i, j, n_mutual, n_kept): residues of two chains that are each other's nearest (first of equals), and
-    how many of them stay when read along the first chain only those further on in the second are kept.
-
-    Nested functions of columns would be evaluated anew for each element, so distances are taken from arrays."""
-
-    def xyz(residues) -> np.ndarray:
-        return np.array([[r["x"], r["y"], r["z"]] for r in residues])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            mutual, kept = [], []
-            for a, b in zip(rows["a_residues"], rows["b_residues"], strict=True):
-                p, q = xyz(a), xyz(b)
-                d2 = (p[:, None, 0] - q[None, :, 0]) ** 2 + (p[:, None, 1] - q[None, :, 1]) ** 2 + (p[:, None, 2] - q[None, :, 2]) ** 2
-                to, back = d2.argmin(axis=1), d2.argmin(axis=0)
-                anchors = to[back[to] == np.arange(len(p))]
-                before = np.maximum.accumulate(np.concatenate([[-1], anchors]))[:-1]
-                mutual.append(len(anchors))
-                kept.append(int((anchors > before).sum()))
-            yield pd.DataFrame({"family": rows["family"], "i": rows["a_chain"], "j": rows["b_chain"], "n_mutual": mutual, "n_kept": kept})
-
-    return family_pairs(chains, "residues").mapInPandas(run, "family int, i long, j long, n_mutual int, n_kept int")
+    how many of them stay when read along the first chain only those further on in the second are kept."""
+
+    def run(t: Tiles) -> dict[str, np.ndarray]:
+        parts = [{"i": t.chain[a], "j": t.chain[b], "n_mutual": mutual.sum(axis=1), "n_kept": kept.sum(axis=1)} for a, b, mutual, _, kept in _anchors(t)]
+        return joined(parts, {"i": np.int64, "j": np.int64, "n_mutual": np.int32, "n_kept": np.int32})
+
+    return over_pairs(chains, ["residues"], run, "i long, j long, n_mutual int, n_kept int")
+
+
+def anchor_rows(chains: DataFrame) -> DataFrame:
+    """(family, i, j, p, q): the anchors that monotone_anchors keeps, as an alignment of each pair of a family."""
+
+    def run(t: Tiles) -> dict[str, np.ndarray]:
+        parts = []
+        for a, b, _, to, kept in _anchors(t):
+            row, p = np.nonzero(kept)
+            parts.append({"i": t.chain[a[row]], "j": t.chain[b[row]], "p": p, "q": to[row, p]})
+        return joined(parts, {"i": np.int64, "j": np.int64, "p": np.int32, "q": np.int32})
+
+    return over_pairs(chains, ["residues"], run, "i long, j long, p int, q int")
