@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from braidwork.operators.tiles import TILE, Tiles, dealt, joined, over_pairs
+from braidwork.session import stored  # noqa: F401
 
 
 def chains_of_vectors(vectors: DataFrame, scale: float) -> DataFrame:
@@ -243,6 +244,13 @@ def monotone_anchors(chains: DataFrame) -> DataFrame:
     return over_pairs(chains, ["residues"], run, "i long, j long, n_mutual int, n_kept int")
 
 
+def position_rows(chains: DataFrame) -> DataFrame:
+    """(family, i, j, p, q): the alignment of each pair of a family by position."""
+    pairs = family_pairs(chains.select("chain", "family", F.size("residues").alias("n")), "n").where((F.col("a_n") > 0) & (F.col("b_n") > 0))
+    at = F.explode(F.sequence(F.lit(0), F.least("a_n", "b_n") - 1)).alias("p")
+    return pairs.select("family", F.col("a_chain").alias("i"), F.col("b_chain").alias("j"), at).withColumn("q", F.col("p"))
+
+
 def anchor_rows(chains: DataFrame) -> DataFrame:
     """(family, i, j, p, q): the anchors that monotone_anchors keeps, as an alignment of each pair of a family."""
 

@@ -103,3 +103,11 @@ def maximal_cliques(links: DataFrame, least: int = 3) -> DataFrame:
         return pd.DataFrame({"seed": [seed] * len(found), "size": [len(q) for q in found], "nodes": pd.Series([",".join(map(str, sorted(q))) for q in found], dtype=object)})
 
     return rows.groupBy("s").applyInPandas(find, "seed long, size int, nodes string")
+
+
+def select_cliques(cliques: DataFrame, share: float, cap: int) -> DataFrame:
+    """Cliques of more than share of the greatest size, and of each size the first cap by seed and nodes."""
+    most = cliques.agg(F.max("size").alias("most"))
+    large = cliques.crossJoin(F.broadcast(most)).where(F.col("size") > share * F.col("most"))  # one row
+    order = Window.partitionBy("size").orderBy("seed", "nodes")
+    return large.withColumn("r", F.row_number().over(order)).where(F.col("r") <= cap).select("seed", "size", "nodes")

@@ -59,3 +59,37 @@ def overlay(points: DataFrame, intervals: DataFrame, key: str, at: str, value: s
     seen = F.last(F.when(F.col("_kind") == 0, F.struct("_until", "_value")), ignorenulls=True).over(w)
     got = both.withColumn("_seen", seen).where("_kind = 1")
     return got.withColumn("covering", F.when(F.col("_seen._until") >= F.col(at), F.col("_seen._value"))).select(*points.columns, "covering")
+
+
+def step_to_next(df: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
+    """df with step: the value of the key's next row less this one's."""
+    return df.withColumn("step", F.lead(value).over(Window.partitionBy(key).orderBy(*order)) - F.col(value))
+
+
+def gap_openings(df: DataFrame, key: str, order: list[str], gap: Column) -> DataFrame:
+    """(key, openings): how many runs of gaps a key has."""
+    w = Window.partitionBy(key).orderBy(*order)
+    marked = df.withColumn("_gap", gap).withColumn("_open", F.col("_gap") & ~F.coalesce(F.lag("_gap").over(w), F.lit(False)))
+    return marked.groupBy(key).agg(F.count_if("_open").alias("openings"))
+
+
+def breaks(alignment: DataFrame) -> DataFrame:
+    """(i, j, gaps): how often the aligned residues (i, j, p, q) of a pair do not follow each other in both chains."""
+    w = Window.partitionBy("i", "j").orderBy("p")
+    off = (F.col("p") != F.lag("p").over(w) + 1) | (F.col("q") != F.lag("q").over(w) + 1)
+    return alignment.withColumn("_off", F.coalesce(off, F.lit(False))).groupBy("i", "j").agg(F.count_if("_off").alias("gaps"))
+
+
+def column_counts(df: DataFrame, key: str, order: list[str], state: str, states: list[str]) -> DataFrame:
+    """(col, n, gaps and one count a state): rows of a key are its columns in order; keys of fewer rows have gaps in the
+    later columns."""
+    placed = df.withColumn("col", F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1)
+    total = df.select(key).distinct().agg(F.count(F.lit(1)).alias("keys"))
+    counted = placed.groupBy("col").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(state) == s).alias(f"n_{s}") for s in states])
+    return counted.crossJoin(F.broadcast(total)).select("col", "n", (F.col("keys") - F.col("n")).alias("gaps"), *[f"n_{s}" for s in states])  # one row
+
+
+def renumbered(df: DataFrame, key: str, column: str) -> DataFrame:
+    """(key, column, new_col): the columns that occur for a key, numbered from 1 without those that never do."""
+    cells = df.select(key, column).distinct()
+    return cells.withColumn("new_col", F.dense_rank().over(Window.partitionBy(key).orderBy(column)))

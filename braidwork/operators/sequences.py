@@ -45,22 +45,21 @@ def identity_pairs(seqs: DataFrame, threshold: float = IDENTITY) -> DataFrame:
     return both.select("i", "j", "same", (F.col("same") / F.col("m")).alias("si")).where(F.col("si") > threshold)
 
 
-def leaders(nodes: DataFrame, links: DataFrame, most_rounds: int = 200) -> DataFrame:
+def leaders(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """nodes: (seq); links: (i, j), i > j. (seq, leader): in order of seq, a node joins the first leader that it is
     linked to, or else becomes one.
 
-    Each round settles every node whose earlier neighbours are settled or one of whose earlier neighbours leads."""
+    Each round settles every node whose earlier neighbours are settled or one of whose earlier neighbours leads, the
+    least unsettled node at least; so it ends, after as many rounds as the longest chain of such links."""
     links = stored(links.select("i", "j"), "links")
     linked = links.select("i").distinct()
     state = stored(nodes.select("seq").join(linked, nodes.seq == linked.i, "left").select("seq", F.when(F.col("i").isNull(), F.lit(True)).alias("leads")), "leaders")
-    for _ in range(most_rounds):
-        if state.where("leads IS NULL").isEmpty():
-            first = links.join(state.where("leads"), links.j == state.seq).groupBy("i").agg(F.min("j").alias("leader"))
-            return state.join(first, state.seq == first.i, "left").select("seq", F.when(F.col("leads"), F.col("seq")).otherwise(F.col("leader")).alias("leader"))
+    while not state.where("leads IS NULL").isEmpty():
         before = links.join(state.withColumnRenamed("leads", "j_leads"), links.j == state.seq).groupBy("i").agg(F.bool_or(F.coalesce("j_leads", F.lit(False))).alias("some"), F.bool_and(F.coalesce(~F.col("j_leads"), F.lit(False))).alias("none"))
         fresh = F.when(F.col("some"), F.lit(False)).when(F.col("none"), F.lit(True))
         state = stored(state.join(before, state.seq == before.i, "left").select("seq", F.coalesce("leads", fresh).alias("leads")), "leaders")
-    raise RuntimeError("leaders did not settle")
+    first = links.join(state.where("leads"), links.j == state.seq).groupBy("i").agg(F.min("j").alias("leader"))
+    return state.join(first, state.seq == first.i, "left").select("seq", F.when(F.col("leads"), F.col("seq")).otherwise(F.col("leader")).alias("leader"))
 
 
 def leader_clusters(docs: DataFrame, threshold: float = IDENTITY) -> DataFrame:

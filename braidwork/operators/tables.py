@@ -76,3 +76,53 @@ def log_log_fit(df: DataFrame, y: str, x: str, group: str) -> DataFrame:
     """Least squares of ln|y| on ln x in each group: slope, intercept, r."""
     rows = df.where((F.col(x) > 0) & (F.col(y) != 0)).select(group, F.log(F.abs(F.col(y))).alias("ly"), F.log(x).alias("lx"))
     return rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.regr_slope("ly", "lx").alias("slope"), F.regr_intercept("ly", "lx").alias("intercept"), F.corr("ly", "lx").alias("r"))
+
+
+def in_band(value: Column, low: float, high: float) -> Column:
+    """Values from low to high, and unknown ones."""
+    return value.isNull() | value.between(low, high)
+
+
+def scaled_violations(df: DataFrame, exponents: tuple[float, ...], bin_of: Column, least: float = 0.15) -> DataFrame:
+    """(bin, exponent, n, mean, se, significant): mean of |cv| / d ** exponent in each bin with its error, and how many
+    of them are significant: acc ** 2 * (1 - 1 / t ** 2) above least ** 2. df: (cv, d, t)."""
+    rows = df.where((F.col("d") > 0) & F.col("cv").isNotNull()).select(bin_of.alias("bin"), "cv", "d", "t", F.explode(F.array(*[F.lit(float(e)) for e in exponents])).alias("exponent"))
+    acc = F.abs(F.col("cv")) / F.pow("d", "exponent")
+    rows = rows.withColumn("acc", acc)
+    sure = F.when(F.col("t") != 0, F.col("acc") * F.col("acc") * (F.lit(1.0) - F.lit(1.0) / (F.col("t") * F.col("t")))) > least * least
+    n = F.count(F.lit(1))
+    variance = F.greatest(F.avg(F.col("acc") * F.col("acc")) - F.avg("acc") * F.avg("acc"), F.lit(0.0))
+    return rows.groupBy("bin", "exponent").agg(n.alias("n"), F.avg("acc").alias("mean"), F.when(n > 1, F.sqrt(variance / (n - 1))).otherwise(F.lit(0.0)).alias("se"), F.count_if(sure).alias("significant"))
+
+
+def best_round(totals: DataFrame, group: str, name: str, total: str) -> DataFrame:
+    """(group, name, total): the round of the greatest total, the first by name of equals."""
+    order = Window.partitionBy(group).orderBy(F.desc(total), name)
+    return totals.withColumn("_r", F.row_number().over(order)).where("_r = 1").select(group, name, total)
+
+
+def top(df: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """The first k rows in the order of keys, highest first in the first of them."""
+    return df.orderBy(F.desc(keys[0]), *keys[1:]).limit(k)
+
+
+def top_in_groups(df: DataFrame, group: str, keys: list[str], k: int) -> DataFrame:
+    """df with r, the place of a row in its group in the order of keys (highest first in the first), up to k."""
+    order = Window.partitionBy(group).orderBy(F.desc(keys[0]), *keys[1:])
+    return df.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k)
+
+
+def set_parts(a: DataFrame, b: DataFrame, names: tuple[str, str] = ("first", "second")) -> DataFrame:
+    """(op, columns): union, intersection and both differences of two tables of equal columns, as sets."""
+    parts = {"union": a.union(b).distinct(), "intersect": a.intersect(b), f"{names[0]}_only": a.subtract(b), f"{names[1]}_only": b.subtract(a)}
+    out = None
+    for op, df in parts.items():
+        rows = df.select(F.lit(op).alias("op"), *a.columns)
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def inside(df: DataFrame, key: str, value: str, test: Column) -> DataFrame:
+    """(key, inside, n): whether all values of a key also occur where test holds, and how many different ones there are."""
+    sets = df.groupBy(key).agg(F.collect_set(value).alias("all"), F.collect_set(F.when(test, F.col(value))).alias("some"))
+    return sets.select(key, (F.size(F.array_except("all", "some")) == 0).alias("inside"), F.size("all").alias("n"))

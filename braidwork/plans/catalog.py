@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from braidwork.plans import alignment, phylogeny, sequences, statistics, structure
+from braidwork.plans import alignment, conservation, phylogeny, sequences, statistics, structure
 
-_PLANS = (structure, phylogeny, statistics, sequences, alignment)
+_PLANS = (structure, phylogeny, statistics, sequences, conservation, alignment)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -78,11 +78,27 @@ _SPLIT = r"tok AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20
 _LINK = f"""{_PAIRS}, ends AS (SELECT i AS chain, j AS other, round(tm, 6) AS s FROM pairs UNION ALL SELECT j, i, round(tm, 6) FROM pairs), top AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chain ORDER BY s DESC, other) AS r FROM ends) WHERE r <= {LINKS}
 ), link AS (SELECT DISTINCT least(chain, other) AS a, greatest(chain, other) AS b FROM top), l2 AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link)"""
+#: Cliques grow by later nodes among the common neighbours; those without any left are maximal.
+_CLIQUES = f"""{_LINK}, nb AS (SELECT a, list(b ORDER BY b) AS n FROM l2 GROUP BY a), grow AS (
+  SELECT [a] AS members, n AS common, a AS latest FROM nb
+  UNION ALL
+  SELECT list_append(g.members, g.x), list_intersect(g.common, nb.n), g.x FROM (SELECT members, common, latest, unnest(common) AS x FROM grow) g JOIN nb ON nb.a = g.x WHERE g.x > g.latest
+), cliques AS (SELECT members[1] AS seed, len(members)::INT AS size, array_to_string(members, ',') AS nodes FROM grow WHERE len(common) = 0 AND len(members) >= 3)"""
+_SAME = """pos AS (SELECT seq, len(w) AS n, unnest(w) AS t, generate_subscripts(w, 1) AS p FROM seqs), common AS (
+  SELECT a.seq AS i, b.seq AS j, count(*) AS same, least(any_value(a.n), any_value(b.n)) AS m FROM pos a JOIN pos b ON a.p = b.p AND a.t = b.t AND a.seq > b.seq GROUP BY 1, 2
+)"""
 
 SQL = {
-    "seq_identity": rf"""WITH {_SPLIT}, pos AS (SELECT seq, len(w) AS n, unnest(w) AS t, generate_subscripts(w, 1) AS p FROM seqs), common AS (
-  SELECT a.seq AS i, b.seq AS j, count(*) AS same, least(any_value(a.n), any_value(b.n)) AS m FROM pos a JOIN pos b ON a.p = b.p AND a.t = b.t AND a.seq > b.seq GROUP BY 1, 2
-) SELECT i, j, same::INT AS same, round(same/m::DOUBLE, 6) AS si FROM common WHERE same/m::DOUBLE > 0.95""",
+    "max_cliques": f"WITH RECURSIVE {_CLIQUES} SELECT seed, size, nodes FROM cliques",
+    "leader_clusters": f"""WITH RECURSIVE {_SPLIT}, {_SAME}, links AS (SELECT i, list(j) AS js FROM common WHERE same/m::DOUBLE > 0.95 GROUP BY i), turn AS (
+  SELECT seq, coalesce(js, []) AS js, row_number() OVER (ORDER BY seq) AS r FROM seqs LEFT JOIN links ON seqs.seq = links.i
+), walk AS (
+  SELECT r, seq, seq AS leader, [seq] AS leaders FROM turn WHERE r = 1
+  UNION ALL
+  SELECT t.r, t.seq, coalesce(list_min(list_intersect(w.leaders, t.js)), t.seq), CASE WHEN list_min(list_intersect(w.leaders, t.js)) IS NULL THEN list_append(w.leaders, t.seq) ELSE w.leaders END FROM walk w JOIN turn t ON t.r = w.r + 1
+), copy AS (SELECT min(doc_id) AS seq, count(*) AS copies FROM tok WHERE len(w) > 0 GROUP BY w)
+SELECT walk.seq, leader, copies FROM walk JOIN copy ON walk.seq = copy.seq""",
+    "seq_identity": f"WITH {_SPLIT}, {_SAME} SELECT i, j, same::INT AS same, round(same/m::DOUBLE, 6) AS si FROM common WHERE same/m::DOUBLE > 0.95",
     "subsequence_match": r"""WITH d AS (SELECT doc_id, array_to_string(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'), ' ') AS t FROM documents), b AS (SELECT item_id, array_to_string(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), ' ') AS t FROM benchmark)
 SELECT item_id, doc_id, (len(string_split((' ' || d.t || ' ')[1:strpos(' ' || d.t || ' ', ' ' || b.t || ' ')], ' ')) - 2)::INT AS at FROM d JOIN b ON contains(' ' || d.t || ' ', ' ' || b.t || ' ')""",
     "fasta_scan": "SELECT doc_id, length(s)::INT AS n, md5(s) AS seq_md5 FROM (SELECT doc_id, upper(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')) AS s FROM documents) WHERE s <> ''",

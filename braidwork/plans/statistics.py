@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from braidwork.functions import scores
@@ -78,8 +78,17 @@ def altloc_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lead_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Value of a user's next event less this one's."""
-    w = Window.partitionBy("user_id").orderBy(*_ORDER)
-    return _t(spark, sf_dir, "events").select("event_id", F.round(F.lead("value").over(w) - F.col("value"), 4).alias("step"))
+    return runs.step_to_next(_t(spark, sf_dir, "events"), "user_id", _ORDER, "value").select("event_id", F.round("step", 4).alias("step"))
+
+
+def gap_openings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of views of each user."""
+    return runs.gap_openings(_t(spark, sf_dir, "events"), "user_id", _ORDER, F.col("event_type") == "view")
+
+
+def column_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by their place in a user's row, with the users whose row is shorter and two of the types."""
+    return runs.column_counts(_t(spark, sf_dir, "events"), "user_id", _ORDER, "event_type", ["view", "click"])
 
 
 def site_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,40 +122,30 @@ def anti_unassigned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nations with customers and with suppliers: union, intersection and both differences."""
-    c = _t(spark, sf_dir, "customer").where("c_acctbal > 5000").select(F.col("c_nationkey").alias("nation"))
-    s = _t(spark, sf_dir, "supplier").where("s_acctbal > 5000").select(F.col("s_nationkey").alias("nation"))
-    parts = {"union": c.union(s).distinct(), "intersect": c.intersect(s), "customers_only": c.exceptAll(s).distinct().join(s, "nation", "left_anti"), "suppliers_only": s.join(c, "nation", "left_anti").distinct()}
-    rows = [df.select(F.lit(name).alias("op"), "nation") for name, df in parts.items()]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+    """Nations and thousands of account balance of customers and suppliers: union, intersection and both differences."""
+    c = _t(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), F.floor(F.col("c_acctbal") / 1000).cast("int").alias("thousands"))
+    s = _t(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"), F.floor(F.col("s_acctbal") / 1000).cast("int").alias("thousands"))
+    return tables.set_parts(c, s, ("customers", "suppliers"))
 
 
 def subset_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers all of whose order priorities occur among the orders of status F of the same customer."""
-    o = _t(spark, sf_dir, "orders")
-    sets = o.groupBy("o_custkey").agg(F.collect_set("o_orderpriority").alias("a"), F.collect_set(F.when(F.col("o_orderstatus") == "F", F.col("o_orderpriority"))).alias("f"))
-    return sets.select("o_custkey", (F.size(F.array_except("a", "f")) == 0).alias("inside"), F.size("a").alias("n"))
+    return tables.inside(_t(spark, sf_dir, "orders"), "o_custkey", "o_orderpriority", F.col("o_orderstatus") == "F")
 
 
 def top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 25 dearest line items; ties by order and line."""
-    return _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice").orderBy(F.desc("l_extendedprice"), "l_orderkey", "l_linenumber").limit(25)
+    return tables.top(_t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice"), ["l_extendedprice", "l_orderkey", "l_linenumber"], 25)
 
 
 def top_k_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 8 dearest line items of each supplier."""
-    w = Window.partitionBy("l_suppkey").orderBy(F.desc("l_extendedprice"), "l_orderkey", "l_linenumber")
-    return _t(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", F.row_number().over(w).alias("r")).where("r <= 8")
+    return tables.top_in_groups(_t(spark, sf_dir, "lineitem"), "l_suppkey", ["l_extendedprice", "l_orderkey", "l_linenumber"], 8).select("l_suppkey", "l_orderkey", "l_linenumber", "r")
 
 
 def all_gap_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Priorities that occur for a customer, renumbered without the ones that never do."""
-    o = _t(spark, sf_dir, "orders").where("o_totalprice > 250000").select("o_custkey", F.substring("o_orderpriority", 1, 1).cast("int").alias("col")).distinct()
-    w = Window.partitionBy("o_custkey").orderBy("col")
-    return o.select("o_custkey", "col", F.dense_rank().over(w).alias("new_col"))
+    return runs.renumbered(_t(spark, sf_dir, "orders").withColumn("col", F.substring("o_orderpriority", 1, 1).cast("int")), "o_custkey", "col")
 
 
 _BIN = "floor(round(l_discount*100, 2)/2)::INT"
@@ -183,18 +182,21 @@ SELECT user_id, count(*) FILTER (event_type <> 'view' AND (before IS NULL OR bef
   SELECT * FROM (SELECT right(s_name, 5) AS k, s_suppkey, s_acctbal, row_number() OVER (PARTITION BY right(s_name, 5) ORDER BY s_suppkey) AS r FROM supplier) WHERE r = 1
 ) s ON right(c.c_name, 5) = s.k""",
     "anti_unassigned": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
-    "set_operations": """WITH c AS (SELECT DISTINCT c_nationkey AS nation FROM customer WHERE c_acctbal > 5000), s AS (SELECT DISTINCT s_nationkey AS nation FROM supplier WHERE s_acctbal > 5000)
-SELECT 'union' AS op, nation FROM (SELECT nation FROM c UNION SELECT nation FROM s) UNION ALL SELECT 'intersect', nation FROM (SELECT nation FROM c INTERSECT SELECT nation FROM s)
-UNION ALL SELECT 'customers_only', nation FROM (SELECT nation FROM c EXCEPT SELECT nation FROM s) UNION ALL SELECT 'suppliers_only', nation FROM (SELECT nation FROM s EXCEPT SELECT nation FROM c)""",
+    "set_operations": """WITH c AS (SELECT DISTINCT c_nationkey AS nation, floor(c_acctbal/1000)::INT AS thousands FROM customer), s AS (SELECT DISTINCT s_nationkey AS nation, floor(s_acctbal/1000)::INT AS thousands FROM supplier)
+SELECT 'union' AS op, * FROM (SELECT * FROM c UNION SELECT * FROM s) UNION ALL SELECT 'intersect', * FROM (SELECT * FROM c INTERSECT SELECT * FROM s)
+UNION ALL SELECT 'customers_only', * FROM (SELECT * FROM c EXCEPT SELECT * FROM s) UNION ALL SELECT 'suppliers_only', * FROM (SELECT * FROM s EXCEPT SELECT * FROM c)""",
+    "gap_openings": "SELECT user_id, count(*) FILTER (event_type = 'view' AND before IS DISTINCT FROM 'view') AS openings FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) GROUP BY 1",
+    "column_gaps": """WITH p AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS col FROM events)
+SELECT col::INT AS col, count(*) AS n, (SELECT count(DISTINCT user_id) FROM events) - count(*) AS gaps, count(*) FILTER (event_type = 'view') AS n_view, count(*) FILTER (event_type = 'click') AS n_click FROM p GROUP BY 1""",
     "subset_test": """WITH a AS (SELECT DISTINCT o_custkey, o_orderpriority FROM orders), f AS (SELECT DISTINCT o_custkey, o_orderpriority, 1 AS hit FROM orders WHERE o_orderstatus = 'F')
 SELECT o_custkey, count(*) = count(hit) AS inside, count(*)::INT AS n FROM a LEFT JOIN f USING (o_custkey, o_orderpriority) GROUP BY 1""",
     "top_k": "SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 25",
     "top_k_per_group": "SELECT l_suppkey, l_orderkey, l_linenumber, r::INT AS r FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS r FROM lineitem) WHERE r <= 8",
-    "all_gap_columns": """WITH o AS (SELECT DISTINCT o_custkey, substr(o_orderpriority, 1, 1)::INT AS col FROM orders WHERE o_totalprice > 250000)
+    "all_gap_columns": """WITH o AS (SELECT DISTINCT o_custkey, substr(o_orderpriority, 1, 1)::INT AS col FROM orders)
 SELECT o_custkey, col, dense_rank() OVER (PARTITION BY o_custkey ORDER BY col)::INT AS new_col FROM o""",
 }
 
 QUERIES = {
     f.__name__: f
-    for f in (contingency, log_odds_propensity, binom_freq, ratio_se, si_binned_cube, mean_with_error, run_islands, chain_change_number, element_count, altloc_first, lead_difference, site_offsets, interval_overlay, range_semi_join, prefix_similarity, anti_unassigned, set_operations, subset_test, top_k, top_k_per_group, all_gap_columns)
+    for f in (contingency, log_odds_propensity, binom_freq, ratio_se, si_binned_cube, mean_with_error, run_islands, chain_change_number, element_count, altloc_first, lead_difference, gap_openings, column_gaps, site_offsets, interval_overlay, range_semi_join, prefix_similarity, anti_unassigned, set_operations, subset_test, top_k, top_k_per_group, all_gap_columns)
 }
