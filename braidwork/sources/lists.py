@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from braidwork.functions.scores import domain_fragments
@@ -49,9 +49,21 @@ def parse_fasta(texts: DataFrame, aligned: bool = False) -> DataFrame:
 
     A header is a name and optionally chain, domain and folder; without them the chain is the fifth character of the
     name, or the sixth after an underscore. With aligned, rows are filled with gaps to the file's longest."""
-    records = texts.select("file", F.posexplode(F.split(F.regexp_replace("text", r"(?m)^#.*$", ""), r"(?m)^>")).alias("row", "body")).where("row > 0")
+    return parse_records(texts.select("file", F.posexplode(F.split(F.regexp_replace("text", r"(?m)^#.*$", ""), r"(?m)^>")).alias("row", "body")).where("row > 0"), aligned)
+
+
+def read_fasta(spark: SparkSession, path: str, aligned: bool = False) -> DataFrame:
+    """The records of FASTA files as parse_fasta gives them, read record by record, so that large files are split among
+    tasks. row tells the records of a file apart; it rises within a split, but not from split to split."""
+    found = spark.read.option("lineSep", "\n>").text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("row"), F.regexp_replace("value", "^>", "").alias("body"))
+    # what stands before the first record of a file, such as comments, is none
+    return parse_records(found.where(~F.ltrim("body").startswith("#") & (F.trim("body") != "")), aligned)
+
+
+def parse_records(records: DataFrame, aligned: bool = False) -> DataFrame:
+    """records: (file, row, body), the body being a header line and lines of sequence."""
     head = F.split(F.trim(F.substring_index("body", "\n", 1)), r"\s+")
-    body = F.regexp_replace("body", r"^[^\n]*\n?", "")
+    body = F.regexp_replace(F.regexp_replace("body", r"^[^\n]*\n?", ""), r"(?m)^#.*$", "")
     rows = records.withColumn("h", head).withColumn("seq", F.regexp_replace(body, r"\s", ""))
     name = F.get("h", F.lit(0))
     stem = F.regexp_replace(name, r"\.[A-Za-z]+$", "")
@@ -59,8 +71,8 @@ def parse_fasta(texts: DataFrame, aligned: bool = False) -> DataFrame:
     out = rows.select("file", "row", name.alias("name"), F.substring(name, 1, 4).alias("code"), F.coalesce(F.get("h", F.lit(1)), F.when(implied != "", implied), F.lit(" ")).alias("chain"), F.get("h", F.lit(2)).alias("domain"), F.coalesce(F.get("h", F.lit(3)).cast("int"), F.lit(1)).alias("dir"), "seq")
     if not aligned:
         return out
-    longest = F.max(F.length("seq")).over(Window.partitionBy("file"))
-    return out.withColumn("n", longest).withColumn("seq", F.rpad("seq", F.col("n").cast("int"), F.lit("-"))).drop("n")
+    longest = out.groupBy("file").agg(F.max(F.length("seq")).cast("int").alias("n"))
+    return out.join(longest, "file").withColumn("seq", F.rpad("seq", F.col("n"), F.lit("-"))).drop("n").select(*out.columns)
 
 
 def msa_rows(aligned: DataFrame) -> DataFrame:
@@ -103,12 +115,17 @@ def parse_parameters(lines: DataFrame) -> DataFrame:
 
 
 def resolve_files(entries: DataFrame, files: DataFrame, extension: str = ".pdb") -> DataFrame:
-    """entries: (entry_id, code, dir); files: (path). entries with the path of the first of: folder 1 or 2 with code
-    and extension, code alone, or the first four characters where the fifth is an underscore; null where none exists."""
-    known = files.select("path", F.regexp_extract("path", r"([^/]*)$", 1).alias("base"))
-    names = F.filter(F.array(F.concat("code", F.lit(extension)), F.concat("code", F.lit(extension + ".gz")), F.col("code"), F.when(F.substring("code", 5, 1) == "_", F.concat(F.substring("code", 1, 4), F.lit(extension)))), lambda c: c.isNotNull())
-    tried = entries.select("entry_id", F.posexplode(names).alias("order", "base"))
-    best = tried.join(known, "base").groupBy("entry_id").agg(F.min(F.struct("order", "path")).alias("b")).select("entry_id", "b.path")
+    """entries: (entry_id, code, dir) and, if known, domname; files: (path) and, if there are two folders, dir. entries
+    with the path of the first of: code and extension (also compressed), code alone, the first four characters where the
+    fifth is an underscore, the domain's name and extension; each in the entry's own folder, then all in the other one.
+    Null where none exists."""
+    folder = F.col("dir") if "dir" in files.columns else F.lit(1)
+    known = files.select("path", folder.alias("at"), F.regexp_extract("path", r"([^/]*)$", 1).alias("base"))
+    own = F.col("dir") if "dir" in entries.columns else F.lit(1)
+    last = [F.concat("domname", F.lit(extension))] if "domname" in entries.columns else []
+    short = F.when(F.substring("code", 5, 1) == "_", F.concat(F.substring("code", 1, 4), F.lit(extension)))
+    names = F.filter(F.array(F.concat("code", F.lit(extension)), F.concat("code", F.lit(extension + ".gz")), F.col("code"), short, *last), lambda c: c.isNotNull())
+    tried = entries.select("entry_id", own.alias("own"), F.posexplode(names).alias("order", "base"))
+    rank = F.struct((F.col("at") != F.col("own")).alias("other"), "order", "path")
+    best = tried.join(known, "base").groupBy("entry_id").agg(F.min(rank).alias("b")).select("entry_id", "b.path")
     return entries.join(best, "entry_id", "left")
-
-

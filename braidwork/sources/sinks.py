@@ -14,8 +14,18 @@ def fasta(rows: DataFrame, name: str, seq: str) -> DataFrame:
 
 
 def structure_list(clusters: DataFrame) -> DataFrame:
-    """(line): code, chain, domain name and folder of each representative. clusters: (code, chain, domname)."""
-    return clusters.select(F.concat_ws(" ", "code", "chain", F.lit("1"), "domname", F.lit("1")).alias("line"))
+    """(line): code, chain, domain (if clusters has it; all or none), domain name and folder (1 if it has none) of each
+    representative. clusters: (code, chain, domname). A reader takes the third column for a domain if it holds a minus."""
+    domain = [F.coalesce("domain", F.lit("-"))] if "domain" in clusters.columns else [F.lit("-")]
+    folder = F.coalesce(F.col("dir"), F.lit(1)) if "dir" in clusters.columns else F.lit(1)
+    return clusters.select(F.concat_ws(" ", "code", "chain", *domain, "domname", folder.cast("string")).alias("line"))
+
+
+def conformation_list(conformations: DataFrame) -> DataFrame:
+    """(line): code, chain and domain name of each conformation, with the number of its sequence; none if no sequence has
+    several. conformations: (code, chain, domname, seq)."""
+    several = conformations.agg((F.count(F.lit(1)) > F.countDistinct("seq")).alias("several"))  # one row
+    return conformations.crossJoin(F.broadcast(several)).where("several").select(F.concat_ws(" ", "code", "chain", "domname", F.col("seq").cast("string")).alias("line"))
 
 
 def aligned_fasta(msa: DataFrame) -> DataFrame:
@@ -64,5 +74,40 @@ def models(residues: DataFrame) -> DataFrame:
     return body.select("model", F.concat(F.format_string("MODEL     %4d\n", F.col("model")), F.col("body"), F.lit("\nENDMDL\n")).alias("text"))
 
 
+def element_fasta(msa: DataFrame, name: str = "name") -> DataFrame:
+    """(name, seq): rows of secondary structure of an alignment, H, E, blank for neither, minus for gaps. msa: (name, col, ss)."""
+    return aligned_fasta(msa.select(F.col(name).alias("name"), "col", F.when(F.col("ss").isin("H", "E"), F.col("ss")).otherwise(F.lit(" ")).alias("aa")))
+
+
+def propensity_lines(propensities: DataFrame) -> DataFrame:
+    """(line): bin, both states, how often they are paired and the propensity. propensities: (bin, a, b, n, propensity)."""
+    return propensities.select(F.concat_ws("\t", F.col("bin").cast("string"), F.col("a").cast("string"), F.col("b").cast("string"), F.col("n").cast("string"), F.format_string("%.4f", "propensity")).alias("line"))
+
+
+def ratio_lines(ratios: DataFrame) -> DataFrame:
+    """(line): class, name, value and error of each ratio, NA where it has no value. ratios: (class, what, value, se)."""
+    value, se = (F.coalesce(F.when(F.col(c).isNotNull(), F.format_string("%.4f", c)), F.lit("NA")) for c in ("value", "se"))
+    return ratios.select(F.concat_ws("\t", "class", "what", value, se).alias("line"))
+
+
+def rate_lines(rates: DataFrame, name: str = "bin") -> DataFrame:
+    """(line): bin, cases, hits, frequency and error. rates: (bin, n, hits, p, se)."""
+    return rates.select(F.format_string("%s\t%d\t%d\t%.4f\t%.4f", F.col(name).cast("string"), "n", "hits", "p", "se").alias("line"))
+
+
+def distance_lines(scaled: DataFrame) -> DataFrame:
+    """(line): bin, exponent, pairs, mean and error of scaled clock violations, and how many are significant."""
+    return scaled.select(F.format_string("%s\t%.2f\t%d\t%.4f\t%.4f\t%d", F.col("bin").cast("string"), "exponent", "n", "mean", "se", "significant").alias("line"))
+
+
+def tree_lines(trees: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """(line): the tree of each family, with the leaves' numbers replaced by names. trees: (family, newick); names: (id, name)."""
+    if names is None:
+        return trees.select(F.col("newick").alias("line"))
+    parts = trees.select("family", F.posexplode(F.split("newick", r"(?<=[(,])(?=[0-9])|(?<=[0-9])(?=:)")).alias("at", "part"))
+    known = parts.join(names.select(F.col("id").cast("string").alias("part"), "name"), "part", "left")
+    return known.groupBy("family").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", F.coalesce("name", "part").alias("text")))), lambda s: s["text"]), "").alias("line")).select("line")
+
+
 def write_lines(lines: DataFrame, path: str) -> None:
     lines.select("line").write.text(path)

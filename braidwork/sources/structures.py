@@ -1,6 +1,6 @@
 """Fixed-width structure files: a scan of whole files into typed tables, and a writer.
 
-A scan returns five DataFrames. Each keeps a file's records apart by its path, so files are read in parallel and no
+A scan returns six DataFrames. Each keeps a file's records apart by its path, so files are read in parallel and no
 step looks beyond one file.
 """
 
@@ -24,13 +24,15 @@ ONE_LETTER = "ARNDCQEG"
 @dataclass
 class Scan:
     """files: (file, method, oligomer); atoms: (file, chain, chain_num, res_idx, label, aa, atom, x, y, z);
-    residues: (file, chain, res_idx, label, aa, x, y, z, seqres); elements: (file, chain, type, ini, end)."""
+    residues: (file, chain, res_idx, label, aa, x, y, z, seqres); elements: (file, chain, type, ini, end); missing: (file,
+    chain, label, aa, no), residues that the file says to have no atoms."""
 
     files: DataFrame
     atoms: DataFrame
     residues: DataFrame
     elements: DataFrame
     seqres: DataFrame
+    missing: DataFrame
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
@@ -106,13 +108,18 @@ def scan(texts: DataFrame, hydrogens: bool = False) -> Scan:
     order = Window.partitionBy("file", "chain").orderBy("no", "k")
     seqres = codes.join(modified, ["file", "code"], "left").select("file", "chain", (F.row_number().over(order)).alias("pos"), F.coalesce(F.element_at(letters, F.col("code")), F.element_at(letters, F.col("standard")), F.lit("X")).alias("aa"))
 
+    # REMARK 465 lists residue name, chain and label, in its own columns
+    gone = lines.where(F.col("line").rlike(r"^REMARK 465 +([0-9]+ +)?[A-Z0-9]{1,3} +[^ ] +-?[0-9]+[A-Z]? *$")).withColumn("w", F.split(F.trim(F.substring("line", 11, 70)), r"\s+"))
+    missing = gone.select("file", F.element_at("w", -2).alias("chain"), F.element_at("w", -1).alias("label"), F.element_at("w", -3).alias("code"), "no").join(modified, ["file", "code"], "left")
+    missing = missing.select("file", "chain", "label", F.coalesce(F.element_at(letters, F.col("code")), F.element_at(letters, F.col("standard")), F.lit("X")).alias("aa"), "no")
+
     method = F.when(F.col("line").contains("NMR"), "N").when(F.col("line").contains("ELECTRON"), "E").otherwise("X")
     methods = lines.where(F.col("line").startswith("EXPDTA")).groupBy("file").agg(F.min_by(method, "no").alias("method"))
     word = F.regexp_extract("line", r"\b([A-Z]+MERIC)\b", 1)
     size = F.array_position(F.array(*[F.lit(o) for o in OLIGOMERS]), word)
     oligomers = lines.where(F.col("line").startswith("REMARK 350")).groupBy("file").agg(F.nullif(F.max(size), F.lit(0)).alias("oligomer"))
     files = texts.select("file").join(methods, "file", "left").join(oligomers, "file", "left")
-    return Scan(files, out.drop("no"), residues, helix.unionByName(sheet), seqres)
+    return Scan(files, out.drop("no"), residues, helix.unionByName(sheet), seqres, missing)
 
 
 def secondary_structure(scanned: Scan) -> DataFrame:
@@ -142,6 +149,17 @@ def seqres_positions(scanned: Scan) -> DataFrame:
     return rows.join(letters, ["file", "chain"]).select("file", "chain", F.inline(walk))
 
 
+def whole_sequences(scanned: Scan) -> DataFrame:
+    """(file, chain, pos, label, aa, seen) of the chains without SEQRES: residues with atoms and those that are missing,
+    in the order of their numbers; of equal numbers, those with atoms first, as they stand."""
+    declared = scanned.seqres.select("file", "chain").distinct()
+    seen = scanned.residues.select("file", "chain", "label", "aa", F.col("res_idx").alias("no"), F.lit(True).alias("seen"))
+    rows = seen.unionByName(scanned.missing.select("file", "chain", "label", "aa", "no", F.lit(False).alias("seen"))).join(declared, ["file", "chain"], "left_anti")
+    number = F.regexp_extract("label", r"^-?\d+", 0).cast("int")
+    order = Window.partitionBy("file", "chain").orderBy(number.asc_nulls_last(), F.desc("seen"), "no")
+    return rows.withColumn("pos", F.row_number().over(order)).select("file", "chain", "pos", "label", "aa", "seen")
+
+
 def structure_texts(chains: DataFrame) -> DataFrame:
     """chains: (chain, residues). (file, text): each chain as a structure file with one CA atom a residue."""
     names = {v: k for k, v in LETTERS.items()}
