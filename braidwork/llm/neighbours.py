@@ -12,7 +12,8 @@ can ask of them, so a vector that a third of all rows hold stays one node.
 
 Edge cases: vectors that are null, zero, empty or that hold null or non-finite components take no part; vectors are
 compared with those of their own length only; rows with a null id take no part; repeated rows count once; a query has
-fewer than K rows if there are fewer candidates; ties go to the smaller id; an empty table gives an empty result.
+fewer than K rows if there are fewer candidates; ties go to the smaller id; an empty table gives an empty result; other
+columns may have any name and are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from braidwork.session import stored
 
 K = 10
 #: Distinct vectors of a shard, edges of a node, beam of the build and of the queries, pruning factor.
-SHARD, DEGREE, BUILD_BEAM, QUERY_BEAM, ALPHA = 4000, 32, 64, 96, 1.2
+SHARD, DEGREE, BUILD_BEAM, QUERY_BEAM, ALPHA = 12_000, 32, 64, 96, 1.2
 #: Queries of a block.
 BLOCK = 512
 _BATCH = 256

@@ -51,3 +51,28 @@ def test_recall_of_shards():
 
 def test_empty_table(frame):
     assert neighbours.nearest(frame([], SCHEMA), F.col("vec_id") % 100 == 0).collect() == []
+
+
+def test_many_shards_and_blocks(frame, monkeypatch):
+    monkeypatch.setattr(neighbours, "SHARD", 120)
+    monkeypatch.setattr(neighbours, "BLOCK", 3)
+    rng = np.random.default_rng(7)
+    rows = [(i, rng.normal(size=12).astype(np.float32).tolist(), 0, "n") for i in range(1500)]
+    rows += [(1500 + i, rows[700][1], 0, "n") for i in range(30)]
+    # numbers set on the driver reach the shards by their count, so there are many of them
+    got = {}
+    for r in neighbours.nearest(frame(rows, SCHEMA), F.col("vec_id") % 100 == 0).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    want = brute(rows)
+    assert set(got) == set(want) and all([k for k, *_ in sorted(v)] == list(range(1, 11)) for v in got.values())
+    hits = sum(len({i for i, _ in want[q]} & {i for _, i, _ in got[q]}) for q in want)
+    assert hits >= 0.9 * sum(map(len, want.values()))
+
+
+def test_clashing_columns(spark):
+    rng = np.random.default_rng(8)
+    names = ["id", "vector", "node", "shard", "is_query", "dim", "query_id", "score", "rank"]
+    rows = [(i, rng.normal(size=4).tolist(), *(["x"] * len(names))) for i in range(30)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, " + ", ".join(f"{n} string" for n in names))
+    got = neighbours.nearest(df, F.col("vec_id") % 100 == 0).collect()
+    assert len(got) == 10 and {r.query_id for r in got} == {0}
