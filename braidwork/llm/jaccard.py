@@ -144,12 +144,12 @@ def _allowed(side: np.ndarray, leaves: list[np.ndarray], here: int) -> np.ndarra
     return ok
 
 
-def _likely(sketch_from: int, least: float):
+def _likely(least: float):
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Members of a bucket with a partner there whose sketch is near."""
         for table in _groups(batches, "bucket"):
             bucket = table.column("bucket").to_numpy()
-            sketches = _matrix(table.column("mins"))[:, sketch_from:].astype(np.int32)
+            sketches = _matrix(table.column("mins"))
             leaf, side = table.column("leaf").to_numpy(), table.column("side").to_numpy()
             lists = table.column("leaves").combine_chunks()
             ends, values = lists.offsets.to_numpy(), lists.values.to_numpy()
@@ -275,8 +275,10 @@ def similarity_classes(docs: DataFrame, n: int = SHINGLE, threshold: float = THR
     leaves = stored(_blocked(choose_paths(paths, runs, coordinates)), "leaves")
     own = leaves.groupBy("member").agg(F.sort_array(F.collect_set("leaf")).alias("leaves"))
     known = stored(members.join(own, "member"), "known")
-    by_bucket = leaves.join(known.select("member", "mins", "leaves"), "member").repartition("bucket").sortWithinPartitions("bucket")
-    likely = stored(by_bucket.mapInArrow(_likely(runs, threshold / 2), "bucket long, leaf long, side int, member long"), "likely")
+    # a sketch is 31 bits of each coordinate that no run has for itself
+    sketch = F.transform(F.slice("mins", runs + 1, SKETCH), lambda x: x.bitwiseAND(0x7FFFFFFF).cast("int")).alias("mins")
+    by_bucket = leaves.join(known.select("member", sketch, "leaves"), "member").repartition("bucket").sortWithinPartitions("bucket")
+    likely = stored(by_bucket.mapInArrow(_likely(threshold / 2), "bucket long, leaf long, side int, member long"), "likely")
 
     asked = known.join(likely.select("member").distinct(), "member").select("member", "copies", "leaves", F.col("of.doc_id").alias("doc_id"), F.col("of.text_key").alias("text_key"))
     asked = asked.withColumnsRenamed({"doc_id": "of_id", "text_key": "of_key"})
