@@ -9,6 +9,9 @@ windows of the other first occurrences of the same anchor. Each distinct segment
 document that has it, so copies cost nothing more and no pair of a group is formed.
 Keep: matched windows of a document are merged into maximal repeats, and their words removed.
 
+Segments and windows are matched by two sums of 64 bits over the hashes of their words, so at 10**13 different windows
+a false match has a chance of about 10**-13, if their words' own hashes of 64 bits differ; anchors only propose.
+
 Every join is by hash against one aggregated row a key, so a passage that a third of all documents share arrives as
 one row for each task, and its occurrences can be split among tasks.
 
@@ -32,16 +35,23 @@ from braidwork.session import stored
 
 WINDOW, ANCHOR = 50, 12
 _AT_ONCE = 1 << 15
+_SECOND = np.uint64(0xD1B54A32D192ED03)
+
+
+def run_hashes(hashes: np.ndarray) -> tuple[Spans, Spans]:
+    """Two independent hashes for runs of words."""
+    return Spans(hashes), Spans(mix(hashes ^ _SECOND))
 
 
 def segments(w: Words, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[np.ndarray, ...]:
-    """(row, first window, windows, anchor hash, segment hash) of each segment; windows are numbered by first word."""
+    """(row, first window, windows, anchor hash, two segment hashes) of each segment; windows are numbered by first
+    word."""
     hashes = w.hashes()
     starts, _ = w.grams(hashes, window) if len(hashes) >= window else (np.zeros(0, np.int64), None)
     if not len(starts):
         none = np.zeros(0, np.int64)
-        return none, none, none, none, none
-    spans = Spans(hashes)
+        return none, none, none, none, none, none
+    spans, others = run_hashes(hashes)
     grams = np.arange(len(hashes) - anchor + 1)
     grams = spans.hashes(grams, grams + anchor)
     views = np.lib.stride_tricks.sliding_window_view(grams, window - anchor + 1)
@@ -51,16 +61,17 @@ def segments(w: Words, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[np.n
     fresh[1:] = (place[1:] != place[:-1]) | (row[1:] != row[:-1])
     a = np.flatnonzero(fresh)
     b = np.append(a[1:], len(starts)) - 1
-    return row[a], starts[a] - w.first[row[a]], b - a + 1, grams[place[a]].view(np.int64), spans.hashes(starts[a], starts[b] + window).view(np.int64)
+    both = [s.hashes(starts[a], starts[b] + window).view(np.int64) for s in (spans, others)]
+    return row[a], starts[a] - w.first[row[a]], b - a + 1, grams[place[a]].view(np.int64), *both
 
 
 def _find_segments(window: int, anchor: int):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            row, first, n, anchor_hash, segment_hash = segments(words(batch.column("text")), window, anchor)
+            row, first, n, *hashes = segments(words(batch.column("text")), window, anchor)
             take = pa.array(row, pa.int64())
-            columns = [batch.column("doc_id").take(take), batch.column("text_key").take(take), pa.array(first, pa.int32()), pa.array(n, pa.int32()), pa.array(anchor_hash, pa.int64()), pa.array(segment_hash, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "first", "n", "anchor", "segment"])
+            columns = [batch.column("doc_id").take(take), batch.column("text_key").take(take), pa.array(first, pa.int32()), pa.array(n, pa.int32()), *(pa.array(h, pa.int64()) for h in hashes)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "first", "n", "anchor", "segment", "segment2"])
 
     return find
 
@@ -70,7 +81,7 @@ def _extend(window: int):
         """Windows of the listed segments, keyed by anchor and content."""
         for batch in slices(batches):
             w = words(batch.column("text"))
-            spans = Spans(w.hashes())
+            spans, others = run_hashes(w.hashes())
             lists = batch.column("ends")
             fields = lists.flatten()
             row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
@@ -79,8 +90,9 @@ def _extend(window: int):
             at = first[of].astype(np.int64) + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
             start = w.first[row[of]] + at
             key = mix(spans.hashes(start, start + window) ^ mix(anchor[of].view(np.uint64))).view(np.int64)
+            key2 = others.hashes(start, start + window).view(np.int64)
             take = pa.array(row[of], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), batch.column("text_key").take(take), pa.array(at, pa.int32()), pa.array(key, pa.int64())], ["doc_id", "text_key", "first", "window"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), batch.column("text_key").take(take), pa.array(at, pa.int32()), pa.array(key, pa.int64()), pa.array(key2, pa.int64())], ["doc_id", "text_key", "first", "window", "window2"])
 
     return extend
 
@@ -89,20 +101,20 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
     """docs: (doc_id, text_key, text). (doc_id, text_key, first, n): runs of n windows, from word first on, that each
     also start in a document of smaller doc_id."""
     docs = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    found = docs.mapInArrow(_find_segments(window, anchor), "doc_id long, text_key long, first int, n int, anchor long, segment long")
+    found = docs.mapInArrow(_find_segments(window, anchor), "doc_id long, text_key long, first int, n int, anchor long, segment long, segment2 long")
     shared = found.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
     seeds = stored(found.join(shared, "anchor"), "seeds")
 
-    firsts = stored(seeds.groupBy("anchor", "segment").agg(F.min("doc_id").alias("lo")), "firsts")
+    firsts = stored(seeds.groupBy("anchor", "segment", "segment2").agg(F.min("doc_id").alias("lo")), "firsts")
     several = firsts.groupBy("anchor").agg(F.count(F.lit(1)).alias("segments")).where("segments > 1").select("anchor")
-    placed = seeds.join(firsts, ["anchor", "segment"])
+    placed = seeds.join(firsts, ["anchor", "segment", "segment2"])
     whole = placed.where("lo < doc_id").select("doc_id", "text_key", "first", "n")
 
     edges = placed.where("lo = doc_id").join(several, "anchor").groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("first", "n", "anchor")).alias("ends"))
     texts = docs.join(edges, ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "ends")
-    windows = stored(texts.mapInArrow(_extend(window), "doc_id long, text_key long, first int, window long"), "windows")
-    lowest = windows.groupBy("window").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("window", "lo")
-    single = windows.join(lowest, "window").where("lo < doc_id").select("doc_id", "text_key", "first", F.lit(1).alias("n"))
+    windows = stored(texts.mapInArrow(_extend(window), "doc_id long, text_key long, first int, window long, window2 long"), "windows")
+    lowest = windows.groupBy("window", "window2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("window", "window2", "lo")
+    single = windows.join(lowest, ["window", "window2"]).where("lo < doc_id").select("doc_id", "text_key", "first", F.lit(1).alias("n"))
     return whole.unionByName(single)
 
 

@@ -2,7 +2,11 @@ import hashlib
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
+
 from braidwork.llm import passages
+from braidwork.llm.blocks import Spans, words
 from helpers import rows_of
 
 W = re.compile(r"[^\x20\x09-\x0D]+")
@@ -61,5 +65,24 @@ def test_odd_texts_repeats_and_null_ids(frame, odd_texts):
     check(frame, rows, 50, 12)
 
 
+def test_equal_first_hashes_do_not_match(frame, monkeypatch):
+    """Runs of words whose first hash is one and the same are still told apart by the second."""
+
+    class Blind:
+        def __init__(self, values):
+            self.n = len(values)
+
+        def hashes(self, start, end):
+            return np.zeros(len(start), np.uint64)
+
+    rng = random.Random(9)
+    w = words(pa.array([" ".join(f"w{rng.randint(0, 9)}" for _ in range(80)) for _ in range(2)]))
+    plain = passages.segments(w, 12, 4)
+    monkeypatch.setattr(passages, "run_hashes", lambda h: (Blind(h), Spans(h)))
+    row, first, n, anchor, segment, second = passages.segments(w, 12, 4)
+    assert len(row) > 1 and not segment.any() and len(set(second.tolist())) == len(row)
+    assert len(set(zip(plain[4].tolist(), plain[5].tolist()))) == len(plain[0])
+
+
 def test_empty_table(frame):
     assert passages.remove_repeats(frame([])).collect() == []
