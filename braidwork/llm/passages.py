@@ -12,8 +12,8 @@ Keep: matched windows of a document are merged into maximal repeats, and their w
 Segments and windows are matched by two sums of 64 bits over the hashes of their words, so at 10**13 different windows
 a false match has a chance of about 10**-13, if their words' own hashes of 64 bits differ; anchors only propose.
 
-Every join is by hash against one aggregated row a key, so a passage that a third of all documents share arrives as
-one row for each task, and its occurrences can be split among tasks.
+Every join is by hash against one aggregated row a key. The keys that hold more than a thousandth of all rows, fewer
+than a thousand of them, are dealt over many tasks, so a passage that a third of all documents share is no task's alone.
 
 Edge cases: a null text has no words; a text shorter than a window keeps all its words; a null doc_id is neither
 earlier nor later than another and keeps its words; repeated rows share a doc_id, so neither removes the other; an
@@ -35,6 +35,8 @@ from braidwork.session import stored
 
 WINDOW, ANCHOR = 50, 12
 _AT_ONCE = 1 << 15
+#: A key with more than this share of the rows is joined in so many parts.
+HOT_SHARE, PARTS = 1000, 64
 _SECOND = np.uint64(0xD1B54A32D192ED03)
 
 
@@ -97,24 +99,39 @@ def _extend(window: int):
     return extend
 
 
+def join_split(rows: DataFrame, keyed: DataFrame, keys: list[str]) -> DataFrame:
+    """rows (with doc_id, text_key and first) joined with keyed, a written table of one row a key with its number of
+    rows in n. Fewer than HOT_SHARE keys can hold more than that share, which bounds what is broadcast."""
+    total = keyed.agg(F.sum("n")).first()[0] or 0
+    is_hot = F.col("n") * HOT_SHARE > total
+    hot = F.broadcast(keyed.where(is_hot).select(*keys, F.lit(True).alias("hot")))
+    part = F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id", "text_key", "first"), F.lit(PARTS))).otherwise(0).cast("int")
+    parts = F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0))))
+    dealt = rows.join(hot, keys, "left").withColumn("part", part).drop("hot")
+    return dealt.join(keyed.withColumn("part", parts).drop("n"), [*keys, "part"]).drop("part")
+
+
 def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """docs: (doc_id, text_key, text). (doc_id, text_key, first, n): runs of n windows, from word first on, that each
     also start in a document of smaller doc_id."""
     docs = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     found = docs.mapInArrow(_find_segments(window, anchor), "doc_id long, text_key long, first int, n int, anchor long, segment long, segment2 long")
-    shared = found.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
-    seeds = stored(found.join(shared, "anchor"), "seeds")
-
-    firsts = stored(seeds.groupBy("anchor", "segment", "segment2").agg(F.min("doc_id").alias("lo")), "firsts")
-    several = firsts.groupBy("anchor").agg(F.count(F.lit(1)).alias("segments")).where("segments > 1").select("anchor")
-    placed = seeds.join(firsts, ["anchor", "segment", "segment2"])
+    n = F.count(F.lit(1)).alias("n")
+    span = F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), n
+    shared = stored(found.groupBy("anchor").agg(*span).where("lo < hi").select("anchor", "n"), "shared")
+    seeds = stored(join_split(found, shared, ["anchor"]), "seeds")
+
+    segment = ["anchor", "segment", "segment2"]
+    firsts = stored(seeds.groupBy(segment).agg(F.min("doc_id").alias("lo"), n), "firsts")
+    several = stored(firsts.groupBy("anchor").agg(n).where("n > 1"), "several")
+    placed = join_split(seeds, firsts, segment)
     whole = placed.where("lo < doc_id").select("doc_id", "text_key", "first", "n")
 
-    edges = placed.where("lo = doc_id").join(several, "anchor").groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("first", "n", "anchor")).alias("ends"))
+    edges = join_split(placed.where("lo = doc_id"), several, ["anchor"]).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("first", "n", "anchor")).alias("ends"))
     texts = docs.join(edges, ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "ends")
     windows = stored(texts.mapInArrow(_extend(window), "doc_id long, text_key long, first int, window long, window2 long"), "windows")
-    lowest = windows.groupBy("window", "window2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("window", "window2", "lo")
-    single = windows.join(lowest, ["window", "window2"]).where("lo < doc_id").select("doc_id", "text_key", "first", F.lit(1).alias("n"))
+    lowest = stored(windows.groupBy("window", "window2").agg(*span).where("lo < hi").select("window", "window2", "lo", "n"), "lowest")
+    single = join_split(windows, lowest, ["window", "window2"]).where("lo < doc_id").select("doc_id", "text_key", "first", F.lit(1).alias("n"))
     return whole.unionByName(single)
 
 

@@ -59,6 +59,15 @@ def test_repeated_words_and_hot_passage(frame):
     check(frame, rows_of(texts), 10, 4)
 
 
+def test_hot_keys_are_joined_in_parts(frame, monkeypatch):
+    monkeypatch.setattr(passages, "HOT_SHARE", 5)
+    monkeypatch.setattr(passages, "PARTS", 7)
+    rng = random.Random(11)
+    hot = [f"h{k}" for k in range(14)]
+    texts = [" ".join([f"x{rng.randint(0, 5)}" for _ in range(rng.randint(0, 30))] + hot + [f"y{rng.randint(0, 5)}" for _ in range(9)]) for _ in range(90)]
+    check(frame, rows_of(texts + texts[:30] + [texts[0]] * 40), 12, 4)
+
+
 def test_odd_texts_repeats_and_null_ids(frame, odd_texts):
     rows = rows_of(odd_texts)
     rows += [rows[4], (None, odd_texts[4], None, None, None, None, None), (4, "other " * 70, None, None, None, None, None)]
