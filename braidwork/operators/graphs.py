@@ -64,6 +64,19 @@ def single_linkage(nodes: DataFrame, links: DataFrame, most_rounds: int = 100) -
     raise RuntimeError("labels did not settle")
 
 
+def first_fit(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """nodes: (node), distinct; links: (i, j), i > j. (node, root): in order, a node joins the group of the least
+    earlier node that it is linked to, or else starts one, which is named by it.
+
+    A group is a tree of pointers, which are doubled each round, so a chain of n pointers takes about log2(n) rounds."""
+    up = links.groupBy("i").agg(F.min("j").alias("up"))
+    at = stored(nodes.join(up, nodes.node == up.i, "left").select("node", F.coalesce("up", "node").alias("root"), F.col("up").isNotNull().alias("moved")), "pointers")
+    while not at.where("moved").isEmpty():
+        further = at.select(F.col("node").alias("at"), F.col("root").alias("further"))
+        at = stored(at.join(further, at.root == further.at).select("node", F.col("further").alias("root"), (F.col("further") < F.col("root")).alias("moved")), "pointers")
+    return at.select("node", "root")
+
+
 def _cliques(adjacent: dict[int, set[int]]):
     """Maximal cliques by pivoting; a stack instead of recursion."""
     stack = [([], set(adjacent), set())]

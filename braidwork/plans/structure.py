@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 
 from braidwork.functions import scores
 from braidwork.operators import chains as ch
+from braidwork.operators import graphs
+from braidwork.session import stored
 
 #: Scales at which the vectors of the tables, read as residues, have contacts and scores of the usual range.
 CONTACT_SCALE, SCORE_SCALE = 20.0, 4.0
+#: Score above which two vectors count as one conformation. Real chains take 0.97; vectors of the tables hardly exceed 0.33.
+CONFORMATION_TM = 0.27
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,6 +102,14 @@ def nearest_neighbour(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ch.nearest(pair_scores(spark, sf_dir), "tm")
 
 
+def conformation_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conformation of each chain in its family, first fit in order of chains."""
+    chains = stored(score_chains(spark, sf_dir), "chains")
+    near = ch.pair_scores(chains).where(F.round("tm", 6) > CONFORMATION_TM)
+    found = graphs.first_fit(chains.select(F.col("chain").alias("node")), near.select("i", "j"))
+    return chains.join(found, chains.chain == found.node).select("family", "chain", F.col("root").alias("conformation"))
+
+
 def mutual_neighbour(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ch.mutual(nearest_neighbour(spark, sf_dir))
 
@@ -208,6 +220,12 @@ SELECT a.chain, a.res::INT AS res, a.near::INT AS near, round(a.d2, 6) AS d2, b.
 FROM top a LEFT JOIN top b ON a.chain = b.chain AND a.near = b.res AND b.near = a.res""",
     "centroid": f"""WITH {_residues(SCORE_SCALE)} SELECT chain, round(avg(x), 6) AS cx, round(avg(y), 6) AS cy, round(avg(z), 6) AS cz,
 round(sum(x*(res+1))/sum(res+1), 6) AS wx, round(sum(y*(res+1))/sum(res+1), 6) AS wy, round(sum(z*(res+1))/sum(res+1), 6) AS wz FROM res GROUP BY 1""",
+    "conformation_split": f"""WITH RECURSIVE {_PAIRS}, pointer AS (
+  SELECT i, min(j) AS up FROM pairs WHERE round(tm, 6) > {CONFORMATION_TM} GROUP BY 1
+), walk AS (
+  SELECT label AS family, vec_id AS chain, vec_id AS node FROM embeddings
+  UNION ALL SELECT w.family, w.chain, p.up FROM walk w JOIN pointer p ON p.i = w.node
+) SELECT family, chain, min(node) AS conformation FROM walk GROUP BY 1, 2""",
     "tm_sum_columns": f"WITH {_PAIRS} SELECT family, res::INT AS res, round(sum(1/(1+d2/({_SCALE2}))), 4) AS tm_sum FROM pos GROUP BY 1, 2",
     "conformation_medoid": f"""WITH {_PAIRS}, sums AS (SELECT family, chain, round(sum(tm), 6) AS total FROM (SELECT family, i AS chain, tm FROM pairs UNION ALL SELECT family, j, tm FROM pairs) GROUP BY 1, 2)
 SELECT family, chain AS medoid, round(total, 4) AS total FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY total DESC, chain) AS r FROM sums) WHERE r = 1""",
@@ -235,4 +253,4 @@ FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id > b.vec_id
     "structure_file_scan": f"""WITH {_residues(CONTACT_SCALE)} SELECT chain, res::INT AS res, substr('ARNDCQEG', {_OCTANT.format('res')}+1, 1) AS aa, round(x, 3) AS x, round(y, 3) AS y, round(z, 3) AS z FROM res""",
 }
 
-QUERIES = {f.__name__: f for f in (pair_scores, contact_map, contact_degree, mean_contacts, contact_overlap, contact_votes, pc_divergence, mean_scores, best_score_counts, nearest_neighbour, mutual_neighbour, residue_neighbour, centroid, tm_sum_columns, conformation_medoid, contact_conservation, monotone_anchors, structure_file_scan)}
+QUERIES = {f.__name__: f for f in (pair_scores, contact_map, contact_degree, mean_contacts, contact_overlap, contact_votes, pc_divergence, mean_scores, best_score_counts, nearest_neighbour, mutual_neighbour, residue_neighbour, centroid, tm_sum_columns, conformation_medoid, conformation_split, contact_conservation, monotone_anchors, structure_file_scan)}

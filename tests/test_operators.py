@@ -89,3 +89,16 @@ def test_arguments():
     assert c.ali == "m.aln" and c.seq is None
     c, warnings = config.from_parameters({"NORM": "MAX", "PDBEXT": ".ent", "ZZZ": "1"})
     assert c.norm == "max" and c.pdbext == ".ent" and warnings == ["unknown parameter ZZZ"]
+
+
+def test_first_fit_equals_a_scan_in_order(spark):
+    rng = random.Random(4)
+    links = {(i, j) for i in range(1, 120) for j in rng.sample(range(i), min(i, rng.randint(0, 2)))} | {(i, i - 1) for i in range(121, 160)}
+    want: dict[int, int] = {}
+    for node in range(160):
+        earlier = [j for i, j in links if i == node]
+        want[node] = want[min(earlier)] if earlier else node
+    nodes = spark.range(160).withColumnRenamed("id", "node")
+    got = graphs.first_fit(nodes, spark.createDataFrame(sorted(links), "i long, j long")).collect()
+    assert {r["node"]: r["root"] for r in got} == want and len(got) == 160
+    assert graphs.first_fit(nodes.limit(0), spark.createDataFrame([], "i long, j long")).collect() == []
