@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from braidwork.config import Config
 from braidwork.functions import scores
 from braidwork.operators import chains as ch
-from braidwork.operators import sequences, trees
+from braidwork.operators import graphs, sequences, trees
 from braidwork.session import stored
 from braidwork.sources import lists, sinks, structures
 
@@ -53,6 +53,15 @@ def representatives(chains: DataFrame, config: Config) -> DataFrame:
     return sequences.leaders(seqs, sequences.identity_pairs(seqs, config.seq_thr)).withColumnRenamed("seq", "chain")
 
 
+def conformations(chains: DataFrame, lead: DataFrame, config: Config) -> DataFrame:
+    """(chain, name, seq, conformation): the chains of one leader, seq, split in order where none of the earlier ones is
+    above the structure threshold. A conformation is named by its first chain."""
+    members = stored(chains.drop("family").join(lead.select("chain", F.col("leader").alias("family")), "chain"), "members")
+    near = ch.pair_scores(members, config.norm).where(F.col("tm") > config.str_thr)
+    found = graphs.first_fit(members.select(F.col("chain").alias("node")), near.select("i", "j"))
+    return members.join(found, members.chain == found.node).select("chain", "name", F.col("family").alias("seq"), F.col("root").alias("conformation"))
+
+
 def score_pairs(chains: DataFrame, config: Config) -> DataFrame:
     """All scores and divergences of the pairs."""
     edges = stored(ch.contacts(ch.residue_rows(chains), config.contact_cutoff, config.contact_separation), "edges")
@@ -73,12 +82,16 @@ def run(spark: SparkSession, config: Config, folder: str) -> dict[str, DataFrame
     chains = stored(read_chains(spark, config), "chains")
     if len(chains.take(2)) < 2:
         raise ValueError("fewer than two chains were read")
-    lead = representatives(chains, config)
+    lead = stored(representatives(chains, config), "lead")
     kept = stored(chains.join(lead.where("chain = leader").select("chain"), "chain"), "representatives")
     if len(kept.take(2)) < 2:
         raise ValueError("all chains have one sequence")
     named = kept.select("chain", "name")
     out = {"nr.pdblist": sinks.structure_list(kept.select(F.substring("name", 1, 4).alias("code"), F.lit("-").alias("chain"), F.col("name").alias("domname")))}
+    split = conformations(chains, lead, config).where("chain = conformation")
+    listed = stored(sinks.conformation_list(split.select(F.substring("name", 1, 4).alias("code"), F.lit("-").alias("chain"), F.col("name").alias("domname"), "seq")), "conformations")
+    if not listed.isEmpty():
+        out["nrconf.pdblist"] = listed
     letters = F.array_join(F.transform("residues", lambda r: F.substring(F.lit(TYPES), r["aa"] + 1, F.lit(1))), "")
     if config.print_fasta or config.exit_fasta:
         out["input.fasta"] = sinks.fasta(chains.select("name", letters.alias("seq")), "name", "seq")

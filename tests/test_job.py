@@ -121,3 +121,14 @@ def test_compositions_and_bands(spark):
     si = spark.createDataFrame([(2, 1, 0.4), (3, 1, 0.2), (3, 2, 0.05)], "i long, j long, si double")
     found = spark.createDataFrame([(0, 2, 1, 3), (0, 3, 1, 2)], "family int, i long, j long, k long")
     assert trees.related_outgroups(found, si, 0.1).count() == 0 and trees.related_outgroups(found, si, 0.05).count() == 2
+
+
+def test_conformations_of_a_sequence(spark):
+    def residues(shift):
+        return [(float(3 * k), float(k % 3) + shift * (k % 2), 0.0, k % 8) for k in range(40)]
+
+    kind = "chain long, family int, name string, residues array<struct<x:double,y:double,z:double,aa:int>>"
+    chains = spark.createDataFrame([(1, 0, "a", residues(0.0)), (2, 0, "b", residues(9.0)), (3, 0, "c", residues(0.01)), (4, 0, "d", residues(9.01)), (5, 0, "e", residues(0.0))], kind)
+    lead = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (4, 1), (5, 5)], "chain long, leader long")
+    got = {r.chain: (r.seq, r.conformation) for r in job.conformations(chains, lead, Config()).collect()}
+    assert got == {1: (1, 1), 2: (1, 2), 3: (1, 1), 4: (1, 2), 5: (5, 5)}
