@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braidwork.llm import jaccard, language, media, mixing, neighbours, ngram_lm, passages, pieces, secrets, toxicity
+from braidwork.llm import divergence, jaccard, language, media, mixing, neighbours, ngram_lm, passages, pieces, quality, resampling, secrets, toxicity
 
 #: The tokenizer file of op6 and of the pipeline's last stage.
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -72,8 +72,21 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents"))
 
 
+def op11_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    return quality.score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), held_out)
+
+
+def op12_position_crc_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("n_words")
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pruned_graph_neighbours, op2_substring_dedup, op3_secret_ownership, op4_language_crf, op5_toxicity_ordinal, op6_sentencepiece, op7_deleted_interpolation, op8_ngram_jaccard, op9_avi_payload, media_clips, op10_source_mix)}
+    return {f.__name__: f for f in (op1_pruned_graph_neighbours, op2_substring_dedup, op3_secret_ownership, op4_language_crf, op5_toxicity_ordinal, op6_sentencepiece, op7_deleted_interpolation, op8_ngram_jaccard, op9_avi_payload, media_clips, op10_source_mix, op11_attention_quality, op12_position_crc_resampling, op13_source_divergence)}
 
 
 #: Positions of all words, the sequence of 50 from each, the least document that has it, and what a later one keeps.
@@ -155,5 +168,74 @@ FROM clips GROUP BY doc_id, clip
 """
 
 
+#: CRC-32 by byte with the usual table, which is made from the polynomial; once a distinct word.
+OP12_SQL = r"""
+WITH one AS (
+  SELECT [list_reduce(range(0, 8), lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, b) FOR b IN range(0, 256)] AS crc_of
+), word AS (
+  SELECT 'd' AS side, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+  UNION ALL
+  SELECT 'b', item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark
+), feature AS (
+  SELECT side, doc_id, unnest(w) AS f FROM word
+), kind AS (
+  SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM feature)
+), crc AS (
+  SELECT f, xor(list_reduce([('0x' || h[2 * i + 1:2 * i + 2])::BIGINT FOR i IN range(0, len(h) // 2)], lambda c, b: xor(c >> 8, crc_of[1 + xor(c % 256, b)]), 4294967295::BIGINT), 4294967295::BIGINT) % 10000 AS bucket
+  FROM kind, one
+), bucket AS (
+  SELECT bucket, count(*) FILTER (side = 'd') AS s, count(*) FILTER (side = 'b') AS t FROM feature JOIN crc USING (f) GROUP BY 1
+), gain AS (
+  SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * ((SELECT sum(s) FROM bucket) + 10000)::DOUBLE / ((s + 1)::DOUBLE * ((SELECT sum(t) FROM bucket) + 10000)::DOUBLE)))::BIGINT AS gain FROM bucket
+), weight AS (
+  SELECT doc_id, count(*) AS n, sum(gain)::BIGINT AS weight FROM feature JOIN crc USING (f) JOIN gain USING (bucket) WHERE side = 'd' GROUP BY 1
+), scored AS (
+  SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+    coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || d.doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM documents d LEFT JOIN weight USING (doc_id)
+), top AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n FROM scored WHERE n_features >= 20
+)
+SELECT s.doc_id, n_features, weight, score, CASE WHEN r <= n * 10 // 100 THEN r END AS rank FROM scored s LEFT JOIN top USING (doc_id)
+"""
+
+
+#: Every term of every group with its count, 0 where it has none, and whole numbers of 128 bits.
+OP13_SQL = r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), groups AS (
+  SELECT DISTINCT lang, source FROM d
+), word AS (
+  SELECT row, lang, source, unnest(w) AS term FROM d
+), kept AS (
+  SELECT lang, term, count(*) AS n FROM word GROUP BY 1, 2 HAVING count(DISTINCT row) >= 3
+), langs AS (
+  SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS total FROM kept GROUP BY 1
+), own AS (
+  SELECT w.lang, w.source, w.term, count(*) AS n FROM word w SEMI JOIN kept k ON w.lang = k.lang AND w.term = k.term GROUP BY 1, 2, 3
+), totals AS (
+  SELECT lang, source, sum(n)::HUGEINT AS total FROM own GROUP BY 1, 2
+), share AS (
+  SELECT g.lang, g.source, k.term, coalesce(o.n, 0) AS n, 1 + (1000000000 * (coalesce(o.n, 0) + 1)::HUGEINT) // (coalesce(t.total, 0) + l.v) AS p, 1 + (1000000000 * (k.n + 1)::HUGEINT) // (l.total + l.v) AS q
+  FROM groups g JOIN kept k ON g.lang = k.lang JOIN langs l ON l.lang = g.lang
+  LEFT JOIN totals t ON t.lang = g.lang AND t.source = g.source LEFT JOIN own o ON o.lang = g.lang AND o.source = g.source AND o.term = k.term
+), sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM share a JOIN share b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3
+), pair AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(s.value, 0)::BIGINT AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+), term AS (
+  SELECT lang, source, term AS item, ((p - q) * (p - q) // q)::BIGINT AS value FROM share WHERE n > 0 AND p > q
+), ranked AS (
+  SELECT *, 'pair' AS part, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS r FROM pair
+  UNION ALL
+  SELECT *, 'term', row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) FROM term
+)
+SELECT lang, source, part, item, value, r::INT AS rank FROM ranked WHERE part = 'pair' OR r <= 200
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": OP2_SQL, "op8_ngram_jaccard": OP8_SQL, "media_clips": CLIPS_SQL}
+    return {"op12_position_crc_resampling": OP12_SQL, "op13_source_divergence": OP13_SQL, "op2_substring_dedup": OP2_SQL, "op8_ngram_jaccard": OP8_SQL, "media_clips": CLIPS_SQL}
