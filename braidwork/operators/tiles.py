@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Most chains of a tile, and pairs that are computed at once.
 TILE, AT_ONCE = 256, 4096
+#: Partitions for each group, so that few groups share one, and most of them.
+SPREAD, MOST_PARTITIONS = 2, 50_000
 
 
 def dealt(chains: DataFrame, *columns: str, tile: int = TILE) -> DataFrame:
@@ -28,12 +30,13 @@ def dealt(chains: DataFrame, *columns: str, tile: int = TILE) -> DataFrame:
 
 @dataclass
 class Tiles:
-    """Chains of one or two tiles as arrays, padded with nan and -1 to the longest."""
+    """Chains of one or two tiles as arrays, padded with nan and -1 (elements, where there are any: 0) to the longest."""
 
     family: int
     chain: np.ndarray
     xyz: np.ndarray
     kind: np.ndarray
+    ss: np.ndarray
     length: np.ndarray
     table: pa.Table
     first: np.ndarray
@@ -59,7 +62,7 @@ def _tiles(table: pa.Table) -> Tiles:
     same = table.column("low")[0].as_py() == table.column("high")[0].as_py()
     first, second = np.nonzero((chain[:, None] > chain[None, :]) & (same | (tile[:, None] != tile[None, :])))
     n = len(chain)
-    xyz, kind, length = np.zeros((n, 0, 3)), np.zeros((n, 0), np.int64), np.zeros(n, np.int64)
+    xyz, kind, ss, length = np.zeros((n, 0, 3)), np.zeros((n, 0), np.int64), np.zeros((n, 0), np.int64), np.zeros(n, np.int64)
     if "residues" in table.column_names:
         lists = pa.concat_arrays(table.column("residues").chunks)
         lists = lists.cast(lists.type) if lists.offset == 0 else pa.concat_arrays([lists])
@@ -67,7 +70,9 @@ def _tiles(table: pa.Table) -> Tiles:
         width = int(length.max(initial=0))
         xyz = np.stack([padded(lists, fields.field(c).to_numpy(zero_copy_only=False).astype(float), width, np.nan) for c in "xyz"], axis=2)
         kind = padded(lists, fields.field("aa").to_numpy(zero_copy_only=False).astype(np.int64), width, -1)
-    return Tiles(table.column("family")[0].as_py(), chain, xyz, kind, length, table, first, second)
+        named = "ss" in [f.name for f in fields.type]
+        ss = padded(lists, fields.field("ss").to_numpy(zero_copy_only=False).astype(np.int64), width, 0) if named else np.zeros_like(kind)
+    return Tiles(table.column("family")[0].as_py(), chain, xyz, kind, ss, length, table, first, second)
 
 
 def over_pairs(chains: DataFrame, columns: list[str], run: Callable[[Tiles], dict[str, np.ndarray]], schema: str, tile: int = TILE) -> DataFrame:
@@ -78,10 +83,18 @@ def over_pairs(chains: DataFrame, columns: list[str], run: Callable[[Tiles], dic
         t = _tiles(table)
         out = run(t)
         n = len(next(iter(out.values())))
-        return pa.table({"family": pa.array(np.full(n, t.family), pa.int32())} | {k: pa.array(v) if isinstance(v, list) else pa.array(np.ascontiguousarray(v)) for k, v in out.items()})
+        return pa.table({"family": pa.array(np.full(n, t.family), pa.int32())} | {k: v if isinstance(v, pa.Array) else pa.array(v) if isinstance(v, list) else pa.array(np.ascontiguousarray(v)) for k, v in out.items()})
 
-    rows = dealt(chains.where(F.col("family").isNotNull()).withColumn("family", F.col("family").cast("int")), *columns, tile=tile)
-    return rows.groupBy("family", "low", "high").applyInArrow(work, f"family int, {schema}")
+    rows = chains.where(F.col("family").isNotNull()).withColumn("family", F.col("family").cast("int"))
+    return by_tiles(rows, columns, tile).groupBy("family", "low", "high").applyInArrow(work, f"family int, {schema}")
+
+
+def by_tiles(rows: DataFrame, columns: list[str], tile: int = TILE) -> DataFrame:
+    """dealt, over a number of partitions that follows the number of groups: their work grows with the pairs, not with
+    the bytes that partitions would be merged by."""
+    tiles = F.ceil(F.count(F.lit(1)) / tile)
+    groups = rows.groupBy("family").agg((tiles * (tiles + 1) / 2).alias("groups")).agg(F.sum("groups")).first()[0] or 1
+    return dealt(rows, *columns, tile=tile).repartition(min(max(int(groups), 1) * SPREAD, MOST_PARTITIONS), "family", "low", "high")
 
 
 def joined(parts: list[dict[str, np.ndarray]], empty: dict[str, type]) -> dict[str, np.ndarray]:

@@ -212,12 +212,12 @@ SELECT family, count(*) AS pairs, what, round(avg(v), 6) AS mean FROM long GROUP
     "best_score_counts": f"""WITH {_ALL} SELECT CASE WHEN round(si, 6) >= round(tm, 6) AND round(si, 6) >= round(co, 6) THEN 'si' WHEN round(tm, 6) >= round(co, 6) THEN 'tm' ELSE 'co' END AS best, count(*) AS n FROM every GROUP BY 1""",
     "nearest_neighbour": f"WITH {_PAIRS}, {_NEAREST} SELECT family, chain, best, tm FROM best",
     "mutual_neighbour": f"WITH {_PAIRS}, {_NEAREST} SELECT a.chain, a.best, a.family, a.tm FROM best a JOIN best b ON a.best = b.chain AND b.best = a.chain WHERE a.chain < a.best",
-    "residue_neighbour": f"""WITH {_residues(CONTACT_SCALE).replace("res AS", "res AS MATERIALIZED", 1)}, near AS MATERIALIZED (
-  SELECT a.chain, a.res, b.res AS near, (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z) AS d2
-  FROM res a JOIN res b ON a.chain = b.chain WHERE abs(a.res-b.res) >= 3
-), top AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chain, res ORDER BY d2, near) AS r FROM near) WHERE r = 1)
-SELECT a.chain, a.res::INT AS res, a.near::INT AS near, round(a.d2, 6) AS d2, b.res IS NOT NULL AS mutual
-FROM top a LEFT JOIN top b ON a.chain = b.chain AND a.near = b.res AND b.near = a.res""",
+    "residue_neighbour": f"""WITH {_residues(CONTACT_SCALE)}, c AS (
+  SELECT chain, list({{'r': res, 'x': x, 'y': y, 'z': z}} ORDER BY res) AS l FROM res GROUP BY 1
+), top AS (
+  SELECT chain, [list_min([{{'d2': (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z), 'near': b.r}} FOR b IN l IF abs(a.r-b.r) >= 3]) FOR a IN l] AS t FROM c
+)
+SELECT chain, k::INT AS res, t[k+1].near::INT AS near, round(t[k+1].d2, 6) AS d2, t[t[k+1].near+1].near = k AS mutual FROM top, range(0, {_LEN}) AS u(k)""",
     "centroid": f"""WITH {_residues(SCORE_SCALE)} SELECT chain, round(avg(x), 6) AS cx, round(avg(y), 6) AS cy, round(avg(z), 6) AS cz,
 round(sum(x*(res+1))/sum(res+1), 6) AS wx, round(sum(y*(res+1))/sum(res+1), 6) AS wy, round(sum(z*(res+1))/sum(res+1), 6) AS wz FROM res GROUP BY 1""",
     "conformation_split": f"""WITH RECURSIVE {_PAIRS}, pointer AS (

@@ -26,6 +26,16 @@ def test_entry_loads_without_the_optional_parts(tmp_path, with_pipeline):
     assert int(n) > 60 and numbered == "0" and pipeline == "False"
 
 
+@pytest.mark.parametrize("broken", ["__init__", "queries", "pieces"])
+def test_entry_loads_where_an_import_of_llm_fails(tmp_path, broken):
+    shutil.copytree(ROOT, tmp_path / "repo", ignore=shutil.ignore_patterns(".git", "__pycache__"))
+    os.makedirs(tmp_path / "repo" / "braidwork" / "llm", exist_ok=True)
+    with open(tmp_path / "repo" / "braidwork" / "llm" / f"{broken}.py", "w") as f:
+        f.write("import a_library_that_is_missing\n")
+    n, numbered, pipeline = ask(tmp_path / "repo")
+    assert int(n) > 60 and numbered == "0" and pipeline == "False"
+
+
 def test_entry_gives_a_stable_schema(spark):
     assert entry.entry(spark).columns == ["family", "i", "j", "n_ali", "si", "tm", "rmsd"]
     assert set(entry.oracle_sql()) <= set(entry.queries())
