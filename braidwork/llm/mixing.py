@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from braidwork.llm.blocks import WORD
@@ -116,17 +116,18 @@ def _fit_source(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"no_source": rows["no_source"], "name": rows["name"], "size": rows["size"], "extra": take})
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 17, keep: str | None = None) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 17, keep: str | None = None, tie: Column | None = None) -> DataFrame:
     """docs: (doc_id, text, source). Returns doc_id, size, source_size, target, taken, copies, source of each row.
 
-    With keep, a column of docs that is carried along, its value as kept.
+    With keep, a column of docs that is carried along, its value as kept; tie, an expression on docs, tells rows of equal
+    doc_id and text apart then.
 
     taken is size times copies; copies counts the whole passes over the source plus one if the document was drawn.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     draw = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
     # a null source is told apart by a column of its own, so that joins and windows share one shuffle
-    sized = docs.select("doc_id", "source", F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("name"), size.alias("size"), draw.alias("draw"), F.pmod(draw, F.lit(BUCKETS)).cast("int").alias("bucket"), *([F.col(keep).alias("kept")] if keep else []))
+    sized = docs.select("doc_id", "source", F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("name"), size.alias("size"), draw.alias("draw"), F.pmod(draw, F.lit(BUCKETS)).cast("int").alias("bucket"), *([F.col(keep).alias("kept"), (F.lit(0) if tie is None else tie).alias("tie")] if keep else []))
     # what is carried may be whole texts: these are counted again instead of being written once more
     sized = sized if keep else stored(sized, "sizes")
     of = ["no_source", "name"]
@@ -151,7 +152,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: fl
     room = F.greatest(F.least(F.col("extra") - before, F.col("n")), F.lit(0))
     rooms = stored(one.select(*of, "size", "bucket", room.alias("room")).where("room > 0"), "rooms")
 
-    rank = F.row_number().over(Window.partitionBy(*of, "size", "bucket").orderBy("draw", F.col("doc_id").asc_nulls_last(), *(["kept"] if keep else [])))
+    rank = F.row_number().over(Window.partitionBy(*of, "size", "bucket").orderBy("draw", F.col("doc_id").asc_nulls_last(), *(["tie"] if keep else [])))
     drawn = sized.join(rooms, [*of, "size", "bucket"], "left").withColumn("extra", (rank <= F.coalesce("room", F.lit(0))).cast("long"))
     copies = F.when(F.col("size") > 0, F.col("passes") + F.col("extra")).otherwise(F.lit(0))
     both = drawn.join(targets.drop("budget"), of)

@@ -95,3 +95,20 @@ def test_dedup_keeps_the_least_of_each_class(spark, frame, sf_dir):
             seen.add(x)
             todo += [y for y in sets if y not in seen and len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y])]
     assert {r.doc_id for r in _stage("ngram_jaccard")(spark, frame(rows), sf_dir).collect()} == best
+
+
+def test_further_columns_of_types_without_order(spark, sf_dir):
+    text = " ".join(f"a{i}" for i in range(40))
+    rows = [(k % 3, text if k < 4 else f"{text} other words {k}" * 3, "en", "s", 5, {"k": k}, [{"m": k}], (1.5, {"z": k}), bytearray(b"x")) for k in range(8)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, m map<string,int>, a array<map<string,int>>, s struct<f:double,g:map<string,int>>, b binary"
+    docs = spark.createDataFrame(rows, schema)
+    kept = {}
+    for name, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert [f.simpleString() for f in out.schema] == [f.simpleString() for f in docs.schema]
+        kept[name] = out.collect()
+        known = {repr(tuple(r)[5:]) for r in docs.collect()}
+        assert {repr(tuple(r)[5:]) for r in kept[name]} <= known
+        assert sorted(map(repr, stage(spark, docs, sf_dir).collect())) == sorted(map(repr, kept[name]))
+    assert len(kept["toxicity"]) == len(kept["secrets"]) == 8
+    assert pipeline.STAGES[-1][1](spark, docs, sf_dir).count() == 8
