@@ -14,6 +14,8 @@ from braidwork.session import stored
 CONTACT_SCALE, SCORE_SCALE = 20.0, 4.0
 #: Score above which two vectors count as one conformation. Real chains take 0.97; vectors of the tables hardly exceed 0.33.
 CONFORMATION_TM = 0.27
+#: Residues of a vector of the tables.
+LENGTH = 21
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,7 +156,7 @@ def _residues(scale: float) -> str:
 )"""
 
 
-_LEN = 21
+_LEN = LENGTH
 _SCALE2 = f"(1.24*cbrt({_LEN}-15.0)-1.8)*(1.24*cbrt({_LEN}-15.0)-1.8)"
 _OCTANT = "(CASE WHEN {0}.x>0 THEN 4 ELSE 0 END + CASE WHEN {0}.y>0 THEN 2 ELSE 0 END + CASE WHEN {0}.z>0 THEN 1 ELSE 0 END)"
 _EDGES = """edges AS (
