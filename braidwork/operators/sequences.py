@@ -1,10 +1,14 @@
-"""Sequences of tokens: identity by position, leader clusters, subsequences, identity bins."""
+"""Sequences of tokens: identity by position and by alignment, leader clusters, subsequences, identity bins."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from braidwork.operators.kernels import SEARCH_TILE, TERM_WEIGHTS
+from braidwork.operators.refinement import CELLS, ELEMENT_SIMILARITY, ELEMENT_WEIGHT, GAP_OPEN_FIRST, affine_partners, self_similarities, similarity_matrix
+from braidwork.operators.tiles import Tiles, over_pairs
 from braidwork.session import stored
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -62,6 +66,53 @@ def leaders(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return state.join(first, state.seq == first.i, "left").select("seq", F.when(F.col("leads"), F.col("seq")).otherwise(F.col("leader")).alias("leader"))
 
 
+def most_identical(kind: np.ndarray, kinds: int) -> np.ndarray:
+    """For each pair of chains, the residues that any alignment can pair with an equal one: the smaller number of each
+    type, summed over types."""
+    n = len(kind)
+    row, col = np.nonzero(kind >= 0)
+    counts = np.bincount(row * kinds + kind[row, col], minlength=n * kinds).reshape(n, kinds)
+    out = np.zeros((n, n), np.int64)
+    for c in counts.T:
+        out += np.minimum(c[:, None], c[None])
+    return out
+
+
+def aligned_identity_pairs(chains: DataFrame, threshold: float, matrix: list[list[float]] | None = None, kinds: int = 32) -> DataFrame:
+    """chains: (chain, family, residues). (family, i, j, same, si), i > j: pairs of a family with more than threshold of
+    the shorter one's residues equal in their best alignment by types and elements; any threshold will do.
+
+    A pair is aligned only if its numbers of residues by type allow more than threshold; no pair is lost by that. Chains
+    without residues are in no pair."""
+    similar = similarity_matrix(kinds, matrix)
+
+    def run(t: Tiles) -> dict[str, np.ndarray]:
+        own = self_similarities(t.kind, t.ss, np.zeros((len(t.chain), 1, 1), bool), t.length, similar)
+        least = np.minimum(t.length[t.first], t.length[t.second])
+        some = (least > 0) & (most_identical(t.kind, kinds)[t.first, t.second] > threshold * least)
+        first, second, least = t.first[some], t.second[some], least[some]
+        same = np.zeros(len(first), np.int64)
+        at_once = max(1, CELLS // max(t.kind.shape[1] ** 2, 1))
+        for k in range(0, len(first), at_once):
+            a, b = first[k : k + at_once], second[k : k + at_once]
+            scale = {c: np.where(v[a] * v[b] > 0, 1 / np.sqrt(np.maximum(v[a] * v[b], 1e-12)), 0.0)[:, None, None] for c, v in own.items()}
+            sim = TERM_WEIGHTS["seq"] * scale["seq"] * similar[t.kind[a][:, :, None], t.kind[b][:, None]]
+            sim += ELEMENT_WEIGHT * scale["ss"] * ELEMENT_SIMILARITY[t.ss[a][:, :, None], t.ss[b][:, None]]
+            partner = affine_partners(10 * sim, t.length[a], t.length[b], GAP_OPEN_FIRST)[1]
+            same[k : k + at_once] = ((np.take_along_axis(t.kind[b], np.maximum(partner, 0), axis=1) == t.kind[a]) & (partner >= 0)).sum(axis=1)
+        on = same > threshold * least
+        return {"i": t.chain[first[on]], "j": t.chain[second[on]], "same": same[on].astype(np.int32), "si": same[on] / least[on]}
+
+    return over_pairs(chains, ["residues"], run, "i long, j long, same int, si double", tile=SEARCH_TILE)
+
+
+def aligned_leaders(chains: DataFrame, threshold: float, matrix: list[list[float]] | None = None, kinds: int = 32) -> DataFrame:
+    """(chain, leader): in order of chain, a chain joins the first leader of its family that it is identical enough to,
+    or else becomes one."""
+    links = stored(aligned_identity_pairs(chains, threshold, matrix, kinds), "links")
+    return leaders(chains.select(F.col("chain").alias("seq")), links).withColumnRenamed("seq", "chain")
+
+
 def leader_clusters(docs: DataFrame, threshold: float = IDENTITY) -> DataFrame:
     """(seq, leader, copies) of every different sequence."""
     seqs = stored(distinct_sequences(docs), "sequences")

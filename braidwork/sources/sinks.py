@@ -46,6 +46,22 @@ def square_matrix(d: DataFrame, names: list[int]) -> DataFrame:
     return head.unionByName(body).orderBy("no").select("line")
 
 
+def matrix_lines(d: DataFrame, names: DataFrame) -> DataFrame:
+    """(line): the number of chains, then for each chain, in order, its name and its distances to all. d: (i, j, d), one
+    row a pair; names: (chain, name). Missing pairs have distance 0."""
+    both = d.select("i", "j", "d").unionByName(d.select(F.col("j").alias("i"), F.col("i").alias("j"), "d"))
+    cells = both.unionByName(names.select(F.col("chain").alias("i"), F.col("chain").alias("j"), F.lit(0.0).alias("d")))
+    rows = cells.groupBy("i").agg(F.array_sort(F.collect_list(F.struct("j", "d"))).alias("cells")).join(names.select(F.col("chain").alias("i"), "name"), "i")
+    body = rows.select(F.col("i").alias("no"), F.concat_ws(" ", "name", F.array_join(F.transform("cells", lambda c: F.format_string("%.4f", c["d"])), " ")).alias("line"))
+    head = names.agg(F.count(F.lit(1)).cast("string").alias("line")).select(F.lit(-1).cast("long").alias("no"), "line")
+    return head.unionByName(body).orderBy("no").select("line")
+
+
+def grafted(members: Column) -> Column:
+    """The text of a leaf that stands for several members, all at distance 0 from it."""
+    return F.when(F.size(members) == 1, members[0]).otherwise(F.concat(F.lit("("), F.array_join(F.transform(members, lambda m: F.concat(m, F.lit(":0"))), ","), F.lit(")")))
+
+
 def similarity_table(scores: DataFrame) -> DataFrame:
     """(line): tab-separated pair scores in the order aligned fraction, identity, contact overlap, superposition, combined."""
     values = [F.format_string("%.4f", F.col(c)) for c in ("n_ali", "si", "co", "tm", "pc")]

@@ -41,10 +41,21 @@ def folders(tmp_path_factory):
 
 
 def test_run(spark, folders, tmp_path):
-    config = Config(name="r", pdblist=str(folders / "list"), pdbdir=str(folders / "one"), pdbdir2=str(folders / "two"), print_sim=True, print_div=True, print_cv=True, print_fasta=True, si_thr=0.9)
+    config = Config(name="r", pdblist=str(folders / "list"), pdbdir=str(folders / "one"), pdbdir2=str(folders / "two"), print_sim=True, print_div=True, print_cv=True, print_fasta=True, print_pdb=True, si_thr=0.9)
     out = job.run(spark, config, str(tmp_path / "out"))
-    assert set(out) == {"nr.pdblist", "input.fasta", "nj.tree", "prot.sim", "prot.div", "cv"}
+    assert set(out) == {"nr.pdblist", "input.fasta", "nj.tree", "nj.seqtree", "round.tree", "prot.sim", "prot.div", "PC.div", "cv", "PCAli.fas", "PCAli.ss.msa", "summary", "models.pdb"}
     assert sorted(os.listdir(tmp_path / "out")) == sorted(f"r.{n}" for n in out)
+    rows = [r.value for r in spark.read.text(str(tmp_path / "out" / "r.PCAli.fas"), lineSep="\n>").collect()]
+    rows = {r.split("\n")[0].strip(">"): "".join(r.split("\n")[1:]) for r in rows}
+    assert len(rows) == 6 and len({len(r) for r in rows.values()}) == 1
+    given = {r.name: "".join(job.TYPES[x.aa] for x in r.residues) for r in job.read_chains(spark, config).collect()}
+    assert {n: r.replace("-", "") for n, r in rows.items()} == given
+    matrix = [r.value.split() for r in sorted(spark.read.text(str(tmp_path / "out" / "r.PC.div")).collect(), key=lambda r: len(r.value))]
+    assert matrix[0] == ["6"] and len(matrix) == 7 and all(len(m) == 7 for m in matrix[1:])
+    assert spark.read.text(str(tmp_path / "out" / "r.summary")).count() == 5
+    models = "\n".join(r.value for r in spark.read.text(str(tmp_path / "out" / "r.models.pdb")).collect())
+    assert models.count("MODEL ") == 6 and models.count("ATOM") == sum(map(len, given.values()))
+    assert all(r.value.endswith(";") for r in spark.read.text(str(tmp_path / "out" / "r.round.tree")).collect())
     tree = spark.read.text(str(tmp_path / "out" / "r.nj.tree")).collect()
     assert len(tree) == 1 and all(f"d{k}:" in tree[0].value for k in range(6)) and tree[0].value.endswith(";")
     assert spark.read.text(str(tmp_path / "out" / "r.prot.sim")).count() == 15
@@ -132,3 +143,15 @@ def test_conformations_of_a_sequence(spark):
     lead = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (4, 1), (5, 5)], "chain long, leader long")
     got = {r.chain: (r.seq, r.conformation) for r in job.conformations(chains, lead, Config()).collect()}
     assert got == {1: (1, 1), 2: (1, 2), 3: (1, 1), 4: (1, 2), 5: (5, 5)}
+
+
+def test_clusters_at_any_identity(spark, folders, tmp_path):
+    config = Config(name="c", pdblist=str(folders / "list"), pdbdir=str(folders / "one"), pdbdir2=str(folders / "two"), seq_thr=0.85)
+    chains = job.read_chains(spark, config)
+    lead = {r.chain: r.leader for r in job.representatives(chains, config).collect()}
+    assert len(set(lead.values())) == 5  # those with 0 and 4 changes, and four others
+    out = job.run(spark, config, str(tmp_path / "out"))
+    assert out["nr.pdblist"].count() == 5
+    tree = out["nj.seqtree"].collect()[0].line
+    assert all(f"d{k}:" in tree for k in range(6))
+    assert job.representatives(chains, Config(seq_thr=0.3)).select("leader").distinct().count() == 1
