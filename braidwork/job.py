@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from braidwork.config import Config
 from braidwork.functions import scores
 from braidwork.operators import chains as ch
-from braidwork.operators import graphs, msa, refinement, sequences, trees
+from braidwork.operators import gaps, graphs, msa, refinement, sequences, trees
 from braidwork.operators.refinement import ELEMENTS
 from braidwork.session import stored
 from braidwork.sources import lists, sinks, structures
@@ -130,6 +130,10 @@ def run(spark: SparkSession, config: Config, folder: str) -> dict[str, DataFrame
         d = pairs.select("family", "i", "j", F.col(_OUTGROUP[config.outgroup]).alias("d"))
         out["PCAli.fas"] = sinks.fasta(msa.alignment_rows(best.state, TYPES).join(named, "chain"), "name", "row")
         out["PCAli.ss.msa"] = sinks.fasta(msa.element_rows(best.state).join(named, "chain"), "name", "row")
+        if config.ali_ss:
+            rows, _ = gaps.out_of_elements(msa.with_element_lists(best.state), config.shift_max)
+            shifted = best.state.drop("places").join(rows.select("family", "chain", "places"), ["family", "chain"])
+            out["SSAli.msa"] = sinks.fasta(msa.alignment_rows(shifted, TYPES).join(named, "chain"), "name", "row")
         out["summary"] = sinks.summary_lines(summary(refined, best))
         found = stored(trees.family_trees(d), "trees")
         out["nj.tree"] = sinks.tree_lines(found, names)

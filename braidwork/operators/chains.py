@@ -218,9 +218,10 @@ def conserved_contacts(chains: DataFrame, edges: DataFrame) -> DataFrame:
     return flags.groupBy("family", "class", "identical").agg(F.count(F.lit(1)).alias("n_contacts"), F.count_if("kept").alias("n_conserved"))
 
 
-def _anchors(t: Tiles) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For pairs a and b of chains: which residues of the first have a mutual nearest one, which that is, and which stay
-    when read along the first chain only those further on in the second are kept."""
+def _anchors(t: Tiles) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For pairs a and b of chains: which residues of the first have a mutual nearest one, the nearest one of each, which
+    stay when read along the first chain only those further on in the second are kept, and the nearest one in the first
+    of each residue of the second."""
     for a, b in t.pairs(1024):
         d2 = ((t.xyz[a][:, :, None] - t.xyz[b][:, None]) ** 2).sum(axis=3)
         d2 = np.where(np.isnan(d2), np.inf, d2)
@@ -230,7 +231,7 @@ def _anchors(t: Tiles) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.
         mutual = (np.take_along_axis(back, to, 1) == own) & (own < t.length[a][:, None]) & (to < t.length[b][:, None])
         reach = np.maximum.accumulate(np.where(mutual, to, -1), axis=1)
         before = np.concatenate([np.full((n, 1), -1), reach[:, :-1]], axis=1)
-        yield a, b, mutual, to, mutual & (to > before)
+        yield a, b, mutual, to, mutual & (to > before), back
 
 
 def monotone_anchors(chains: DataFrame) -> DataFrame:
@@ -238,7 +239,7 @@ def monotone_anchors(chains: DataFrame) -> DataFrame:
     how many of them stay when read along the first chain only those further on in the second are kept."""
 
     def run(t: Tiles) -> dict[str, np.ndarray]:
-        parts = [{"i": t.chain[a], "j": t.chain[b], "n_mutual": mutual.sum(axis=1), "n_kept": kept.sum(axis=1)} for a, b, mutual, _, kept in _anchors(t)]
+        parts = [{"i": t.chain[a], "j": t.chain[b], "n_mutual": mutual.sum(axis=1), "n_kept": kept.sum(axis=1)} for a, b, mutual, _, kept, _ in _anchors(t)]
         return joined(parts, {"i": np.int64, "j": np.int64, "n_mutual": np.int32, "n_kept": np.int32})
 
     return over_pairs(chains, ["residues"], run, "i long, j long, n_mutual int, n_kept int")
@@ -256,9 +257,46 @@ def anchor_rows(chains: DataFrame) -> DataFrame:
 
     def run(t: Tiles) -> dict[str, np.ndarray]:
         parts = []
-        for a, b, _, to, kept in _anchors(t):
+        for a, b, _, to, kept, _ in _anchors(t):
             row, p = np.nonzero(kept)
             parts.append({"i": t.chain[a[row]], "j": t.chain[b[row]], "p": p, "q": to[row, p]})
         return joined(parts, {"i": np.int64, "j": np.int64, "p": np.int32, "q": np.int32})
 
     return over_pairs(chains, ["residues"], run, "i long, j long, p int, q int")
+
+
+def filled(kept: np.ndarray, to: np.ndarray, back: np.ndarray, la: np.ndarray, lb: np.ndarray) -> np.ndarray:
+    """Partner of each residue of the first chain, -1 for none: the kept anchors, and between them, read along the first
+    chain, the least residue of the second that is its nearest or that it is the nearest of, further on than the one
+    before and not as far as the next anchor."""
+    n, width = to.shape
+    pair = np.arange(n)
+    inverse = np.full((n, width), width)
+    for q in range(width - 1, -1, -1):
+        some = q < lb
+        inverse[pair[some], back[some, q]] = q
+    limit = np.where(kept, to, width)
+    limit = np.minimum.accumulate(limit[:, ::-1], axis=1)[:, ::-1]
+    out, last = np.full((n, width), -1), np.full(n, -1)
+    for p in range(width):
+        one, two = (np.where((c > last) & (c < np.minimum(limit[:, p], lb)), c, width) for c in (to[:, p], inverse[:, p]))
+        best = np.where(kept[:, p], to[:, p], np.minimum(one, two))
+        some = (best < width) & (p < la)
+        out[some, p] = best[some]
+        last = np.where(some, best, last)
+    return out
+
+
+def filled_anchors(chains: DataFrame) -> DataFrame:
+    """(family, i, j, partner): the anchors of each pair with the gaps between them filled; partner has the residue of j
+    for each one of i, -1 for none, and rises."""
+
+    def run(t: Tiles) -> dict[str, np.ndarray]:
+        parts, lists = [], []
+        for a, b, _, to, kept, back in _anchors(t):
+            partner = filled(kept, to, back, t.length[a], t.length[b])
+            parts.append({"i": t.chain[a], "j": t.chain[b]})
+            lists += [row[:n] for row, n in zip(partner.astype(np.int32), t.length[a].tolist(), strict=True)]
+        return joined(parts, {"i": np.int64, "j": np.int64}) | {"partner": pa.array(lists, pa.list_(pa.int32()))}
+
+    return over_pairs(chains, ["residues"], run, "i long, j long, partner array<int>")

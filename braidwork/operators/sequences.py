@@ -27,28 +27,47 @@ def distinct_sequences(docs: DataFrame) -> DataFrame:
     return keyed.groupBy("key").agg(F.min("doc_id").alias("seq"), F.count(F.lit(1)).alias("copies"), F.first("tokens").alias("tokens")).drop("key")
 
 
-def identity_pairs(seqs: DataFrame, threshold: float = IDENTITY) -> DataFrame:
-    """(i, j, same, si), i > j: pairs with more than threshold of the shorter one's positions equal.
-
-    Candidates share a band at the same place, or, where the shorter one has no whole band, its whole length."""
-    if threshold < 1 - 1 / (2 * BAND):
-        raise ValueError(f"bands of {BAND} find all pairs only above an identity of {1 - 1 / (2 * BAND)}")
+def band_keys(seqs: DataFrame) -> DataFrame:
+    """(seq, key, role): hashes by which sequences are met. Bands of BAND tokens meet bands at the same place; a sequence
+    without a whole band (role short) meets the starts of its length (role start)."""
     n = F.size("tokens")
     band = F.transform(F.sequence(F.lit(1), F.floor(n / BAND).cast("int")), lambda b: F.xxhash64(F.lit("band"), b, F.slice("tokens", (b - 1) * BAND + 1, BAND)))
-    bands = seqs.where(n >= BAND).select("seq", F.explode(band).alias("key"))
+    bands = seqs.where(n >= BAND).select("seq", F.explode(band).alias("key"), F.lit("band").alias("role"))
     starts = F.transform(F.sequence(F.lit(1), F.least(n, F.lit(BAND - 1))), lambda m: F.xxhash64(F.lit("start"), m, F.slice("tokens", F.lit(1), m)))
-    prefixes = seqs.select("seq", F.explode(starts).alias("key"))
-    shorts = seqs.where(n < BAND).select("seq", F.xxhash64(F.lit("start"), n, F.col("tokens")).alias("key"))
-    b = bands.select(F.col("seq").alias("j"), "key")
-    met = bands.select(F.col("seq").alias("i"), "key").join(b, "key").where("i > j").select("i", "j")
-    short = shorts.join(prefixes.withColumnRenamed("seq", "other"), "key").where("seq <> other").select(F.greatest("seq", "other").alias("i"), F.least("seq", "other").alias("j"))
-    pairs = met.unionByName(short).distinct()
+    prefixes = seqs.select("seq", F.explode(starts).alias("key"), F.lit("start").alias("role"))
+    shorts = seqs.where(n < BAND).select("seq", F.xxhash64(F.lit("start"), n, F.col("tokens")).alias("key"), F.lit("short").alias("role"))
+    return bands.unionByName(prefixes).unionByName(shorts)
+
+
+def met_by_keys(one: DataFrame, two: DataFrame) -> DataFrame:
+    """(i, j), i > j: sequences of one and of two (band_keys) that share a key, each pair once."""
+    a, b = one.select(F.col("seq").alias("x"), "key", F.col("role").alias("a_role")), two.select(F.col("seq").alias("y"), "key", F.col("role").alias("b_role"))
+    fit = ((F.col("a_role") == "band") & (F.col("b_role") == "band")) | ((F.col("a_role") == "short") & (F.col("b_role") == "start")) | ((F.col("a_role") == "start") & (F.col("b_role") == "short"))
+    return a.join(b, "key").where(fit & (F.col("x") != F.col("y"))).select(F.greatest("x", "y").alias("i"), F.least("x", "y").alias("j")).distinct()
+
+
+def identical_enough(pairs: DataFrame, seqs: DataFrame, threshold: float) -> DataFrame:
+    """pairs: (i, j). (i, j, same, si) of those with more than threshold of the shorter one's positions equal."""
     a, b = seqs.select(F.col("seq").alias("i"), F.col("tokens").alias("a")), seqs.select(F.col("seq").alias("j"), F.col("tokens").alias("b"))
     same = F.aggregate(F.zip_with("a", "b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, v: s + F.coalesce(v, F.lit(0)))
     both = pairs.join(a, "i").join(b, "j").select("i", "j", same.alias("same"), F.least(F.size("a"), F.size("b")).alias("m"))
     return both.select("i", "j", "same", (F.col("same") / F.col("m")).alias("si")).where(F.col("si") > threshold)
 
 
+def check_threshold(threshold: float) -> None:
+    if threshold < 1 - 1 / (2 * BAND):
+        raise ValueError(f"bands of {BAND} find all pairs only above an identity of {1 - 1 / (2 * BAND)}")
+
+
+def identity_pairs(seqs: DataFrame, threshold: float = IDENTITY) -> DataFrame:
+    """(i, j, same, si), i > j: pairs with more than threshold of the shorter one's positions equal.
+
+    Candidates share a band at the same place, or, where the shorter one has no whole band, its whole length."""
+    check_threshold(threshold)
+    keys = band_keys(seqs)
+    return identical_enough(met_by_keys(keys, keys), seqs, threshold)
+
+
 def leaders(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """nodes: (seq); links: (i, j), i > j. (seq, leader): in order of seq, a node joins the first leader that it is
     linked to, or else becomes one.

@@ -140,6 +140,14 @@ def monotone_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ch.monotone_anchors(score_chains(spark, sf_dir))
 
 
+def filled_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many residues of each pair are aligned once the gaps between its anchors are filled, and a number that tells
+    which: the sum of the products of both places, counted from 1."""
+    at = F.transform("partner", lambda q, p: F.when(q >= 0, (p + 1) * (q + 1)).otherwise(0).cast("long"))
+    n = F.size(F.filter("partner", lambda q: q >= 0))
+    return ch.filled_anchors(score_chains(spark, sf_dir)).select("family", "i", "j", n.alias("n_aligned"), F.aggregate(at, F.lit(0).cast("long"), lambda s, v: s + v).alias("places"))
+
+
 def structure_file_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every chain written as a fixed-width structure file and scanned again."""
     from braidwork.sources import structures
@@ -252,7 +260,26 @@ SELECT family, chain AS medoid, round(total, 4) AS total FROM (SELECT *, row_num
   SELECT i, j, count(*) AS n_mutual, count(*) FILTER (before IS NULL OR q > before) AS n_kept FROM k GROUP BY 1, 2
 ) SELECT a.label AS family, a.vec_id AS i, b.vec_id AS j, coalesce(n_mutual, 0)::INT AS n_mutual, coalesce(n_kept, 0)::INT AS n_kept
 FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id > b.vec_id LEFT JOIN n ON n.i = a.vec_id AND n.j = b.vec_id""",
+    "filled_anchors": f"""WITH RECURSIVE {_residues(SCORE_SCALE)}, d AS (
+  SELECT a.chain AS i, b.chain AS j, a.res AS p, b.res AS q, (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z) AS d2
+  FROM res a JOIN res b ON a.family = b.family AND a.chain > b.chain
+), ranked AS MATERIALIZED (
+  SELECT i, j, p, q, row_number() OVER (PARTITION BY i, j, p ORDER BY d2, q) AS rp, row_number() OVER (PARTITION BY i, j, q ORDER BY d2, p) AS rq FROM d
+), m AS (SELECT i, j, p, q, max(q) OVER (PARTITION BY i, j ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM ranked WHERE rp = 1 AND rq = 1
+), kept AS (SELECT i, j, p, q FROM m WHERE before IS NULL OR q > before
+), back AS (SELECT i, j, p, min(q) AS q FROM ranked WHERE rq = 1 GROUP BY 1, 2, 3
+), step AS MATERIALIZED (
+  SELECT r.i, r.j, r.p, r.q AS near, b.q AS back, k.q AS anchor, coalesce(min(k.q) OVER (PARTITION BY r.i, r.j ORDER BY r.p ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), {_LEN}) AS upto
+  FROM ranked r LEFT JOIN back b ON b.i = r.i AND b.j = r.j AND b.p = r.p LEFT JOIN kept k ON k.i = r.i AND k.j = r.j AND k.p = r.p WHERE r.rp = 1
+), walk AS (
+  SELECT i, j, -1::BIGINT AS p, -1::BIGINT AS last, 0 AS n, 0::BIGINT AS places FROM step WHERE p = 0
+  UNION ALL
+  SELECT i, j, p, coalesce(q, last), n + CASE WHEN q IS NULL THEN 0 ELSE 1 END, places + coalesce((p + 1) * (q + 1), 0) FROM (
+    SELECT s.i, s.j, s.p, w.last, w.n, w.places,
+      coalesce(s.anchor, least(CASE WHEN s.near > w.last AND s.near < s.upto THEN s.near END, CASE WHEN s.back > w.last AND s.back < s.upto THEN s.back END)) AS q
+    FROM walk w JOIN step s ON s.i = w.i AND s.j = w.j AND s.p = w.p + 1)
+) SELECT e.label AS family, i, j, n::INT AS n_aligned, places FROM walk JOIN embeddings e ON e.vec_id = walk.i WHERE p = {_LEN - 1}""",
     "structure_file_scan": f"""WITH {_residues(CONTACT_SCALE)} SELECT chain, res::INT AS res, substr('ARNDCQEG', {_OCTANT.format('res')}+1, 1) AS aa, round(x, 3) AS x, round(y, 3) AS y, round(z, 3) AS z FROM res""",
 }
 
-QUERIES = {f.__name__: f for f in (pair_scores, contact_map, contact_degree, mean_contacts, contact_overlap, contact_votes, pc_divergence, mean_scores, best_score_counts, nearest_neighbour, mutual_neighbour, residue_neighbour, centroid, tm_sum_columns, conformation_medoid, conformation_split, contact_conservation, monotone_anchors, structure_file_scan)}
+QUERIES = {f.__name__: f for f in (pair_scores, contact_map, contact_degree, mean_contacts, contact_overlap, contact_votes, pc_divergence, mean_scores, best_score_counts, nearest_neighbour, mutual_neighbour, residue_neighbour, centroid, tm_sum_columns, conformation_medoid, conformation_split, contact_conservation, monotone_anchors, filled_anchors, structure_file_scan)}
