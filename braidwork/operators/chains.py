@@ -105,8 +105,7 @@ def pair_scores(chains: DataFrame, norm: str = "min") -> DataFrame:
 
 def contact_overlap(chains: DataFrame, edges: DataFrame) -> DataFrame:
     """(family, i, j, shared, co): contacts that both chains of a pair have, over the fewer of the two."""
-    packed = edges.groupBy("chain").agg(F.collect_list(F.shiftleft(F.col("i").cast("long"), 32) + F.col("j")).alias("pairs"))
-    own = chains.select("chain", "family").join(packed, "chain", "left").withColumn("pairs", F.coalesce("pairs", F.array().cast("array<long>")))
+    own = chains.select("chain", "family").join(packed_edges(edges), "chain", "left").withColumn("pairs", F.coalesce("pairs", F.array().cast("array<long>")))
 
     def run(t: Tiles) -> dict[str, np.ndarray]:
         lists = pa.concat_arrays(t.table.column("pairs").chunks)
@@ -191,31 +190,46 @@ def medoids(pairs: DataFrame, score: str) -> DataFrame:
     return top.select("family", (-F.col("t.m")).alias("medoid"), "t.total")
 
 
+def packed_edges(edges: DataFrame) -> DataFrame:
+    """(chain, pairs): both residues of each contact in one number."""
+    return edges.groupBy("chain").agg(F.collect_list(F.shiftleft(F.col("i").cast("long"), 32) + F.col("j")).alias("pairs"))
+
+
 def conserved_contacts(chains: DataFrame, edges: DataFrame) -> DataFrame:
     """(family, class, identical, n_contacts, n_conserved): contacts of the first chain of each pair by the number of
-    its ends (0 to 2) whose types agree in both chains, and how many of them the second chain has as well.
+    its ends (0 to 2) whose types agree in both chains, and how many of them the second chain has as well. A residue that
+    the second chain lacks agrees with none.
 
     A contact counts as many if the product of the four contact counts of its ends exceeds the fourth power of the
     mean count of all residues, else as few."""
-    ends = contact_degree(edges)
-    mean = ends.agg(F.sum("n_cont").alias("ends")).crossJoin(chains.agg(F.sum(F.size("residues")).alias("res"))).select((F.col("ends") / F.col("res")).alias("mean"))  # two single rows
-    degree = ends.groupBy("chain").agg(F.map_from_entries(F.collect_list(F.struct("res", "n_cont"))).alias("degree"))
-    packed = edges.groupBy("chain").agg(F.collect_list(F.struct("i", "j")).alias("pairs"))
-    own = chains.join(degree, "chain", "left").join(packed, "chain", "left")
-    met = family_pairs(own, "residues", "degree", "pairs")
-    rows = met.select("family", "a_residues", "b_residues", "a_degree", "b_degree", "b_pairs", F.explode("a_pairs").alias("c"))
-
-    def count(side: str, end: str) -> Column:
-        return F.coalesce(F.element_at(f"{side}_degree", F.col(f"c.{end}")), F.lit(0)).cast("double")
-
-    def same(end: str) -> Column:
-        return (F.get("a_residues", F.col(f"c.{end}"))["aa"] == F.get("b_residues", F.col(f"c.{end}"))["aa"]).cast("int")
-
-    product = count("a", "i") * count("a", "j") * count("b", "i") * count("b", "j")
-    flags = rows.select("family", product.alias("product"), (same("i") + same("j")).alias("identical"), F.coalesce(F.array_contains("b_pairs", F.col("c")), F.lit(False)).alias("kept"))
-    # one row
-    flags = flags.crossJoin(F.broadcast(mean)).withColumn("class", F.when(F.col("product") > F.pow("mean", F.lit(4.0)), "many").otherwise("few"))
-    return flags.groupBy("family", "class", "identical").agg(F.count(F.lit(1)).alias("n_contacts"), F.count_if("kept").alias("n_conserved"))
+    ends, residues = edges.agg(F.count(F.lit(1)) * 2).first()[0], chains.agg(F.sum(F.size("residues"))).first()[0]
+    most = (ends / residues) ** 4 if residues else 0.0
+    own = chains.join(packed_edges(edges), "chain", "left").withColumn("pairs", F.coalesce("pairs", F.array().cast("array<long>")))
+
+    def run(t: Tiles) -> dict[str, np.ndarray]:
+        lists = pa.concat_arrays(t.table.column("pairs").chunks)
+        sizes, flat = np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy()
+        n, width = t.kind.shape
+        who, i, j = np.repeat(np.arange(n), sizes), flat >> 32, flat & 0xFFFFFFFF
+        has = np.zeros((n, width, width), bool)
+        has[who, i, j] = True
+        degree = has.sum(axis=1) + has.sum(axis=2)
+        start, counts = np.concatenate([[0], np.cumsum(sizes)]), np.zeros(12, np.int64)
+        by_first = np.argsort(t.first, kind="stable")
+        cut = np.searchsorted(t.first[by_first], np.arange(n + 1))
+        for a in np.flatnonzero(np.diff(cut) * sizes).tolist():
+            b, x, y = t.second[by_first[cut[a] : cut[a + 1]]][:, None], i[start[a] : start[a + 1]][None], j[start[a] : start[a + 1]][None]
+            product = (degree[a, x] * degree[a, y]).astype(float) * degree[b, x] * degree[b, y]
+            same = (t.kind[a, x] == t.kind[b, x]).astype(int) + (t.kind[a, y] == t.kind[b, y])
+            counts += np.bincount(((product > most) * 6 + same * 2 + has[b, x, y]).ravel(), minlength=12)
+        table = counts.reshape(2, 3, 2)
+        some = np.argwhere(table.sum(axis=2) > 0)
+        both = table[some[:, 0], some[:, 1]]
+        names = pa.array([("few", "many")[k] for k in some[:, 0]], pa.string())
+        return {"class": names, "identical": some[:, 1].astype(np.int32), "n_contacts": both.sum(axis=1), "n_conserved": both[:, 1]}
+
+    parts = over_pairs(own, ["residues", "pairs"], run, "class string, identical int, n_contacts long, n_conserved long")
+    return parts.groupBy("family", "class", "identical").agg(F.sum("n_contacts").alias("n_contacts"), F.sum("n_conserved").alias("n_conserved"))
 
 
 def _anchors(t: Tiles) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
