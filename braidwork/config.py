@@ -27,6 +27,7 @@ class Config:
     contact_cutoff: float = 4.5
     contact_separation: int = 3
     rounds: int = 3
+    msa_rounds: int = 9
     clique: bool = False
     chain_num: bool = False
     print_pdb: bool = False

@@ -91,7 +91,7 @@ def aligned(kept: DataFrame, config: Config) -> tuple[DataFrame, msa.Best]:
     order = F.array_position(F.array(*[F.lit(t) for t in refinement.TYPES]), F.col("type"))
     columns = ["len", "type", "n_ali", "si", "tm", "co", "pc", "partner"]
     start = pairs.groupBy("family", "i", "j").agg(F.max_by(F.struct(*columns), F.struct(F.round("pc", 9), -order)).alias("s")).select("family", "i", "j", "s.*")
-    return pairs, msa.best_alignments(kept, stored(start, "start"), cliques=config.clique)
+    return pairs, msa.best_alignments(kept, stored(start, "start"), config.msa_rounds, cliques=config.clique)
 
 
 def summary(pairs: DataFrame, best: msa.Best) -> DataFrame:

@@ -41,7 +41,7 @@ def folders(tmp_path_factory):
 
 
 def test_run(spark, folders, tmp_path):
-    config = Config(name="r", pdblist=str(folders / "list"), pdbdir=str(folders / "one"), pdbdir2=str(folders / "two"), print_sim=True, print_div=True, print_cv=True, print_fasta=True, print_pdb=True, si_thr=0.9)
+    config = Config(name="r", pdblist=str(folders / "list"), pdbdir=str(folders / "one"), pdbdir2=str(folders / "two"), print_sim=True, print_div=True, print_cv=True, print_fasta=True, print_pdb=True, si_thr=0.9, msa_rounds=3)
     out = job.run(spark, config, str(tmp_path / "out"))
     assert set(out) == {"nr.pdblist", "input.fasta", "nj.tree", "nj.seqtree", "round.tree", "prot.sim", "prot.div", "PC.div", "cv", "PCAli.fas", "PCAli.ss.msa", "summary", "models.pdb"}
     assert sorted(os.listdir(tmp_path / "out")) == sorted(f"r.{n}" for n in out)
@@ -146,12 +146,12 @@ def test_conformations_of_a_sequence(spark):
 
 
 def test_clusters_at_any_identity(spark, folders, tmp_path):
-    config = Config(name="c", pdblist=str(folders / "list"), pdbdir=str(folders / "one"), pdbdir2=str(folders / "two"), seq_thr=0.85)
+    config = Config(name="c", pdblist=str(folders / "list"), pdbdir=str(folders / "one"), pdbdir2=str(folders / "two"), seq_thr=0.85, msa_rounds=1, clique=True, ali_ss=True)
     chains = job.read_chains(spark, config)
     lead = {r.chain: r.leader for r in job.representatives(chains, config).collect()}
     assert len(set(lead.values())) == 5  # those with 0 and 4 changes, and four others
     out = job.run(spark, config, str(tmp_path / "out"))
-    assert out["nr.pdblist"].count() == 5
+    assert out["nr.pdblist"].count() == 5 and out["SSAli.msa"].count() == 5
     tree = out["nj.seqtree"].collect()[0].line
     assert all(f"d{k}:" in tree for k in range(6))
     assert job.representatives(chains, Config(seq_thr=0.3)).select("leader").distinct().count() == 1
