@@ -1,11 +1,12 @@
 """Language-model scoring by deleted interpolation.
 
 P(w | u v) = l3 c(u v w) / c(u v) + l2 c(v w) / c(v) + l1 c(w) / N + l0 / (V + 1): maximum-likelihood estimates of orders
-3 to 0, mixed by weights that depend on how frequent the context is (powers of two of c(u v), or of c(v) where u v was
-not seen). The weights are learned by expectation-maximisation on held-out counts: those of a fixed fold of the training
-documents, from which the token being predicted is deleted (every count less one). Training documents are scored in
-the same way, each token by the model without this token; otherwise their own rare contexts would predict them with
-certainty, and their scores could not be held against those of other documents.
+3 to 0, mixed by weights that depend on how frequent the context is (c(u v), or c(v) where u v was not seen: each count
+below SMALL by itself, then powers of two). The weights are learned by expectation-maximisation on held-out counts:
+those of a fixed fold of the training documents, from which the token being predicted is deleted (every count less one).
+score is the model's probability of the text. deleted_score is that of the model without the token being predicted, where
+the text is a training document: its own rare contexts predict it with near certainty in score, so deleted_score is what
+can be held against the scores of other documents. The two are equal for held-out documents.
 
 Counts cover all training documents. They are exchanged by blocks of documents, not by tokens. A block sends each of its
 distinct words once, and each of its distinct contexts (pairs of words) once with the words that follow it, as sorted
@@ -37,7 +38,7 @@ BLOCK_BYTES, PAIR_BYTES, WORD_BYTES = 8 << 20, 8 << 20, 48 << 20
 #: Blocks or groups of a task.
 A_TASK = 4
 #: Buckets of a context's frequency, and steps of an estimate for each power of two when weights are learned.
-BUCKETS, STEPS = 40, 2
+BUCKETS, STEPS, SMALL = 40, 2, 8
 _END, _BEGIN, _PAD = (np.uint64(x) for x in (0x5EED0E4D0E4D0001, 0x5EED0BE6000B0003, 0x5EED00AD00AD0005))
 _PAIR = 1 << 40
 _LOW32 = np.uint64(0xFFFFFFFF)
@@ -201,36 +202,36 @@ def _answer(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array([group] * len(block), pa.int64()), pa.array(block, pa.int64()), pa.array(answers, pa.binary()), pa.array(more, pa.binary())], ["group", "block", "counts", "more"])
 
 
-@dataclass
-class Estimates:
-    """Of each token: its corpus count, the bucket of its context, and its estimates of orders 3, 2 and 1."""
+class Counts:
+    """Corpus counts of a block's tokens: of the token itself, and (count, count of the context) of orders 3 to 1."""
 
-    count: np.ndarray
-    bucket: np.ndarray
-    orders: np.ndarray
-
-
-def _estimates(block: Block, answers: pa.Table, word_groups: Groups, pair_groups: Groups, documents: int, total: int, deleted: np.ndarray) -> Estimates:
-    """deleted: for each document, whether its tokens are predicted by the model without them."""
-    by_group = {g: (c, m) for g, c, m in zip(*(answers.column(k).to_pylist() for k in ("group", "counts", "more")), strict=True)}
-    one = np.concatenate([unpack_counts(by_group[g][0], b - a) for g, a, b in word_groups.cuts(block.words)])[block.word]
-    first = np.searchsorted(block.follows >> np.uint64(32), np.arange(len(block.contexts) + 1))
-    cuts = pair_groups.cuts(block.contexts)
-    context = np.concatenate([unpack_counts(by_group[_PAIR + g][0], b - a) for g, a, b in cuts])[block.context]
-    three = np.concatenate([unpack_counts(by_group[_PAIR + g][1], int(first[b] - first[a])) for g, a, b in cuts])[block.follow[block.at]]
-    less = deleted[block.row].astype(np.int64)
-    before = np.empty_like(one)
-    before[1:] = one[:-1]
-    before[block.first[:-1]] = documents
-    # a pair occurs as often as it is the context of what follows, the end included
-    pairs = [(three, context[block.at]), (context[block.at + 1], before), (one, np.full(len(one), total))]
-    orders = np.stack([np.where(h > less, np.minimum((c - less) / np.maximum(h - less, 1), 1.0), 0.0) for c, h in pairs], axis=1)
-    long, short = pairs[0][1] - less, before - less
-    return Estimates(one, np.where(long > 0, bucket_of(long), BUCKETS + bucket_of(short)), orders)
+    def __init__(self, block: Block, answers: pa.Table, word_groups: Groups, pair_groups: Groups, documents: int, total: int):
+        by_group = {g: (c, m) for g, c, m in zip(*(answers.column(k).to_pylist() for k in ("group", "counts", "more")), strict=True)}
+        one = np.concatenate([unpack_counts(by_group[g][0], b - a) for g, a, b in word_groups.cuts(block.words)])[block.word]
+        first = np.searchsorted(block.follows >> np.uint64(32), np.arange(len(block.contexts) + 1))
+        cuts = pair_groups.cuts(block.contexts)
+        context = np.concatenate([unpack_counts(by_group[_PAIR + g][0], b - a) for g, a, b in cuts])[block.context]
+        three = np.concatenate([unpack_counts(by_group[_PAIR + g][1], int(first[b] - first[a])) for g, a, b in cuts])[block.follow[block.at]]
+        before = np.empty_like(one)
+        before[1:] = one[:-1]
+        before[block.first[:-1]] = documents
+        self.row, self.one = block.row, one
+        # a pair occurs as often as it is the context of what follows, the end included
+        self.orders = [(three, context[block.at]), (context[block.at + 1], before), (one, np.full(len(one), total))]
+
+    def estimates(self, deleted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bucket of each token's context, and its estimates of orders 3, 2 and 1. deleted: for each document, whether its
+        tokens are predicted by the model without them."""
+        less = deleted[self.row].astype(np.int64)
+        estimates = np.stack([np.where(h > less, np.minimum((c - less) / np.maximum(h - less, 1), 1.0), 0.0) for c, h in self.orders], axis=1)
+        long, short = self.orders[0][1] - less, self.orders[1][1] - less
+        return np.where(long > 0, bucket_of(long), BUCKETS + bucket_of(short)), estimates
 
 
 def bucket_of(context: np.ndarray) -> np.ndarray:
-    return np.minimum(np.frexp(np.maximum(context, 0) + 1.0)[1] - 1, BUCKETS - 1)
+    """Counts below SMALL have buckets of their own, as a context seen once tells much less than one seen twice."""
+    context = np.maximum(context, 0)
+    return np.where(context < SMALL, context, np.minimum(SMALL + np.frexp(context / SMALL)[1] - 1, BUCKETS - 1)).astype(np.int64)
 
 
 def _cells(bucket: np.ndarray, ratio: np.ndarray) -> np.ndarray:
@@ -267,7 +268,7 @@ def learn_weights(bucket: np.ndarray, ratio: np.ndarray, n: np.ndarray, rounds:
 
 def score_documents(docs: DataFrame, held_out: Column, delete_fold: Column) -> DataFrame:
     """docs: (doc_id, text). Learns from the rows that held_out does not mark, with weights from those of them that
-    delete_fold marks. Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
+    delete_fold marks. Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and deleted_score of every row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce(delete_fold, F.lit(False)).alias("fold"))
     rows = rows.withColumn("train", ~F.col("held_out")).withColumn("fold", F.col("fold") & F.col("train"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"), F.count_if("train").alias("documents"), F.coalesce(F.sum(F.when(F.col("train"), F.regexp_count("text", F.lit(WORD)) + 1)), F.lit(0)).alias("tokens")).first()
@@ -294,8 +295,8 @@ def score_documents(docs: DataFrame, held_out: Column, delete_fold: Column) -> D
         if not left.num_rows:
             return pa.table({"cell": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
         b = Block(left.column("text"))
-        e = _estimates(b, right, word_groups, pair_groups, documents, tokens_total, np.ones(left.num_rows, bool))
-        cells, n = np.unique(_cells(e.bucket, e.orders / flat), return_counts=True)
+        bucket, orders = Counts(b, right, word_groups, pair_groups, documents, tokens_total).estimates(np.ones(left.num_rows, bool))
+        cells, n = np.unique(_cells(bucket, orders / flat), return_counts=True)
         return pa.table({"cell": cells, "n": n.astype(np.int64)})
 
     fold_docs = by_block(rows.where("fold").select("block", "text"), n_folds)
@@ -305,23 +306,26 @@ def score_documents(docs: DataFrame, held_out: Column, delete_fold: Column) -> D
     weights = learn_weights(*_from_cells(table["cell"].to_numpy(np.int64)), table["n"].to_numpy(float))
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-        types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "deleted_score"]
+        types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
         if not left.num_rows:
             return pa.Table.from_arrays([pa.array([], t) for t in types], names)
         b = Block(left.column("text"))
         held = left.column("held_out").to_numpy()
-        e = _estimates(b, right, word_groups, pair_groups, documents, tokens_total, ~held)
-        w = weights[e.bucket]
-        p = (w[:, :3] * e.orders).sum(axis=1) + w[:, 3] * flat
-        base = np.log10((e.count + 0.1) / (tokens_total + 0.1 * (vocabulary + 1)))
+        found = Counts(b, right, word_groups, pair_groups, documents, tokens_total)
+        base = np.log10((found.one + 0.1) / (tokens_total + 0.1 * (vocabulary + 1)))
 
         def per_row(x):
             return np.add.reduceat(x, b.first[:-1])
 
-        columns = [np.diff(b.first), per_row((e.count > 0).astype(np.int64)), np.full(left.num_rows, tokens_total), per_row(base), per_row(np.log10(p))]
+        def model(deleted):
+            bucket, orders = found.estimates(deleted)
+            w = weights[bucket]
+            return per_row(np.log10((w[:, :3] * orders).sum(axis=1) + w[:, 3] * flat))
+
+        columns = [np.diff(b.first), per_row((found.one > 0).astype(np.int64)), np.full(left.num_rows, tokens_total), per_row(base), model(np.zeros(len(held), bool)), model(~held)]
         return pa.Table.from_arrays([left.column("doc_id"), left.column("held_out"), *[pa.array(c, t) for c, t in zip(columns, types[2:], strict=True)]], names)
 
     texts = by_block(rows.select("block", "doc_id", "held_out", "text"), n_blocks + n_folds)
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, deleted_score double"
     return texts.cogroup(by_block(answers.where("block >= 0"), n_blocks + n_folds)).applyInArrow(score, schema)

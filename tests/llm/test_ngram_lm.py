@@ -31,8 +31,13 @@ def check_base(rows, got):
     assert np.allclose([w[5] for w in want], [h[5] for h in have], rtol=1e-6)
 
 
-def brute_scores(rows, weights):
-    """log10 probability of each text by the model, from counters of plain words."""
+def context_bucket(n):
+    return max(n, 0) if n < 8 else 8 + int(math.log2(n / 8))
+
+
+def brute_scores(rows, weights, delete):
+    """log10 probability of each text by the model, from counters of plain words; training documents without the token itself
+    if delete."""
     folds = [zlib.crc32(str(r[0]).encode()) % 10 if r[0] is not None else None for r in rows]
     one, two, three, vocabulary, documents = Counter(), Counter(), Counter(), set(), 0
     for f, r in zip(folds, rows, strict=True):
@@ -46,11 +51,11 @@ def brute_scores(rows, weights):
     total, vocabulary = sum(one.values()) - documents, len(one) - 1
     out = []
     for f, r in zip(folds, rows, strict=True):
-        t, less, s = ["<", "<", *toks(r[1])], int(f != 0), 0.0
+        t, less, s = ["<", "<", *toks(r[1])], int(delete and f != 0), 0.0
         for u, v, w in zip(t, t[1:], t[2:], strict=False):
             h3, h2 = two[u, v] - less, one[v] - less
             ratio = [c / h if h > 0 else 0.0 for c, h in ((three[u, v, w] - less, h3), (two[v, w] - less, h2), (one[w] - less, total - less))]
-            bucket = int(math.log2(h3 + 1)) if h3 > 0 else ngram_lm.BUCKETS + int(math.log2(max(h2, 0) + 1))
+            bucket = context_bucket(h3) if h3 > 0 else ngram_lm.BUCKETS + context_bucket(h2)
             s += math.log10(sum(a * b for a, b in zip(weights[bucket], [*ratio, 1 / (vocabulary + 1)], strict=True)))
         out.append(s)
     return out
@@ -64,8 +69,10 @@ def test_scores_equal_those_of_plain_counters(frame, monkeypatch, odd_texts):
     rng = random.Random(8)
     texts = [" ".join(rng.choice(["red", "Green", "blue", "dark", f"w{rng.randint(0, 40)}"]) for _ in range(rng.randint(0, 40))) for _ in range(200)]
     rows = rows_of([*texts, *texts[:40], *(t for t in odd_texts if not t or len(t) < 1000)])
-    got = {r.doc_id: r.score for r in score(frame(rows)).collect()}
-    assert np.allclose([got[r[0]] for r in rows], brute_scores(rows, learned[0]), rtol=1e-9)
+    got = {r.doc_id: r for r in score(frame(rows)).collect()}
+    assert np.allclose([got[r[0]].score for r in rows], brute_scores(rows, learned[0], delete=False), rtol=1e-9)
+    assert np.allclose([got[r[0]].deleted_score for r in rows], brute_scores(rows, learned[0], delete=True), rtol=1e-9)
+    assert all(r.score == r.deleted_score for r in got.values() if r.held_out)
     assert np.allclose(learned[0].sum(axis=1), 1)
 
 
@@ -73,7 +80,7 @@ def test_documents_that_occur_twice_score_apart(frame):
     rng = random.Random(9)
     texts = [" ".join(f"w{min(rng.randint(0, 300), rng.randint(0, 300))}" for _ in range(60)) for _ in range(600)]
     rows = rows_of([*texts, *texts[:60]])
-    got = {r.doc_id: r.score / r.n_tokens for r in score(frame(rows)).collect()}
+    got = {r.doc_id: r.deleted_score / r.n_tokens for r in score(frame(rows)).collect()}
     held = {i for i in range(660) if zlib.crc32(str(i).encode()) % 10 == 0}
     # a pair with one copy held out shows in that copy only, one with both in none
     twice = [max(got[i], got[600 + i]) for i in range(60) if not {i, 600 + i} <= held]
@@ -104,7 +111,7 @@ def test_odd_texts_repeats_and_null_ids(frame, odd_texts):
     rows = rows_of(odd_texts) + [(4, odd_texts[4], None, None, None, None, None), (None, "The end", None, None, None, None, None)]
     got = score(frame(rows)).collect()
     check_base(rows, got)
-    assert all(np.isfinite(r.score) for r in got)
+    assert all(np.isfinite([r.score, r.deleted_score]).all() for r in got)
 
 
 def test_weights_by_expectation_maximisation():
