@@ -219,13 +219,18 @@ class Counts:
         # a pair occurs as often as it is the context of what follows, the end included
         self.orders = [(three, context[block.at]), (context[block.at + 1], before), (one, np.full(len(one), total))]
 
-    def estimates(self, deleted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Bucket of each token's context, and its estimates of orders 3, 2 and 1. deleted: for each document, whether its
-        tokens are predicted by the model without them."""
-        less = deleted[self.row].astype(np.int64)
-        estimates = np.stack([np.where(h > less, np.minimum((c - less) / np.maximum(h - less, 1), 1.0), 0.0) for c, h in self.orders], axis=1)
-        long, short = self.orders[0][1] - less, self.orders[1][1] - less
-        return np.where(long > 0, bucket_of(long), BUCKETS + bucket_of(short)), estimates
+    def less(self, deleted: np.ndarray) -> np.ndarray:
+        """By how much each token's counts are lowered: by one in the documents that are predicted without the token."""
+        return deleted[self.row].astype(np.int64)
+
+    def bucket(self, less: np.ndarray) -> np.ndarray:
+        long = self.orders[0][1] - less
+        return np.where(long > 0, bucket_of(long), BUCKETS + bucket_of(self.orders[1][1] - less))
+
+    def estimate(self, order: int, less: np.ndarray) -> np.ndarray:
+        """Maximum-likelihood estimates of order 3 - order; 0 where the context was not seen."""
+        c, h = self.orders[order]
+        return np.where(h > less, np.minimum((c - less) / np.maximum(h - less, 1), 1.0), 0.0)
 
 
 def bucket_of(context: np.ndarray) -> np.ndarray:
@@ -295,8 +300,10 @@ def score_documents(docs: DataFrame, held_out: Column, delete_fold: Column) -> D
         if not left.num_rows:
             return pa.table({"cell": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
         b = Block(left.column("text"))
-        bucket, orders = Counts(b, right, word_groups, pair_groups, documents, tokens_total).estimates(np.ones(left.num_rows, bool))
-        cells, n = np.unique(_cells(bucket, orders / flat), return_counts=True)
+        found = Counts(b, right, word_groups, pair_groups, documents, tokens_total)
+        less = found.less(np.ones(left.num_rows, bool))
+        ratio = np.stack([found.estimate(k, less) / flat for k in range(3)], axis=1)
+        cells, n = np.unique(_cells(found.bucket(less), ratio), return_counts=True)
         return pa.table({"cell": cells, "n": n.astype(np.int64)})
 
     fold_docs = by_block(rows.where("fold").select("block", "text"), n_folds)
@@ -319,9 +326,12 @@ def score_documents(docs: DataFrame, held_out: Column, delete_fold: Column) -> D
             return np.add.reduceat(x, b.first[:-1])
 
         def model(deleted):
-            bucket, orders = found.estimates(deleted)
-            w = weights[bucket]
-            return per_row(np.log10((w[:, :3] * orders).sum(axis=1) + w[:, 3] * flat))
+            less = found.less(deleted)
+            bucket = found.bucket(less)
+            p = weights[bucket, 3] * flat
+            for k in range(3):
+                p += weights[bucket, k] * found.estimate(k, less)
+            return per_row(np.log10(p))
 
         columns = [np.diff(b.first), per_row((found.one > 0).astype(np.int64)), np.full(left.num_rows, tokens_total), per_row(base), model(np.zeros(len(held), bool)), model(~held)]
         return pa.Table.from_arrays([left.column("doc_id"), left.column("held_out"), *[pa.array(c, t) for c, t in zip(columns, types[2:], strict=True)]], names)
