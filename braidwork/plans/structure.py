@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from braidwork.functions import scores
 from braidwork.operators import chains as ch
 from braidwork.operators import graphs
-from braidwork.session import stored
+from braidwork.session import shared_folder, stored
 
 #: Scales at which the vectors of the tables, read as residues, have contacts and scores of the usual range.
 CONTACT_SCALE, SCORE_SCALE = 20.0, 4.0
@@ -157,6 +159,17 @@ def structure_file_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return atoms.select(F.col("file").cast("long").alias("chain"), F.col("res_idx").alias("res"), "aa", *[F.round(F.col(c), 3).alias(c) for c in "xyz"])
 
 
+def structure_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chain written as a compressed structure file of its own, and the folder of files read by the data source."""
+    from braidwork.sources import reader, structures
+
+    folder = f"{shared_folder(spark).rstrip('/')}/structures-{uuid.uuid4().hex}"
+    reader.write_files(structures.structure_texts(contact_chains(spark, sf_dir)), folder)
+    reader.register(spark)
+    found = spark.read.format("structure").load(folder)
+    return found.select(F.col("file").cast("long").alias("chain"), F.col("res_idx").alias("res"), "aa", *[F.round(F.col(c), 3).alias(c) for c in "xyz"])
+
+
 def _residues(scale: float) -> str:
     return f"""res AS (
   SELECT vec_id AS chain, label AS family, t.k AS res, embedding[3*t.k+1]::DOUBLE*{scale} AS x, embedding[3*t.k+2]::DOUBLE*{scale} AS y, embedding[3*t.k+3]::DOUBLE*{scale} AS z
@@ -280,6 +293,7 @@ FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id > b.vec_id
     FROM walk w JOIN step s ON s.i = w.i AND s.j = w.j AND s.p = w.p + 1)
 ) SELECT e.label AS family, i, j, n::INT AS n_aligned, places FROM walk JOIN embeddings e ON e.vec_id = walk.i WHERE p = {_LEN - 1}""",
     "structure_file_scan": f"""WITH {_residues(CONTACT_SCALE)} SELECT chain, res::INT AS res, substr('ARNDCQEG', {_OCTANT.format('res')}+1, 1) AS aa, round(x, 3) AS x, round(y, 3) AS y, round(z, 3) AS z FROM res""",
+    "structure_source": f"""WITH {_residues(CONTACT_SCALE)} SELECT chain, res::INT AS res, substr('ARNDCQEG', {_OCTANT.format('res')}+1, 1) AS aa, round(x, 3) AS x, round(y, 3) AS y, round(z, 3) AS z FROM res""",
 }
 
-QUERIES = {f.__name__: f for f in (pair_scores, contact_map, contact_degree, mean_contacts, contact_overlap, contact_votes, pc_divergence, mean_scores, best_score_counts, nearest_neighbour, mutual_neighbour, residue_neighbour, centroid, tm_sum_columns, conformation_medoid, conformation_split, contact_conservation, monotone_anchors, filled_anchors, structure_file_scan)}
+QUERIES = {f.__name__: f for f in (pair_scores, contact_map, contact_degree, mean_contacts, contact_overlap, contact_votes, pc_divergence, mean_scores, best_score_counts, nearest_neighbour, mutual_neighbour, residue_neighbour, centroid, tm_sum_columns, conformation_medoid, conformation_split, contact_conservation, monotone_anchors, filled_anchors, structure_file_scan, structure_source)}
