@@ -82,7 +82,7 @@ def with_divergences(both: DataFrame, config: Config) -> DataFrame:
 def score_pairs(chains: DataFrame, config: Config) -> DataFrame:
     """All scores and divergences of pairs that are aligned by position."""
     edges = stored(ch.contacts(ch.residue_rows(chains), config.contact_cutoff, config.contact_separation), "edges")
-    return with_divergences(ch.pair_scores(chains, config.norm).join(ch.contact_overlap(chains, edges).select("i", "j", "co"), ["i", "j"]), config)
+    return with_divergences(ch.all_scores(chains, edges, config.norm), config)
 
 
 def aligned(kept: DataFrame, config: Config) -> tuple[DataFrame, msa.Best]:
