@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from braidwork.operators import chains as ch
 from braidwork.operators import graphs
 from braidwork.operators import sequences as sq
 from braidwork.plans import structure
@@ -49,8 +50,7 @@ def list_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = structure.pair_scores(spark, sf_dir)
-    ends = p.select(F.col("i").alias("chain"), F.col("j").alias("other"), F.col("tm").alias("score")).unionByName(p.select(F.col("j").alias("chain"), F.col("i").alias("other"), F.col("tm").alias("score")))
+    ends = ch.best_links(structure.score_chains(spark, sf_dir), LINKS).select("chain", "other", "score")
     return graphs.stored(graphs.top_links(ends, LINKS), "graph")
 
 

@@ -50,3 +50,37 @@ def test_overlaps_by_blocks_are_those_of_both_contact_sets(spark, sf_dir, monkey
         sets.setdefault(r.chain, set()).add((r.i, r.j))
     for r in ch.contact_overlap(structure.contact_chains(spark, sf_dir), edges).limit(3000).collect():
         assert r.shared == len(sets.get(r.i, set()) & sets.get(r.j, set()))
+
+
+SUMMED = ["nearest_neighbour", "link_degree", "mean_divergence", "score_extrema", "tm_sum_columns", "distance_histogram", "adaptive_bins", "conformation_medoid", "type_propensity", "self_score"]
+
+
+@pytest.mark.parametrize("name", SUMMED)
+def test_sums_over_pairs_leave_a_group_as_few_rows(name, spark, sf_dir, monkeypatch):
+    """What leaves the groups of tiles is far less than the pairs."""
+    left = []
+    over = ch.over_pairs
+
+    def counted(*a, **k):
+        left.append(over(*a, **k).count())
+        return over(*a, **k)
+
+    monkeypatch.setattr(ch, "over_pairs", counted)
+    catalog.queries()[name](spark, sf_dir)
+    pairs = 500 * 499 // 2 // 10
+    assert left and sum(left) < pairs / 3
+
+
+@pytest.mark.parametrize("tile", [7, 2048])
+def test_best_links_hold_the_best_of_all(spark, tile, monkeypatch):
+    monkeypatch.setattr(ch, "WIDE", tile)
+    _, df = random_chains(spark, 60)
+    scores = {}
+    for r in ch.pair_scores(df).collect():
+        if r.tm is not None:
+            for a, b in ((r.i, r.j), (r.j, r.i)):
+                scores.setdefault(a, []).append((-round(r.tm, 6), b))
+    got = {}
+    for r in ch.best_links(df, 3).collect():
+        got.setdefault(r.chain, set()).add((-r.score, r.other))
+    assert {c: sorted(v)[:3] for c, v in got.items()} == {c: sorted(v)[:3] for c, v in scores.items()}
