@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from braidwork.operators.kernels import SEARCH_TILE, TERM_WEIGHTS
@@ -27,15 +29,15 @@ def distinct_sequences(docs: DataFrame) -> DataFrame:
     return keyed.groupBy("key").agg(F.min("doc_id").alias("seq"), F.count(F.lit(1)).alias("copies"), F.first("tokens").alias("tokens")).drop("key")
 
 
-def band_keys(seqs: DataFrame) -> DataFrame:
-    """(seq, key, role): hashes by which sequences are met. Bands of BAND tokens meet bands at the same place; a sequence
+def band_keys(seqs: DataFrame, *columns: str) -> DataFrame:
+    """(seq, columns, key, role): hashes by which sequences are met. Bands of BAND tokens meet bands at the same place; a sequence
     without a whole band (role short) meets the starts of its length (role start)."""
     n = F.size("tokens")
     band = F.transform(F.sequence(F.lit(1), F.floor(n / BAND).cast("int")), lambda b: F.xxhash64(F.lit("band"), b, F.slice("tokens", (b - 1) * BAND + 1, BAND)))
-    bands = seqs.where(n >= BAND).select("seq", F.explode(band).alias("key"), F.lit("band").alias("role"))
+    bands = seqs.where(n >= BAND).select("seq", *columns, F.explode(band).alias("key"), F.lit("band").alias("role"))
     starts = F.transform(F.sequence(F.lit(1), F.least(n, F.lit(BAND - 1))), lambda m: F.xxhash64(F.lit("start"), m, F.slice("tokens", F.lit(1), m)))
-    prefixes = seqs.select("seq", F.explode(starts).alias("key"), F.lit("start").alias("role"))
-    shorts = seqs.where(n < BAND).select("seq", F.xxhash64(F.lit("start"), n, F.col("tokens")).alias("key"), F.lit("short").alias("role"))
+    prefixes = seqs.select("seq", *columns, F.explode(starts).alias("key"), F.lit("start").alias("role"))
+    shorts = seqs.where(n < BAND).select("seq", *columns, F.xxhash64(F.lit("start"), n, F.col("tokens")).alias("key"), F.lit("short").alias("role"))
     return bands.unionByName(prefixes).unionByName(shorts)
 
 
@@ -59,13 +61,84 @@ def check_threshold(threshold: float) -> None:
         raise ValueError(f"bands of {BAND} find all pairs only above an identity of {1 - 1 / (2 * BAND)}")
 
 
+@dataclass
+class Sides:
+    """Keys by which near sequences are met. wanted and known: (seq, n, key), known of all sequences and wanted of those
+    that are the shorter one of a pair; n is a sequence's number of tokens."""
+
+    wanted: DataFrame
+    known: DataFrame
+
+
+def sides(seqs: DataFrame, threshold: float) -> Sides:
+    """Where the shorter one of two sequences differs in at most d positions, at most d of its bands differ, so of any
+    d + 1 of them one agrees: its d + 1 rarest are wanted. Passages that many texts repeat at one place meet none by that."""
+    check_threshold(threshold)
+    keys = stored(band_keys(seqs.withColumn("n", F.size("tokens")), "n"), "keys")
+    bands, shorts = keys.where("role = 'band'"), keys.where("role = 'short'")
+    often = bands.groupBy("key").agg(F.count(F.lit(1)).alias("often"))
+    counted = stored(bands.join(often, "key").select("seq", "n", "key", "often"), "bands")
+    differ = F.floor((1 - threshold) * F.col("n") + 1e-6)
+    rarest = F.row_number().over(Window.partitionBy("seq").orderBy("often", "key"))
+    rare = counted.withColumn("r", rarest).where((F.col("r") <= differ + 1) & (F.col("often") > 1))
+    starts = keys.where("role = 'start'").join(shorts.select("key").distinct(), "key", "left_semi")
+    columns = ["seq", "n", "key"]
+    return Sides(stored(rare.select(columns).unionByName(shorts.select(columns)), "wanted"), stored(counted.where("often > 1").select(columns).unionByName(starts.select(columns)), "known"))
+
+
+def met(wanted: DataFrame, known: DataFrame, which: Column | None = None) -> DataFrame:
+    """(i, j), i > j: pairs that share a key, each once; which tells, from the columns of the greater one (i_) and of the
+    smaller one (j_), which of them count."""
+    more = [c for c in wanted.columns if c not in ("seq", "n", "key")]
+    a, b = (rows.select("key", *[F.col(c).alias(f"{s}_{c}") for c in ("seq", "n", *more)]) for s, rows in (("a", wanted), ("b", known)))
+    later = F.col("a_seq") > F.col("b_seq")
+    once = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & later)
+    # nothing but numbers goes through the join
+    rows = a.join(b, "key").where(once & (F.col("a_seq") != F.col("b_seq")))
+    of = [F.when(later, F.col(f"{s}_{c}")).otherwise(F.col(f"{t}_{c}")).alias(f"{k}_{c}") for k, s, t in (("i", "a", "b"), ("j", "b", "a")) for c in ("seq", *more)]
+    rows = rows.select(*of)
+    return (rows if which is None else rows.where(which)).select(F.col("i_seq").alias("i"), F.col("j_seq").alias("j")).distinct()
+
+
+def enough_bands(pairs: DataFrame, seqs: DataFrame, threshold: float) -> DataFrame:
+    """Those of pairs (i, j) of which so many bands agree as more than threshold of the shorter one's positions need; by
+    hashes, so that texts are brought only to pairs that are near."""
+    n = F.size("tokens")
+    band = F.transform(F.sequence(F.lit(1), F.floor(n / BAND).cast("int")), lambda b: F.xxhash64(F.slice("tokens", (b - 1) * BAND + 1, BAND)))
+    rows = stored(seqs.select("seq", n.alias("n"), F.when(n >= BAND, band).otherwise(F.array().cast("array<long>")).alias("bands")), "hashes")
+    a, b = (rows.select(F.col("seq").alias(c), F.col("n").alias(f"{c}_n"), F.col("bands").alias(f"{c}_bands")) for c in "ij")
+    least = F.least("i_n", "j_n")
+    same = F.aggregate(F.zip_with("i_bands", "j_bands", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, v: s + F.coalesce(v, F.lit(0)))
+    return pairs.join(a, "i").join(b, "j").where(same >= F.floor(least / BAND) - F.floor((1 - threshold) * least + 1e-6)).select("i", "j")
+
+
+def near_pairs(pairs: DataFrame, seqs: DataFrame, threshold: float) -> DataFrame:
+    return identical_enough(stored(enough_bands(pairs, seqs, threshold), "pairs"), seqs, threshold)
+
+
 def identity_pairs(seqs: DataFrame, threshold: float = IDENTITY) -> DataFrame:
     """(i, j, same, si), i > j: pairs with more than threshold of the shorter one's positions equal.
 
-    Candidates share a band at the same place, or, where the shorter one has no whole band, its whole length."""
-    check_threshold(threshold)
-    keys = band_keys(seqs)
-    return identical_enough(met_by_keys(keys, keys), seqs, threshold)
+    Candidates share a rare band at the same place, or, where the shorter one has no whole band, its whole length."""
+    found = sides(seqs, threshold)
+    return near_pairs(met(found.wanted, found.known), seqs, threshold)
+
+
+def leader_links(seqs: DataFrame, threshold: float = IDENTITY) -> DataFrame:
+    """(i, j), i > j: of identity_pairs those by which leaders tells the leaders: a sequence that no earlier one shares a
+    key with leads. What is near to one of these never leads, so it is met as an earlier one no more, and its own leader
+    can only be an earlier one still. So many near copies of one text are a row each, not all their pairs."""
+    found = sides(seqs, threshold)
+    earliest = [rows.groupBy("key").agg(F.min("seq").alias("first")) for rows in (found.known, found.wanted)]
+    later = [rows.join(first, "key").where("first < seq").select("seq") for rows, first in zip((found.wanted, found.known), earliest, strict=True)]
+    sure = stored(seqs.select("seq").join(later[0].unionByName(later[1]).distinct(), "seq", "left_anti"), "sure")
+    told = [rows.join(sure.withColumn("sure", F.lit(True)), "seq", "left").withColumn("sure", F.coalesce("sure", F.lit(False))) for rows in (found.wanted, found.known)]
+    one, two = (rows.where("sure").drop("sure") for rows in told)
+    first = stored(near_pairs(met(one, found.known).unionByName(met(found.wanted, two)).distinct(), seqs, threshold).select("i", "j"), "links")
+    leader = stored(first.groupBy(F.col("i").alias("seq")).agg(F.min("j").alias("leader")), "settled")
+    open_ = [rows.join(leader, "seq", "left") for rows in told]
+    which = ~F.col("j_sure") & F.col("j_leader").isNull() & (F.col("i_leader").isNull() | (F.col("i_leader") > F.col("j_seq")))
+    return first.unionByName(near_pairs(met(*open_, which), seqs, threshold).select("i", "j"))
 
 
 def leaders(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -135,7 +208,7 @@ def aligned_leaders(chains: DataFrame, threshold: float, matrix: list[list[float
 def leader_clusters(docs: DataFrame, threshold: float = IDENTITY) -> DataFrame:
     """(seq, leader, copies) of every different sequence."""
     seqs = stored(distinct_sequences(docs), "sequences")
-    found = leaders(seqs, identity_pairs(seqs, threshold))
+    found = leaders(seqs, leader_links(seqs, threshold))
     return found.join(seqs.select("seq", "copies"), "seq")
 
 
