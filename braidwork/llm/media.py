@@ -230,37 +230,40 @@ def texts_to_avi(docs: DataFrame) -> DataFrame:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             files = []
-            for text in batch.column("text").to_pylist():
-                raw = (text or "").encode()
+            for text in batch.column("text"):
+                raw = (text.as_py() or "").encode()
                 files.append(write_avi(np.frombuffer(raw + b" " * (-len(raw) % FRAME if raw else FRAME), np.uint8)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(files, pa.binary())], ["doc_id", "media"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(write, "doc_id long, media binary")
 
 
+def _shot_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shots of the files of each batch, slice by slice, so that no task holds many films as objects."""
+    for batch in slices(batches, "media"):
+        rows = []
+        for key, value in zip(batch.column("id").to_pylist(), batch.column("media"), strict=True):
+            data = value.as_py()  # one file at a time
+            if data is None or data[:4] != b"RIFF" or data[8:12] != b"AVI ":
+                continue
+            step, frames = read_avi(data)
+            if not frames:
+                continue
+            samples = decode_clip(frames)
+            if samples is None:
+                rows.append((key, None, 0, len(frames), 0, len(frames) * step // 1000, None))
+                continue
+            rows += [(key, k, s, e - s, s * step // 1000, e * step // 1000, float(samples[s:e].mean())) for k, (s, e) in enumerate(shots(samples))]
+        names = ["id", "clip", "first_frame", "n_frames", "start_ms", "end_ms", "mean_sample"]
+        types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.float64()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names)
+
+
 def clip_rows(media: DataFrame, id_column: str = "doc_id", media_column: str = "media") -> DataFrame:
     """One row per shot of each AVI file: its id, clip number, first frame, frames, start and end in milliseconds and
     mean luminance sample. A null file, one that isn't an AVI file and one without frames have no clips. A film with a
     frame that can't be read (see jpeg.decode), or with frames of unlike sizes, gives one row with its frames and times,
     and null as clip and mean sample, as its shots aren't known."""
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for key, data in zip(batch.column("id").to_pylist(), batch.column("media").to_pylist(), strict=True):
-                if data is None or data[:4] != b"RIFF" or data[8:12] != b"AVI ":
-                    continue
-                step, frames = read_avi(data)
-                if not frames:
-                    continue
-                samples = decode_clip(frames)
-                if samples is None:
-                    rows.append((key, None, 0, len(frames), 0, len(frames) * step // 1000, None))
-                    continue
-                rows += [(key, k, s, e - s, s * step // 1000, e * step // 1000, float(samples[s:e].mean())) for k, (s, e) in enumerate(shots(samples))]
-            names = ["id", "clip", "first_frame", "n_frames", "start_ms", "end_ms", "mean_sample"]
-            types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names)
-
     schema = "id long, clip int, first_frame int, n_frames int, start_ms long, end_ms long, mean_sample double"
-    return media.select(F.col(id_column).cast("long").alias("id"), F.col(media_column).alias("media")).mapInArrow(read, schema).withColumnRenamed("id", id_column)
+    return media.select(F.col(id_column).cast("long").alias("id"), F.col(media_column).alias("media")).mapInArrow(_shot_rows, schema).withColumnRenamed("id", id_column)
