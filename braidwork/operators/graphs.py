@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from braidwork.session import stored
 
+#: Partitions over which neighbourhoods are dealt.
+GROUPS = 96
+
 
 def top_links(ends: DataFrame, k: int) -> DataFrame:
     """ends: (chain, other, score). (a, b), a < b: pairs of which one is among the other's k best."""
@@ -115,7 +118,8 @@ def maximal_cliques(links: DataFrame, least: int = 3) -> DataFrame:
         found = [[seed, *q] for q in _cliques(adjacent) if len(q) + 1 >= least and not any(set(q) <= known for known in shut.values())]
         return pd.DataFrame({"seed": [seed] * len(found), "size": [len(q) for q in found], "nodes": pd.Series([",".join(map(str, sorted(q))) for q in found], dtype=object)})
 
-    return rows.groupBy("s").applyInPandas(find, "seed long, size int, nodes string")
+    # the rows are few bytes, by which all groups would be merged into one task
+    return rows.repartition(GROUPS, "s").groupBy("s").applyInPandas(find, "seed long, size int, nodes string")
 
 
 def select_cliques(cliques: DataFrame, share: float, cap: int) -> DataFrame:
