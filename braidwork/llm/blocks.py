@@ -14,6 +14,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 2 << 20
+#: The same where words and hashes, some 50 bytes for each byte of a slice, are most of what a worker takes and then keeps.
+SMALL_SLICE_BYTES = 256 << 10
 #: The word pattern of every operator here, for Java and Python alike: anything but space and U+0009..U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 

@@ -26,9 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from braidwork.llm.blocks import Spans, mix, slices, words
+from braidwork.llm.blocks import SMALL_SLICE_BYTES, Spans, mix, slices, words
 from braidwork.llm.components import components
-from braidwork.session import stored
+from braidwork.session import small_batches, stored
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.99999
 #: Coordinates for sketches and for splits below the first.
@@ -82,7 +82,7 @@ def _sign(n: int, coordinates: int):
     odd = mix(salts) | np.uint64(1)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        for part in slices(batches, limit=SMALL_SLICE_BYTES):
             for k in range(0, part.num_rows, _ROWS):
                 batch = part.slice(k, _ROWS)
                 rows, hashes = shingle_sets(batch.column("text"), n)
@@ -264,6 +264,7 @@ def similarity_classes(docs: DataFrame, n: int = SHINGLE, threshold: float = THR
     """docs: (doc_id, text). Per row: doc_id, class_id (the least doc_id it is connected to by links), copy_of (the
     least doc_id with the same set), n_links (other documents of at least the threshold's similarity), text_key, and
     class_key, which tells classes apart even where ids repeat; it is null for a text without words."""
+    small_batches(docs.sparkSession)
     runs = runs_for(threshold, recall)
     coordinates = runs + SKETCH
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")

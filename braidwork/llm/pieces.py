@@ -25,7 +25,8 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from braidwork.llm.blocks import slices
+from braidwork.llm.blocks import SMALL_SLICE_BYTES, slices
+from braidwork.session import small_batches
 
 SPACE = "▁"
 CACHE = 250_000
@@ -185,12 +186,13 @@ def encode_pieces(docs: DataFrame, model: bytes, keep_ids: bool = False) -> Data
 
     model: the bytes of the model file, sent to the tasks once by broadcast (its size is fixed by the vocabulary).
     """
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if keep_ids else "")
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = table_of(sent.value)
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SMALL_SLICE_BYTES):
             counts, id_hashes, text_hashes, ids_out, texts = [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 ids = table.encode(text or "")

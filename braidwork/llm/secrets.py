@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from braidwork.llm.blocks import slices
-from braidwork.session import stored
+from braidwork.llm.blocks import SMALL_SLICE_BYTES, slices
+from braidwork.session import small_batches, stored
 
 KINDS = ("assign", "access", "hex", "live")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -58,7 +58,7 @@ def candidates(text: str) -> list[tuple[int, int, int, str]]:
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
+    for batch in slices(batches, limit=SMALL_SLICE_BYTES):
         rows, found = [], []
         for r, text in enumerate(batch.column("text").to_pylist()):
             for c in candidates(text) if text else ():
@@ -72,6 +72,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def find_candidates(docs: DataFrame, owner: Column, repo: Column) -> DataFrame:
     """One row per candidate span; text_key tells rows of one doc_id with different texts apart."""
+    small_batches(docs.sparkSession)
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), owner.cast("string").alias("owner"), repo.cast("string").alias("repo"), "text")
     schema = "doc_id long, text_key long, owner string, repo string, kind int, start int, end int, value string"
     return rows.mapInArrow(_scan, schema).withColumn("value", F.sha2("value", 256))

@@ -30,8 +30,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from braidwork.llm.blocks import NOT_LETTER, slices, words
+from braidwork.llm.blocks import NOT_LETTER, SMALL_SLICE_BYTES, slices, words
 from braidwork.llm.sampling import least_hashes
+from braidwork.session import small_batches
 
 #: Most documents of a label value, and the characters from which on no more are drawn.
 SAMPLE, SAMPLE_CHARS = 4000, 40_000_000
@@ -243,6 +244,7 @@ def fit(sample: pa.Table, totals: dict[int, int]) -> OrdinalModel | None:
 def score_severity(docs: DataFrame, labels: DataFrame, label: str = "toxic", reject: float = REJECT) -> DataFrame:
     """docs: (doc_id, text, ...); labels: (doc_id, label). docs with severity (the likeliest of the grades by expected
     value), expected_severity and toxic (a probability of at least reject that the grade is above the lowest)."""
+    small_batches(docs.sparkSession)
     model = fitted(labelled_sample(docs, labels, label))
     if model is None:
         return docs.withColumns({"severity": F.lit(0), "expected_severity": F.lit(0.0), "toxic": F.lit(False)})
@@ -250,7 +252,7 @@ def score_severity(docs: DataFrame, labels: DataFrame, label: str = "toxic", rej
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = OrdinalModel(*sent.value)
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SMALL_SLICE_BYTES):
             sums = own.sums(batch.column("text"))
             expected = own.expected(sums)
             extra = [pa.array(np.rint(expected).astype(np.int32)), pa.array(expected), pa.array(own.positive(sums) >= reject)]
