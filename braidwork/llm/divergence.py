@@ -10,8 +10,9 @@ order. Divergence of two sources: cells of (count in one, count in the other). C
 join of the counts by term; cells with a zero follow from each source's own counts and those, so absent terms are
 never listed.
 
-Texts are read once. A block of texts sends one row for each distinct language, source and term; Spark adds them up.
-What a task or the driver holds is bounded by blocks and by the number of sources of a language; the join by term
+Texts are read once, and counted in slices of 1 MB. Counts of slices are held up to 24 MB, added up, and leave as one
+row for each distinct language, source and term, in batches of 65,536 rows; Spark adds them up.
+What a task or the driver holds is bounded by these and by the number of sources of a language; the join by term
 gives, for each kept term, the pairs of sources that have it, as the divergence of every pair is asked for.
 
 Edge cases: null text, language and source are the empty string; a group without terms has its rows of divergences and
@@ -31,15 +32,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from braidwork.llm.blocks import LOWER, NOT_LETTER, slices, words
-from braidwork.session import stored
+from braidwork.session import small_batches, stored
 
-#: Bytes of text of a block.
-BLOCK_BYTES = 12 << 20
+#: Bytes of text that are counted at once.
+COUNTED_BYTES = 1 << 20
+#: Bytes of counts that are held before they are added up, and rows that leave a worker at once.
+HELD_BYTES, SENT_ROWS = 24 << 20, 1 << 16
+KEYS, COUNTS = ["lang", "source", "term"], ["n", "docs"]
 SCALE = 1_000_000_000
 
 
-def _block_counts(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """(lang, source, term, n, docs) of a block, with a row without term for each group."""
+def _slice_counts(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """(lang, source, term, n, docs) of some rows, with a row without term for each group."""
     lang, source = (batch.column(c).dictionary_encode() for c in ("lang", "source"))
     group = lang.indices.to_numpy(zero_copy_only=False).astype(np.int64) * max(len(source.dictionary), 1) + source.indices.to_numpy(zero_copy_only=False)
     groups, group = np.unique(group, return_inverse=True)
@@ -63,19 +67,33 @@ def _block_counts(batch: pa.RecordBatch) -> pa.RecordBatch:
     extra, sources = np.zeros(len(groups), np.int64), max(len(source.dictionary), 1)
     names = pa.chunked_array([pc.take(terms.dictionary, pa.array(cells % width)).cast(pa.string()), pa.nulls(len(groups), pa.string())]).combine_chunks()
     columns = [pc.take(lang.dictionary, pa.array(groups[own] // sources)), pc.take(source.dictionary, pa.array(groups[own] % sources)), names, pa.array(np.concatenate([n, extra])), pa.array(np.concatenate([docs, extra]))]
-    return pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "n", "docs"])
+    return pa.RecordBatch.from_arrays(columns, [*KEYS, *COUNTS])
+
+
+def _added_up(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums = pa.Table.from_batches(parts).group_by(KEYS, use_threads=False).aggregate([(c, "sum") for c in COUNTS])
+    yield from sums.select([*KEYS, *[f"{c}_sum" for c in COUNTS]]).rename_columns([*KEYS, *COUNTS]).to_batches(SENT_ROWS)
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, source, term, n, docs) of the rows of a task, a key in several rows at most where counts exceed HELD_BYTES."""
+    parts, held = [], 0
+    for batch in slices(batches, limit=COUNTED_BYTES):
+        parts.append(_slice_counts(batch))
+        held += parts[-1].nbytes
+        if held >= HELD_BYTES:
+            yield from _added_up(parts)
+            parts, held = [], 0
+    if parts:
+        yield from _added_up(parts)
 
 
 def term_counts(docs: DataFrame, least_docs: int) -> DataFrame:
     """(lang, source, term, n, lang_n, first): how often each source has each term that the language keeps, and how often
     the language has it; first marks one row a term of the language. A row without term for each group."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, limit=BLOCK_BYTES):
-            yield _block_counts(batch)
-
+    small_batches(docs.sparkSession)
     named = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")], "text")
-    found = named.mapInArrow(count, "lang string, source string, term string, n long, docs long").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    found = named.mapInArrow(_counts, "lang string, source string, term string, n long, docs long").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     term = Window.partitionBy("lang", "term")  # at most one row a source
     seen = found.select("lang", "source", "term", "n", F.sum("docs").over(term).alias("lang_docs"), F.sum("n").over(term).alias("lang_n"), (F.col("source") == F.min("source").over(term)).alias("first"))
     return seen.where(F.col("term").isNull() | (F.col("lang_docs") >= least_docs)).drop("lang_docs")

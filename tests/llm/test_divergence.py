@@ -1,7 +1,9 @@
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from braidwork.llm import divergence
 from helpers import rows_of
@@ -66,6 +68,45 @@ def test_edges(frame, odd_texts):
     assert [r[4] for r in got if r[0] == "de"] == [0, 0] and not [r for r in got if r[0] == "xx"]
 
 
+def _batch(rows):
+    return pa.RecordBatch.from_pydict({"lang": ["" if r[2] is None else r[2] for r in rows], "source": ["" if r[3] is None else r[3] for r in rows], "text": pa.array([r[1] for r in rows], pa.string())})
+
+
+def test_slices_add_up_to_the_counts_of_all_rows(monkeypatch):
+    batch = _batch(_docs())
+
+    def counted():
+        rows = [r for b in divergence._counts(iter([batch, batch.slice(0, 50), batch.slice(0, 0)])) for r in b.to_pylist()]
+        sums = {}
+        for r in rows:
+            n, docs = sums.get((r["lang"], r["source"], r["term"]), (0, 0))
+            sums[r["lang"], r["source"], r["term"]] = (n + r["n"], docs + r["docs"])
+        return len(rows), sums
+
+    rows, whole = counted()
+    assert rows == len(whole)
+    monkeypatch.setattr(divergence, "COUNTED_BYTES", 200)
+    assert counted() == (rows, whole)
+    monkeypatch.setattr(divergence, "HELD_BYTES", 2_000)
+    more, sums = counted()
+    assert more > rows and sums == whole
+
+
+def test_a_worker_holds_few_words_at_once(spark, frame):
+    rng = np.random.default_rng(4)
+    vocabulary = np.array([f"{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}xyz" for k in range(5_000)])
+    rows = [(i, " ".join(rng.choice(vocabulary, 1_000)), "en", f"s{i % 5}") for i in range(1_200)]  # 8 MB
+    batch = _batch(rows)
+    tracemalloc.start()
+    base = pa.total_allocated_bytes()
+    most = max(pa.total_allocated_bytes() for _ in divergence._counts(iter([batch]))) - base
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak + most < 80 << 20
+    divergence.term_counts(frame([]), 3)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 << 20
+
+
 def test_counts_beyond_long_products(spark):
     from pyspark.sql import functions as F
 
