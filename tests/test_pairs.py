@@ -52,6 +52,24 @@ def test_overlaps_by_blocks_are_those_of_both_contact_sets(spark, sf_dir, monkey
         assert r.shared == len(sets.get(r.i, set()) & sets.get(r.j, set()))
 
 
+def test_residues_are_not_sent_to_find_contacts(spark, sf_dir):
+    edges = structure.contact_edges(spark, sf_dir)
+    assert "Join" not in plan(edges)
+    by_cells = ch.contacts(ch.residue_rows(structure.contact_chains(spark, sf_dir)))
+    assert edges.schema == by_cells.schema
+    assert sorted(map(tuple, edges.collect())) == sorted(map(tuple, by_cells.collect()))
+
+
+def test_contacts_of_odd_chains_are_those_by_cells(spark):
+    nan, none = float("nan"), None
+    points = [(0.0, 0.0, 0.0), (nan, 0.0, 0.0), (4.5, 0.0, 0.0), (-4.5, 0.0, 0.0), (0.0, 4.4, 0.0), (none, 0.0, 0.0), (0.0, 0.0, 0.0)]
+    rows = [(c, 1, [(*p, 1) for p in points[:n]]) for c, n in enumerate((0, 1, 3, 7, 7))] + [(3, 1, [(*p, 1) for p in points]), (9, None, None)]
+    df = spark.createDataFrame(rows, CHAINS)
+    for separation in (1, 3):
+        got = sorted(map(tuple, ch.chain_contacts(df, separation=separation).collect()))
+        assert got and got == sorted(map(tuple, ch.contacts(ch.residue_rows(df), separation=separation).collect()))
+
+
 SUMMED = ["nearest_neighbour", "link_degree", "mean_divergence", "score_extrema", "tm_sum_columns", "distance_histogram", "adaptive_bins", "conformation_medoid", "type_propensity", "self_score"]
 
 
