@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from braidwork.operators import chains as ch
 from braidwork.operators import tiles
@@ -52,6 +53,32 @@ def test_overlaps_by_blocks_are_those_of_both_contact_sets(spark, sf_dir, monkey
         assert r.shared == len(sets.get(r.i, set()) & sets.get(r.j, set()))
 
 
+@pytest.mark.parametrize("digits", [0, 4, 6])
+def test_rounded_as_by_spark(spark, digits):
+    rng = np.random.default_rng(5)
+    halves = (np.arange(0, 4_000, 7) * 10 + 5) / 10.0 ** (digits + 1)
+    edges = np.concatenate([halves, np.nextafter(halves, 9), np.nextafter(halves, -9)])
+    values = np.concatenate([edges, rng.random(2_000), rng.normal(size=500) * 1e3, np.arange(300) / 21, 1 / np.arange(1, 300), 2.0 ** np.arange(-40, 60), 10.0 ** np.arange(-12, 25), [0.0, 1e300, 5e-324, np.nan, np.inf]])
+    values = np.concatenate([values, -values])
+    df = spark.createDataFrame([(k, float(v)) for k, v in enumerate(values)], "k int, v double")
+    want = [r.v for r in df.select("k", F.round("v", digits).alias("v")).orderBy("k").collect()]
+    got = tiles.rounded(values, digits)
+    assert [repr(v) for v in got.tolist()] == [repr(v) for v in want]
+
+
+@pytest.mark.parametrize("name", ["pair_scores", "contact_overlap"])
+def test_rows_of_pairs_are_rounded_in_their_groups(name, spark, sf_dir):
+    """Spark's round of every row took most of the time."""
+    assert "round(" not in plan(catalog.queries()[name](spark, sf_dir))
+
+
+def test_scores_are_rounded_as_by_spark(spark):
+    _, df = random_chains(spark, 40)
+    scores = ["n_ali", "si", "tm", "rmsd"]
+    want = ch.pair_scores(df).select("family", "i", "j", "len", *[F.round(c, 6).alias(c) for c in scores])
+    assert sorted(map(repr, ch.pair_scores(df, digits=6).collect())) == sorted(map(repr, want.collect()))
+
+
 def test_residues_are_not_sent_to_find_contacts(spark, sf_dir):
     edges = structure.contact_edges(spark, sf_dir)
     assert "Join" not in plan(edges)
