@@ -22,7 +22,9 @@ def propensities(counts: DataFrame, least: int = 1) -> DataFrame:
     grid = states.join(states.withColumnRenamed("a", "b"), "bin").join(both, ["bin", "a", "b"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     of_a, of_b, of_bin = (F.sum("n").over(Window.partitionBy("bin", *c)) for c in (["a"], ["b"], []))
     filled = grid.withColumn("fa", of_a).withColumn("fb", of_b).withColumn("total", of_bin).where(F.col("total") >= 2 * least)
-    value = F.when(F.col("n") > 0, F.log(F.col("total") * F.col("n") / (F.col("fa") * F.col("fb")))).otherwise(-F.log(F.lit(10.0)))
+    # products of two counts are beyond a long
+    n, total, fa, fb = (F.col(c).cast("double") for c in ("n", "total", "fa", "fb"))
+    value = F.when(F.col("n") > 0, F.log(total * n / (fa * fb))).otherwise(-F.log(F.lit(10.0)))
     return filled.select("bin", "a", "b", "n", value.alias("propensity"))
 
 

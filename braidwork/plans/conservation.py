@@ -89,7 +89,8 @@ def type_propensity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def self_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean score of each chain's residues with themselves, by the propensities of the last bin."""
-    matrix = _type_matrix(spark, sf_dir).where("bin = 4").select("a", "b", F.col("propensity").alias("s"))
+    # stored, so that no broadcast waits for the pass over pairs
+    matrix = ch.stored(_type_matrix(spark, sf_dir).where("bin = 4").select("a", "b", F.col("propensity").alias("s")), "matrix")
     rows = ch.residue_rows(structure.score_chains(spark, sf_dir))
     return co.self_scores(rows, F.broadcast(matrix)).select("family", "chain", *_r("score"))  # one row for each pair of types
 
